@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readtally.llm import decontaminate, jaccard, lines, mixing, quality
+from readtally.llm import chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc
 
 
 def _pipeline(spark, sf_dir: str):
@@ -14,9 +14,14 @@ def _pipeline(spark, sf_dir: str):
 QUERIES = {
     "op1_importance_resampling": quality.op1,
     "op2_source_mixing": mixing.op2,
+    "op3_license_scan": licenses.op3,
+    "op4_chat_formatting": chat.op4,
+    "op5_toxicity_chain": toxicity.op5,
     "op6_line_chunk_dedup": lines.op6,
     "op7_benchmark_decontamination": decontaminate.op7,
+    "op8_winnowing_fingerprints": fingerprints.op8,
     "op9_ngram_jaccard_join": jaccard.op9,
+    "op10_warc_index_merge": warc.op10,
     "pipeline": _pipeline,
 }
-ORACLES = {"op2_source_mixing": mixing.ORACLE}
+ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
