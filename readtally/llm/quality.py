@@ -47,17 +47,19 @@ def _buckets(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of each uni- and bigram."""
     two, at = w.grams(2)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.concatenate([V.mix(w.hash) >> shift, two >> shift]).astype(np.int64), np.concatenate([w.row, w.row[at]])
+    two = (two >> shift).astype(np.int64)
+    two[w.hash[at] == w.hash[at + 1]] = BUCKETS  # a token said twice is one kind of bigram
+    return np.concatenate([(V.mix(w.hash) >> shift).astype(np.int64), two]), np.concatenate([w.row, w.row[at]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), np.int64)
+    total = np.zeros((2, BUCKETS + 1), np.int64)
     for batch in batches:
         good = np.asarray(batch.column("good").to_numpy(zero_copy_only=False), bool)
         for w in V.words(batch.column("text"), V.VISIBLE, _KINDS):
             bucket, row = _buckets(w)
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            total[1] += np.bincount(bucket[good[w.first + row]], minlength=BUCKETS)
+            total[0] += np.bincount(bucket, minlength=BUCKETS + 1)
+            total[1] += np.bincount(bucket[good[w.first + row]], minlength=BUCKETS + 1)
     at = np.flatnonzero(total[0])
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
 
@@ -104,12 +106,13 @@ def _kth_largest(table: DataFrame, name: str, k: int, bins: int = 4096, most: in
 
 
 def _cut(rows: list[tuple[float, int]]) -> float:
-    """Halfway between the medians of good and bad labelled text, so that stray labels don't move it; accepts all if
-    one kind is missing or the medians are in the wrong order."""
+    """A quarter of the way from the low end (1 %) of good labelled text to the median of bad one: stray labels don't
+    move it, and good text keeps a margin. Accepts all if one kind is missing or the two are in the wrong order."""
     good, bad = ([x for x, q in rows if (q > 0) == kind] for kind in (True, False))
     if not good or not bad or np.median(good) <= np.median(bad):
         return float("-inf")
-    return float(np.median(good) + np.median(bad)) / 2
+    low = min(float(np.quantile(good, 0.01)), float(np.median(good)))
+    return low - 0.25 * max(0.0, low - float(np.median(bad)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> tuple[Model, DataFrame]:
@@ -119,11 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     good = F.broadcast(sample.where("q > 0").select("doc_id", F.lit(True).alias("good")))
     flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = flagged.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    raw, target = np.full(BUCKETS + 1, SMOOTHING), np.full(BUCKETS + 1, SMOOTHING)
     for b, r, t in counts:
         raw[b] += r
         target[b] += t
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > SMOOTHING * BUCKETS else np.zeros(BUCKETS)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > SMOOTHING * len(target) else np.zeros(len(target))
     scores = stored(_scored(docs.select("doc_id", "text"), ratio).drop("text"), "scores")
     known = scores.join(F.broadcast(sample), "doc_id").select("_mean", "q").limit(4 * labelled_rows).collect()
     cut = _cut([tuple(r) for r in known])

@@ -28,6 +28,8 @@ from readtally.llm.shared import stored
 BITS, PIECE = 20, 5
 POSITIVE, NEGATIVE = 2_000, 3_000
 FEATURES, LEAST_Z, FOLDS = 2_048, 3.5, 3
+#: Share of documents labelled as not toxic that must stay below the cut, out of fold.
+CALM = 0.998
 # Words that tell the narrower categories among toxic texts.
 CATEGORIES = [
     ("insult", ["idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"]),
@@ -76,13 +78,7 @@ class Chain:
     weights: np.ndarray  # categories x features
     earlier: np.ndarray  # categories x categories, weights of earlier probabilities
     bias: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(self.names)))
-        for c in range(len(self.names)):
-            z = x @ self.weights[c] + out[:, :c] @ self.earlier[c, :c] + self.bias[c]
-            out[:, c] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return out
+    cut: float  # least probability of the last category that counts as toxic
 
 
 def _linear(x: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> np.ndarray:
@@ -124,11 +120,14 @@ def train(rows: list, folds: int = FOLDS) -> Chain | None:
         seen = np.hstack([x, held[:, :c]])
         w = _linear(seen, y[:, c])
         weights[c], earlier[c, :c], bias[c] = w[:m], w[m:-1], w[-1]
-        if c < n - 1:
-            for k in range(folds):  # out-of-fold probabilities for the later models
-                w = _linear(seen[fold != k], y[fold != k, c])
-                held[fold == k, c] = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ w[:-1] + w[-1], -40, 40)))
-    return Chain(names, known, weights, earlier, bias)
+        for k in range(folds):  # out-of-fold probabilities for the later models and for the cut
+            w = _linear(seen[fold != k], y[fold != k, c])
+            held[fold == k, c] = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ w[:-1] + w[-1], -40, 40)))
+    # between what all but a few of the other documents stay below and the toxic ones above that
+    calm = float(np.quantile(held[~toxic, -1], CALM))
+    above = held[toxic, -1][held[toxic, -1] > calm]
+    cut = min(0.5, (calm + float(np.quantile(above, 0.05))) / 2) if len(above) else 0.5
+    return Chain(names, known, weights, earlier, bias, cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Chain | None:
@@ -159,7 +158,7 @@ def _score(chain: Chain | None):
                     part = p[w.first : w.first + w.n_rows]
                     for c in range(len(names)):
                         part[:, c] = 1 / (1 + np.exp(-np.clip(z[c] + part[:, :c] @ chain.earlier[c, :c] + chain.bias[c], -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, c]) for c in range(len(names))), pa.array(p[:, -1] >= 0.5)], names=["doc_id", *(f"p_{c}" for c in names), "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, c]) for c in range(len(names))), pa.array(p[:, -1] >= (chain.cut if chain else 1.0))], names=["doc_id", *(f"p_{c}" for c in names), "toxic"])
 
     return run
 
