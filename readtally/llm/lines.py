@@ -76,7 +76,8 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     hit, rest = out.where("gone is not null"), out.where("gone is null")
     kept = F.filter("_chunks", lambda x, i: ~F.array_contains("gone", i))
     # which chunks go is decided by their number, so a document of many chunks needs no string comparison
-    hit = put(chunks(hit), _new=F.array_join(kept, ""))
+    # a generated row is made once; a plain column would be made again wherever a later filter or column names it
+    hit = chunks(hit).select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new")))))
     hit = put(hit, _removed=F.length("text") - F.length("_new"), _n_removed=F.size("gone"), text=F.col("_new"))
     rest = put(rest, _removed=F.lit(0), _n_removed=F.lit(0))
     cols = [*[c for c in docs.columns if c not in ("_removed", "_n_removed")], "_removed", "_n_removed"]
