@@ -1,0 +1 @@
+"""The job has no streaming form; this package is empty on purpose."""
