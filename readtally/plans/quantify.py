@@ -28,23 +28,31 @@ def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = No
     A read keeps the first reason: filtered, no_barcode, barcode_not_in_whitelist, no_umi, filtered (by UMI), duplicate.
     """
     pos = R.corrected_position(F.col("cigar"), F.col("pos"), config.max_skip_length) if config.correct_clipping else F.col("pos")
-    df = reads.withColumn("corrected", pos).withColumn("status", F.when(filters.any_removes(config.filters, filters.BEFORE), "filtered"))
-    alive = F.col("status").isNull()
+    none = F.lit(None).cast("string")
+    early = any(f["mode"] in filters.BEFORE for f in config.filters)
+    dropped = filters.any_removes(config.filters, filters.BEFORE) if early else F.lit(False)
+    df = reads.withColumn("corrected", pos).withColumn("_out", dropped)
+    reasons = [F.when(F.col("_out"), "filtered")]
     if config.barcodes:
-        df = df.withColumn("raw_barcode", F.when(alive, R.extractor(config.barcodes.extract)))
-        df = barcodes.correct(df, whitelist, config.barcodes.separator, config.barcodes.max_hamming)
-        df = df.withColumn("status", F.when(alive & F.col("raw_barcode").isNull(), "no_barcode").when(alive & F.col("barcode").isNull(), "barcode_not_in_whitelist").otherwise(F.col("status")))
+        # what a filtered read lacks is not extracted, so it cannot abort the run
+        df = barcodes.correct(df.withColumn("raw_barcode", F.when(~F.col("_out"), R.extractor(config.barcodes.extract))), whitelist, config.barcodes.separator, config.barcodes.max_hamming)
+        reasons += [F.when(F.col("raw_barcode").isNull(), "no_barcode"), F.when(F.col("barcode").isNull(), "barcode_not_in_whitelist")]
     else:
-        df = df.withColumn("raw_barcode", F.lit(None).cast("string")).withColumn("barcode", F.lit(None).cast("string"))
+        df = df.withColumns({"raw_barcode": none, "barcode": none})
     if config.umi:
-        df = df.withColumn("umi", F.when(alive, R.extractor(config.umi)))
-        df = df.withColumn("status", F.when(alive & F.col("umi").isNull(), "no_umi").otherwise(F.col("status")))
+        wanted = ~F.col("_out") & (F.col("barcode").isNotNull() if config.barcodes else F.lit(True))
+        df = df.withColumn("umi", F.when(wanted, R.extractor(config.umi)))
+        reasons.append(F.when(F.col("umi").isNull(), "no_umi"))
     else:
-        df = df.withColumn("umi", F.lit(None).cast("string"))
-    df = df.withColumn("status", F.when(alive & filters.any_removes(config.filters, filters.AFTER), "filtered").otherwise(F.col("status")))
+        df = df.withColumn("umi", none)
+    if any(f["mode"] in filters.AFTER for f in config.filters):
+        reasons.append(F.when(filters.any_removes(config.filters, filters.AFTER), "filtered"))
+    df = df.withColumn("status", F.coalesce(*reasons, none)).drop("_out")
+    if config.dedup_mode == "none":
+        return df
     bucket = F.col("corrected") if config.dedup_bucket == "per_position" else F.lit(0)
-    twice = dedup.is_duplicate(config.dedup_mode, bucket, alive, list(order))
-    return df.withColumn("_twice", twice).withColumn("status", F.when(F.col("_twice"), "duplicate").otherwise(F.col("status"))).drop("_twice")
+    df = df.withColumn("_twice", dedup.is_duplicate(config.dedup_mode, bucket, F.col("status").isNull(), list(order)))
+    return df.withColumn("status", F.when(F.col("_twice"), "duplicate").otherwise(F.col("status"))).drop("_twice")
 
 
 def counted(df: DataFrame, config: Config, region_table: DataFrame | None) -> DataFrame:
