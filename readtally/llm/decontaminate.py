@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import small, stored, text_hash, with_row_key
+from readtally.llm.shared import packed, small, stored, text_hash, unpacked, with_row_key
 
 SPAN, K = 13, 5
 W = SPAN - K + 1
@@ -169,7 +169,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go. They are few, so the documents' texts stay where they are."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
     bad = stored(found.select(F.struct(F.col("doc_id").alias("d"), "h").alias("_k")).distinct(), "contaminated")
-    keyed = with_row_key(docs).alias("x")
+    keyed = with_row_key(packed(docs)).alias("x")
     bad = small(bad).alias("y")
     same = F.col("x._k.d").eqNullSafe(F.col("y._k.d")) & (F.col("x._k.h") == F.col("y._k.h"))
-    return keyed.join(bad, same, "left_anti").select(docs.columns)
+    return unpacked(keyed.join(bad, same, "left_anti"), docs.columns)

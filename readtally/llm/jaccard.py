@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import components, small, stored, text_hash
+from readtally.llm.shared import components, packed, small, stored, text_hash, unpacked
 
 GRAM, SIMILARITY = 5, 0.8
 ROWS, BANDS, COMPARED, STEP = 5, 30, 128, 32
@@ -253,7 +253,8 @@ def in_blocks(df: DataFrame, key: str, members: str, block: int = BLOCK) -> Data
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs``: doc_id, h (text hash), node (null without words), class_id, n_links."""
+    """For each row of ``docs``: doc_id, h (text hash), node (null without words), class_key, class_id, n_links. Classes
+    whose smallest doc_id is the same (an id that comes with two texts) differ in class_key."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     scan = stored(texts.mapInArrow(_scan, "doc_id long, h long, node binary, bands array<long>, sig binary"), "minhash")
     # binary minima cannot be aggregated in place; the first signature of a node is as good as any, they are equal
@@ -276,10 +277,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = links.groupBy("b").agg(F.sum("n").alias("n")).withColumnRenamed("b", "node")
     linked = counts.join(final, "node").join(nodes.select("node", "doc_id"), "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    linked = stored(linked.join(least, "label").select(F.col("node").alias("_node"), "class_id", F.col("n").alias("linked")), "linked")
+    linked = stored(linked.join(least, "label").select(F.col("node").alias("_node"), "label", "class_id", F.col("n").alias("linked")), "linked")
     many = stored(nodes.where("copies > 1").select(F.col("node").alias("_many"), F.col("doc_id").alias("first_id"), "copies"), "copies")
     out = scan.select("doc_id", "h", "node").join(small(linked), F.col("node") == F.col("_node"), "left").join(small(many), F.col("node") == F.col("_many"), "left")
-    return out.select("doc_id", "h", "node", F.coalesce("class_id", "first_id", "doc_id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+    return out.select("doc_id", "h", "node", F.coalesce("label", "node").alias("class_key"), F.coalesce("class_id", "first_id", "doc_id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -290,13 +291,13 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: that of the smallest doc_id; of rows that repeat it, one. The rows that go are
     joined by key, so texts stay where they are unless those are too many to broadcast."""
-    table = stored(near_duplicates(docs).select("doc_id", "h", "node", "class_id"), "classes")
-    keeper = F.row_number().over(Window.partitionBy("class_id").orderBy(F.col("doc_id").asc_nulls_last(), "h"))
-    ranked = table.where("node is not null").groupBy("class_id", "doc_id", "h").count().withColumn("rank", keeper)
+    table = stored(near_duplicates(docs).select("doc_id", "h", "node", "class_key"), "classes")
+    keeper = F.row_number().over(Window.partitionBy("class_key").orderBy(F.col("doc_id").asc_nulls_last(), "h"))
+    ranked = table.where("node is not null").groupBy("class_key", "doc_id", "h").count().withColumn("rank", keeper)
     gone = stored(ranked.where("rank > 1 or count > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "rank"), "near-duplicates")
-    keyed = docs.withColumn("_k", text_hash())
+    keyed = packed(docs).withColumn("_k", text_hash())
     out = keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left").where("rank is null or rank = 1")
     once = Window.partitionBy("_d", "_h").orderBy(F.lit(1))
     single, repeated = out.where("rank is null"), out.where("rank = 1")
     repeated = repeated.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return single.select(docs.columns).unionByName(repeated.select(docs.columns))
+    return unpacked(single.unionByName(repeated.drop("_n")), docs.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readtally.llm.shared import put, small, stored, with_row_key
+from readtally.llm.shared import packed, put, small, stored, unpacked, with_row_key
 
 MIN_CHARS = 20
 _MARK = "\x01"
@@ -71,7 +71,7 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of ``docs``; text lacks the repeated chunks. Adds _removed (characters taken out) and _n_removed (chunks)."""
     gone = repeated(docs, min_chars)
-    keyed = with_row_key(docs)
+    keyed = with_row_key(packed(docs))
     out = keyed.join(small(gone), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
     hit, rest = out.where("gone is not null"), out.where("gone is null")
     kept = F.filter("_chunks", lambda x, i: ~F.array_contains("gone", i))
@@ -80,8 +80,7 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     hit = chunks(hit).select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new")))))
     hit = put(hit, _removed=F.length("text") - F.length("_new"), _n_removed=F.size("gone"), text=F.col("_new"))
     rest = put(rest, _removed=F.lit(0), _n_removed=F.lit(0))
-    cols = [*[c for c in docs.columns if c not in ("_removed", "_n_removed")], "_removed", "_n_removed"]
-    return hit.select(cols).unionByName(rest.select(cols))
+    return unpacked(hit.drop("_new", "_chunks", "_many").unionByName(rest), docs.columns, "_removed", "_n_removed")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readtally.llm.shared import small, stored
+from readtally.llm.shared import packed, small, stored, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST = 2
@@ -72,8 +72,8 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per emitted copy, numbered from 1."""
-    out = mixed(docs).where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
-    return out
+    out = mixed(packed(docs)).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unpacked(out, docs.columns, "copy")
 
 
 ORACLE = r"""

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import put, stored, text_hash
+from readtally.llm.shared import packed, put, stored, text_hash, unpacked
 
 BUCKETS = 1 << 14
 #: Bound of the labelled sample, drawn by hash of the id: target text and cut come from it.
 LABELLED_ROWS = 20_000
 LENGTH = 60.0
-SMOOTHING = 0.5
+#: Pseudo-count that draws a bucket's ratio to 1, so that n-grams the sample did not meet say nothing.
+SMOOTHING = 5.0
 _PUNCT, _LETTER = 1, 2
 _KINDS = np.array([_LETTER if V.WORD[b] else _PUNCT for b in range(256)], np.uint8)
 
@@ -79,7 +80,6 @@ def _scorer(ratio: np.ndarray, schema: T.StructType):
 
 def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """Adds _n, _weight (log importance weight), _mean and _key."""
-    docs = docs.drop("_n", "_weight", "_mean", "_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_weight", T.DoubleType())])
     out = docs.mapInArrow(_scorer(ratio, schema), schema)
     u = (F.xxhash64(F.lit("gumbel"), "doc_id", text_hash()).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
@@ -122,11 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     good = F.broadcast(sample.where("q > 0").select("doc_id", F.lit(True).alias("good")))
     flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = flagged.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.full(BUCKETS + 1, SMOOTHING), np.full(BUCKETS + 1, SMOOTHING)
+    raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for b, r, t in counts:
         raw[b] += r
         target[b] += t
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > SMOOTHING * len(target) else np.zeros(len(target))
+    expected = raw * (target.sum() / max(raw.sum(), 1))  # of the target, if it were like the raw text
+    ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING)) if target.sum() else np.zeros(len(target))
     scores = stored(_scored(docs.select("doc_id", "text"), ratio).drop("text"), "scores")
     known = scores.join(F.broadcast(sample), "doc_id").select("_mean", "q").limit(4 * labelled_rows).collect()
     cut = _cut([tuple(r) for r in known])
@@ -137,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows of ``docs`` with their weight and decision: n_grams, log_weight, mean_log_ratio, gumbel_key, accepted."""
     model, _ = fit(docs, labels)
-    out = put(_scored(docs, model.ratio), n_grams=F.col("_n"), log_weight=F.col("_weight"), mean_log_ratio=F.col("_mean"), gumbel_key=F.col("_key"), accepted=F.col("_key") >= model.kth)
-    return out.drop("_n", "_weight", "_mean", "_key")
+    out = _scored(packed(docs), model.ratio).withColumnsRenamed({"_n": "n_grams", "_weight": "log_weight", "_mean": "mean_log_ratio", "_key": "gumbel_key"})
+    return unpacked(out.withColumn("accepted", F.col("gumbel_key") >= model.kth), docs.columns, "n_grams", "log_weight", "mean_log_ratio", "gumbel_key", "accepted")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -149,5 +150,5 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).where("accepted").select(docs.columns)
+    model, _ = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unpacked(_scored(packed(docs), model.ratio).where(F.col("_key") >= model.kth), docs.columns)

@@ -50,6 +50,21 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Columns beyond those of documents in one struct, so that their names clash with nothing inside an operator."""
+    others = [c for c in docs.columns if c not in KNOWN]
+    return docs.select(*[c for c in docs.columns if c in KNOWN], F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rt_extra")) if others else docs
+
+
+def unpacked(out: DataFrame, columns: list[str], *more: str | Column) -> DataFrame:
+    """Undoes ``packed``: the original ``columns`` in their order, then ``more`` (which replace columns of their names)."""
+    new = {m for m in more if isinstance(m, str)}
+    return out.select(*[F.col(c) if c in KNOWN else F.col("_rt_extra")[c].alias(c) for c in columns if c not in new], *more)
+
+
 def put(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns; existing ones of these names (input columns that clash) are replaced."""
     return df.withColumns(cols)
