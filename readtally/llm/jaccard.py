@@ -261,7 +261,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = scan.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "nodes")
     placed = nodes.select("node", F.explode("bands").alias("band"))
-    placed = placed.withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1")
+    # counted by aggregation and joined back: a bucket of very many members is never in one task
+    met = stored(placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    placed = placed.join(met, "band")
     placed = placed.join(nodes.select("node", "sig"), "node")
     bucket = in_blocks(placed, "band", "members").select("key", "side", "node", "sig")
     edges = bucket.repartition("key").sortWithinPartitions("key").mapInArrow(_prune, "a binary, b binary")
