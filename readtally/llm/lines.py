@@ -72,7 +72,7 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of ``docs``; text lacks the repeated chunks. Adds _removed (characters taken out) and _n_removed (chunks)."""
     gone = repeated(docs, min_chars)
     keyed = with_row_key(packed(docs))
-    out = keyed.join(small(gone), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
+    out = keyed.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
     hit, rest = out.where("gone is not null"), out.where("gone is null")
     kept = F.filter("_chunks", lambda x, i: ~F.array_contains("gone", i))
     # which chunks go is decided by their number, so a document of many chunks needs no string comparison

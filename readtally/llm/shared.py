@@ -45,9 +45,14 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.struct(F.col("doc_id").cast("long").alias("d"), text_hash().alias("h")))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table of narrow rows) with a broadcast hint if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """``df`` (a stored table of narrow rows) with a broadcast hint if it has at most ``limit`` rows. ``array``: a column
+    of fixed-width elements, each of which counts as a row too."""
+    if df.limit(limit + 1).count() > limit:
+        return df
+    if array and (df.agg(F.sum(F.size(array)).alias("n")).first()["n"] or 0) > limit:
+        return df
+    return F.broadcast(df)
 
 
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")

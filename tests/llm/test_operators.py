@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from readtally.llm import chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc
+from readtally.llm import chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, shared, toxicity, warc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -196,3 +196,9 @@ def test_warc(spark, tmp_path):
 @pytest.mark.parametrize("runs", [[], [[]], [[1, 4], [], [2, 2, 9], [0]], [[3], [1], [2], [5], [4]]])
 def test_loser_tree(runs):
     assert list(warc.loser_tree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_small_counts_array_elements(spark):
+    df = spark.createDataFrame([(1, list(range(8))), (2, [])], "a long, gone array<int>")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(shared.small(df, 8, "gone")) and not hinted(shared.small(df, 7, "gone")) and not hinted(shared.small(df, 1))
