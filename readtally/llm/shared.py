@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side made of fixed-width columns is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Numbers of 8 bytes that take the room of a narrow row (64 bytes).
+ROW_NUMBERS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +49,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
     """``df`` (a stored table of narrow rows) with a broadcast hint if it has at most ``limit`` rows. ``array``: a column
-    of fixed-width elements, each of which counts as a row too."""
+    of numbers (8 bytes at most), of which ``ROW_NUMBERS`` count as a row more."""
     if df.limit(limit + 1).count() > limit:
         return df
-    if array and (df.agg(F.sum(F.size(array)).alias("n")).first()["n"] or 0) > limit:
-        return df
+    if array:
+        n, inside = df.agg(F.count("*"), F.sum(F.size(array))).first()
+        if n + (inside or 0) / ROW_NUMBERS > limit:
+            return df
     return F.broadcast(df)
 
 
