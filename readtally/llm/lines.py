@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A text is cut into lines; a line here ends at a newline or after a sentence (``. ``, ``! ``, ``? ``), and keeps its ending, so that
-lines put together give the text. Each line is hashed; a rolling hash covers two successive lines. A chunk begins
+A text is cut into lines; a line here ends at a newline or after a sentence (``. ``, ``! ``, ``? ``; doubled marks end none, or texts
+that shout every word would have lines of one word), and keeps its ending, so that lines put together give the text. Each line is hashed; a rolling hash covers two successive lines. A chunk begins
 where the rolling hash is a local minimum: the rule looks at three lines around, so the same passage is cut the same way
 whatever stands before it, and a chunk has two lines at least.
 
@@ -24,16 +24,21 @@ from readtally.llm.shared import packed, put, small, stored, unpacked, with_row_
 
 MIN_CHARS = 20
 _MARK = "\x01"
+_HOLD = "\x02"
 _ENDS = ("\n", ". ", "! ", "? ")
+_SLOW = r"(?<=\n)|(?<=(?<!\.)\. )|(?<=(?<!!)! )|(?<=(?<!\?)\? )"
 
 
 def lines(text: Column) -> Column:
-    """Lines with their endings. The quick way marks the ends; texts that hold the mark itself are cut by a pattern."""
+    """Lines with their endings. The quick way marks the ends; texts that hold a mark themselves are cut by a pattern."""
     marked = text
+    for end in _ENDS[1:]:
+        marked = F.replace(marked, F.lit(end[0] + end), F.lit(end[0] * 2 + _HOLD + " "))
     for end in _ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    slow = F.split(text, r"(?<=\n)|(?<=[.!?] )")
-    return F.when(F.contains(text, F.lit(_MARK)), slow).otherwise(F.split(marked, _MARK))
+    marked = F.replace(marked, F.lit(_HOLD), F.lit(""))
+    held = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_HOLD))
+    return F.when(held, F.split(text, _SLOW)).otherwise(F.split(marked, _MARK))
 
 
 def chunks(docs: DataFrame) -> DataFrame:

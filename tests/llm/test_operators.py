@@ -102,6 +102,14 @@ def test_line_chunks(spark, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_lines(spark):
+    plain = "One. Two! Three? NO!! NOT!!! HERE?? or.. there\nlast. \n end"
+    want = ["One. ", "Two! ", "Three? ", "NO!! NOT!!! HERE?? or.. there\n", "last. ", "\n", " end"]
+    rows = [(plain,), (plain + "\x01",), ("\x02" + plain,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(lines.lines(F.col("text"))).collect()]
+    assert got == [want, [*want[:-1], " end\x01"], ["\x02One. ", *want[1:]]]
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mixed(docs).collect()
     assert len(out) == 15 and all(0 <= r["_copies"] <= 2 for r in out)
