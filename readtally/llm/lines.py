@@ -1,18 +1,20 @@
-"""Line dedup by content-defined chunks of lines, with DataFrame functions only.
+"""Line dedup by content-defined chunks of words, with DataFrame functions only.
 
-A text is cut into lines; a line here ends at a newline or after a sentence (``. ``, ``! ``, ``? ``; doubled marks end none, or texts
-that shout every word would have lines of one word), and keeps its ending, so that lines put together give the text. Each line is hashed; a rolling hash covers two successive lines. A chunk begins
-where the rolling hash is a local minimum: the rule looks at three lines around, so the same passage is cut the same way
-whatever stands before it, and a chunk has two lines at least.
+A text is cut into words, which keep the blanks and newlines after them, so that words put together give the text; in scripts
+without blanks each character is a word. A hash covers two successive words. A chunk begins where the hash is lowest among
+``REACH`` places on either side: the rule looks at eight words around, so the same passage is cut the same way
+whatever stands before and after it, within a line or over many. A chunk has four words at least and seven on average; of random
+passages of 51 words all but one in 1,000 hold ``MIN_WORDS`` words between the first and the last boundary of their own.
 
-Chunks are grouped by hash over all documents. Where the smallest and the largest text of a group are the same bytes (a
-byte comparison of all of them), all occurrences but the first (by doc_id, text hash, position) are removed; hash
-collisions are left alone. Counting and comparing are aggregations with map-side partial results, so a very common
-chunk is not gathered; texts are not grouped by chunk.
+Chunks are grouped by hash over all documents, first as counts. Where a hash repeats, and the smallest and the largest text of its group
+are the same bytes (a byte comparison of all of them), all occurrences but the first (by doc_id, text hash, position) are
+repeats; hash collisions are left alone. Counting and comparing are aggregations with map-side partial results, so a very
+common chunk is not gathered; texts are not grouped by chunk. Successive repeats in a document form a run, and runs of
+``MIN_WORDS`` words and ``MIN_CHARS`` characters go: short phrases that texts share by chance stay.
 
-Edge cases: null stays null; texts of one line are not touched (their only chunk has one line); a document whose rows
+Edge cases: null stays null; texts of fewer words than ``MIN_WORDS`` are not touched; a document whose rows
 repeat exactly is one document; two documents of equal text leave the first whole and the second empty. Repetitions
-inside a document are removed too. Chunks of fewer than ``MIN_CHARS`` characters stay.
+inside a document are removed too. A passage keeps its head and tail, where chunks straddle its edges.
 """
 
 from __future__ import annotations
@@ -20,9 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readtally.llm.fingerprints import let
 from readtally.llm.shared import packed, put, small, stored, unpacked, with_row_key
 
 MIN_CHARS = 20
+MIN_WORDS = 20
+#: Hashes on either side that a chunk's first one is compared with.
+REACH = 3
+_BLANKS = r"(?<=[ \n])(?=[^ \n])"
+#: Thai to Myanmar, Khmer, Chinese and Japanese (with full-width signs): no blanks between words.
+_UNSPACED = r"[฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯\x{20000}-\x{3FFFF}]"
+#: Numbers of 64 bits in which the repeated hashes are marked; a table of that many rows is broadcast.
+MARKS = 1 << 19
 _MARK = "\x01"
 _HOLD = "\x02"
 _ENDS = ("\n", ". ", "! ", "? ")
@@ -41,51 +52,103 @@ def lines(text: Column) -> Column:
     return F.when(held, F.split(text, _SLOW)).otherwise(F.split(marked, _MARK))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Adds _chunks: the text's chunks in order (array of strings), and _many: which have more than one line."""
-    base = docs.withColumn("_lines", lines(F.col("text")))
-    base = base.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
-    n = F.size("_h")
-    # rolling hash of lines i and i + 1
-    base = base.withColumn("_r", F.zip_with("_h", F.slice("_h", F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    # _cut: 0-based index of the first line of each chunk; line i starts one if r[i] < r[i-1] and r[i] <= r[i+1]
-    inner = F.zip_with(F.zip_with("_r", F.slice("_r", F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice("_r", F.lit(3), F.greatest(n, F.lit(0))), lambda ab, c: (ab["b"] < ab["a"]) & (ab["b"] <= c))
-    base = base.withColumn("_min", inner)
-    starts = F.filter(F.transform("_min", lambda x, i: F.when(F.coalesce(x, F.lit(False)) & (i > 0), i + 1)), lambda x: x.isNotNull() & (x < n - 2))
-    base = base.withColumn("_cut", F.concat(F.array(F.lit(0)), starts))
-    ends = F.concat(F.slice("_cut", F.lit(2), F.size("_cut")), F.array(n))
-    spans = F.zip_with("_cut", ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    base = base.withColumn("_spans", F.when(F.col("text").isNotNull(), spans))
-    joined = F.transform("_spans", lambda s: F.array_join(F.slice(F.col("_lines"), s["a"] + 1, s["b"] - s["a"]), ""))
-    many = F.transform("_spans", lambda s: s["b"] - s["a"] > 1)
-    return base.withColumn("_chunks", joined).withColumn("_many", many).drop("_lines", "_h", "_r", "_min", "_cut", "_spans")
-
-
-def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Stored table (_d, _t, gone): for each document that loses chunks, its key and the sorted numbers of these."""
-    cut = chunks(with_row_key(docs.select("doc_id", "text"))).select("_k", F.posexplode(F.arrays_zip("_chunks", "_many")).alias("no", "c"))
-    cut = cut.where(F.col("c._many") & (F.length("c._chunks") >= min_chars))
-    cut = cut.select(F.struct("_k.d", F.col("_k.h").alias("t"), "no").alias("at"), F.col("c._chunks").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    groups = cut.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    groups = stored(groups.where("n > 1 and low = high").select("h", "first"), "repeated-chunks")
-    places = cut.select("at", "h").join(small(groups), "h").where(~F.col("at").eqNullSafe(F.col("first")))
-    gone = places.groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.sort_array(F.collect_set("at.no")).alias("gone"))
-    return stored(gone, "gone-chunks")
+def words(text: Column) -> Column:
+    """Words with the blanks and newlines after them; a character of an unspaced script is a word. Whether a place
+    divides words depends on the characters beside it only, not on the rest of the text."""
+    unspaced = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(_UNSPACED))
+    return F.when(unspaced, F.split(text, f"{_BLANKS}|(?<={_UNSPACED})(?=[^ \\n])")).otherwise(F.split(text, _BLANKS))
+
+
+def cut(text: Column) -> Column:
+    """The text's chunks in order: array of structs c (string) and n (words)."""
+
+    def starts(r: Column) -> Column:
+        def lowest(i: Column) -> Column:
+            here = F.get(r, i)
+            out = here < F.get(r, i - 1)
+            for k in range(1, REACH + 1):
+                out = out & (here <= F.get(r, i + k)) & ((here < F.get(r, i - k)) if k > 1 else F.lit(True))
+            return out
+
+        last = F.size(r) - 1 - REACH
+        return F.when(last >= REACH, F.filter(F.sequence(F.lit(REACH), F.greatest(last, F.lit(REACH))), lowest)).otherwise(F.array().cast("array<int>"))
+
+    def spans(at: Column, n: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(n)), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+
+    def made(w: Column) -> Column:
+        r = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
+        at = let(r, starts)
+        return F.transform(let(at, lambda c: spans(c, F.size(w))), lambda s: F.struct(F.array_join(F.slice(w, s["a"] + 1, s["n"]), "").alias("c"), s["n"].alias("n")))
+
+    return F.when(text.isNotNull(), let(words(text), made))
+
+
+def _runs(places: Column, min_chars: int) -> Column:
+    """Runs of successive chunks as longs (first number in the upper 32 bits, last in the lower), from the sorted structs
+    no, n (words), s (characters), if they are long enough."""
+
+    def number(p: Column, i: Column) -> Column:
+        return F.get(p, i)["no"]
+
+    def long_enough(p: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(p) - 1)
+        first = F.filter(at, lambda i: (i == 0) | (number(p, i - 1) != number(p, i) - 1))
+        last = F.filter(at, lambda i: (i == F.size(p) - 1) | (number(p, i + 1) != number(p, i) + 1))
+        total = lambda x, field: F.aggregate(F.slice(p, x["a"] + 1, x["b"] - x["a"] + 1), F.lit(0), lambda t, y: t + y[field])
+        runs = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (total(x, "n") >= MIN_WORDS) & (total(x, "s") >= min_chars))
+        return F.transform(runs, lambda x: F.shiftleft(number(p, x["a"]).cast("long"), 32).bitwiseOR(number(p, x["b"]).cast("long")))
+
+    return let(places, long_enough)
+
+
+def _first(run: Column) -> Column:
+    return F.shiftright(run, 32).cast("int")
+
+
+def _last(run: Column) -> Column:
+    return run.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def _marked(cells: DataFrame, often: DataFrame) -> DataFrame:
+    """The cells whose hash is in ``often``, and some others: a hash is looked up as one bit of ``MARKS`` numbers, so that the
+    texts of most chunks that occur once are not shuffled."""
+    place, bit = F.pmod(F.shiftright("h", 6), F.lit(MARKS)), F.pmod("h", F.lit(64)).cast("int")
+    marks = often.groupBy(place.alias("_place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    out = cells.join(F.broadcast(marks), place == F.col("_place"))
+    return out.where(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_place", "_bits")
+
+
+def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Stored table (_d, _t, gone) from a stored one (_k, _cut): for each document that loses chunks, its key and the runs of these."""
+    whole = whole.select("_k", "_cut")
+    counts = whole.select(F.explode("_cut.c").alias("c")).groupBy(F.xxhash64("c").alias("h")).agg(F.count("*").alias("k"))
+    often = stored(counts.where("k > 1").select("h"), "repeated-hashes")
+    cells = whole.select("_k", F.posexplode("_cut").alias("no", "x"))
+    cells = cells.select(F.struct("_k.d", F.col("_k.h").alias("t"), "no").alias("at"), F.col("x.c").alias("chunk"), F.col("x.n").alias("n"), F.xxhash64("x.c").alias("h"))
+    cells = stored(_marked(cells, often).withColumn("s", F.length("chunk")), "repeated-places", "zstd")
+    groups = cells.groupBy("h").agg(F.count("*").alias("k"), F.min("at").alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    groups = stored(groups.where("k > 1 and low = high").select("h", "first"), "repeated-chunks")
+    # shuffled at any size: the table holds every repeated chunk and outgrows a broadcast early
+    places = cells.select("at", "h", "n", "s").join(groups.hint("merge"), "h").where(~F.col("at").eqNullSafe(F.col("first")))
+    gone = places.groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("at.no", "n", "s"))).alias("p"))
+    return stored(gone.select("_d", "_t", _runs(F.col("p"), min_chars).alias("gone")).where(F.size("gone") > 0), "gone-chunks")
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of ``docs``; text lacks the repeated chunks. Adds _removed (characters taken out) and _n_removed (chunks)."""
-    gone = repeated(docs, min_chars)
-    keyed = with_row_key(packed(docs))
-    out = keyed.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
-    hit, rest = out.where("gone is not null"), out.where("gone is null")
-    kept = F.filter("_chunks", lambda x, i: ~F.array_contains("gone", i))
-    # which chunks go is decided by their number, so a document of many chunks needs no string comparison
+    # texts are cut once and kept as chunks from here on
+    whole = stored(put(with_row_key(packed(docs)), _cut=cut(F.col("text"))).drop("text"), "line-chunks", "zstd")
+    gone = repeated(whole, min_chars)
+    out = whole.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
+    inside = lambda i: F.exists("gone", lambda g: (_first(g) <= i) & (i <= _last(g)))
+    kept = F.when(F.col("gone").isNull(), F.col("_cut.c")).otherwise(F.filter(F.col("_cut.c"), lambda x, i: ~inside(i)))
+    lost = F.aggregate(F.filter("_cut", lambda x, i: inside(i)), F.lit(0), lambda t, x: t + F.length(x["c"]))
+    total = F.aggregate("gone", F.lit(0), lambda t, g: t + _last(g) - _first(g) + 1)
     # a generated row is made once; a plain column would be made again wherever a later filter or column names it
-    hit = chunks(hit).select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new")))))
-    hit = put(hit, _removed=F.length("text") - F.length("_new"), _n_removed=F.size("gone"), text=F.col("_new"))
-    rest = put(rest, _removed=F.lit(0), _n_removed=F.lit(0))
-    return unpacked(hit.drop("_new", "_chunks", "_many").unionByName(rest), docs.columns, "_removed", "_n_removed")
+    out = out.select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new"), F.coalesce(lost, F.lit(0)).alias("_lost"), F.coalesce(total, F.lit(0)).alias("_n")))))
+    out = put(out, _removed=F.when(F.col("gone").isNull(), 0).otherwise(F.col("_lost")), _n_removed=F.col("_n"), text=F.col("_new"))
+    return unpacked(out, docs.columns, "_removed", "_n_removed")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="readtally-")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor takes
     nothing along. Columns are kept compact, which ``checkpoint()`` (serialised rows) does not do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/readtally-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -102,6 +102,35 @@ def test_line_chunks(spark, none):
     assert lines.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("sentences", range(1, 7))
+def test_line_passages_inside_other_text(spark, sentences):
+    rows, want = [], []
+    for n in (51, 60, 75, 100):
+        passage = text(1000 * sentences + n, n).split(" ")
+        for k in range(1, sentences):
+            passage[k * n // sentences - 1] += "."
+        for d in range(3):
+            own = text(7919 * len(rows) + sentences, 90).split(" ")
+            at = (37 * len(rows) + 11 * sentences) % 80
+            rows.append((len(rows), " ".join(own[:at] + passage + own[at:]), 0))
+            want.append((own, at, n, d))
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, gone int")).collect()}
+    for i, (own, at, n, d) in enumerate(want):
+        lost = len(rows[i][1].split()) - len(got[i].split())
+        assert lost == 0 if d == 0 else n - 30 <= lost <= n
+        assert got[i].startswith(" ".join(own[:at])) and got[i].endswith(" ".join(own[at:]))
+
+
+def test_line_passages_unspaced_and_short(spark):
+    passage = "".join(chr(0x4E00 + (i * i * 31 + i * 7) % 5000) for i in range(80))
+    phrase = text(77, 12)
+    texts = ["甲乙丙" + passage + "丁戊", "some words before " + passage + " and after", text(1, 40) + " " + phrase, text(2, 40) + " " + phrase + " " + text(3, 40)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, gone int")
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs).collect()}
+    assert got[0] == texts[0] and got[2] == texts[2] and got[3] == texts[3]
+    assert got[1].startswith("some words before ") and got[1].endswith(" and after") and len(got[1]) < 60
+
+
 def test_lines(spark):
     plain = "One. Two! Three? NO!! NOT!!! HERE?? or.. there\nlast. \n end"
     want = ["One. ", "Two! ", "Three? ", "NO!! NOT!!! HERE?? or.. there\n", "last. ", "\n", " end"]
