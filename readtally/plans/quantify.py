@@ -90,6 +90,8 @@ def annotation_tags(df: DataFrame) -> DataFrame:
 def run(spark: SparkSession, config: Config) -> Result:
     bam.register(spark)
     reads = spark.read.format("bam").load(config.bam)
+    if not config.write_annotated_bam:
+        reads = reads.drop("raw")
     refs = bam.contigs(spark, config.bam)
     table = None
     if config.source.mode == "gtf":

@@ -62,10 +62,20 @@ class Bgzf:
 
 def header(path: str) -> tuple[str, list[tuple[str, int]]]:
     """Header text, and names and lengths of the contigs."""
+    text, refs = _header(path)
+    return text.rstrip(b"\0").decode(), refs
+
+
+def header_bytes(path: str) -> bytes:
+    """Header text as it stands in the file."""
+    return _header(path)[0]
+
+
+def _header(path: str) -> tuple[bytes, list[tuple[str, int]]]:
     f = Bgzf(path)
     if f.read(4) != b"BAM\1":
         raise ValueError(f"{path} is not a BAM file")
-    text = f.read(struct.unpack("<i", f.read(4))[0]).rstrip(b"\0").decode()
+    text = f.read(struct.unpack("<i", f.read(4))[0])
     refs = []
     for _ in range(struct.unpack("<i", f.read(4))[0]):
         name = f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode()
@@ -155,7 +165,7 @@ class BamReader(DataSourceReader):
             raw = f.read(struct.unpack("<i", size)[0])
             if struct.unpack_from("<i", raw)[0] != partition.tid:
                 return
-            yield decode(raw, offset, refs)
+            yield (*decode(raw, offset, refs), raw)
 
 
 class BamSource(DataSource):
@@ -164,7 +174,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return READS
+        return READS + ", raw binary"
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
@@ -186,41 +196,81 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
+def _encoded_tag(key: str, kind: str, value: str) -> bytes:
+    out = key.encode() + kind.encode()
+    if kind in SIZES:
+        return out + struct.pack(SIZES[kind], float(value) if kind == "f" else int(value))
+    if kind == "A":
+        return out + value.encode()
+    if kind == "B":
+        sub, *values = value.split(",")
+        return out + sub.encode() + struct.pack("<i", len(values)) + b"".join(struct.pack(SIZES[sub], float(v) if sub == "f" else int(v)) for v in values)
+    return out + value.encode() + b"\0"
+
+
+def _raw_tags(raw: bytes) -> tuple[int, list[tuple[str, bytes]]]:
+    """Where the tags of a record begin, and each tag's name and bytes, in order."""
+    l_name, n_cigar, l_seq = raw[8], *struct.unpack_from("<H", raw, 12), *struct.unpack_from("<i", raw, 16)
+    at = start = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
+    out = []
+    while at < len(raw):
+        begin, kind = at, chr(raw[at + 2])
+        at += 3
+        if kind in SIZES:
+            at += struct.calcsize(SIZES[kind])
+        elif kind == "A":
+            at += 1
+        elif kind in "ZH":
+            at = raw.index(b"\0", at) + 1
+        elif kind == "B":
+            at += 5 + struct.unpack_from("<i", raw, at + 1)[0] * struct.calcsize(SIZES[chr(raw[at])])
+        else:
+            raise ValueError(f"unknown tag type {kind}")
+        out.append((raw[begin : begin + 2].decode(), raw[begin:at]))
+    return start, out
+
+
+#: Tags that the annotation sets or removes.
+EDITED = ("XF", "XQ", "XR", "XP", "CB", "CR")
+
+
+def edit(raw: bytes, tags: dict[str, tuple[str, str]]) -> bytes:
+    """The record with its tags ``EDITED`` as in ``tags``, at the end; all other bytes as they are."""
+    start, old = _raw_tags(raw)
+    # a barcode that the row did not change keeps its bytes and place
+    same = {k for k, b in old if k in tags and _encoded_tag(k, *tags[k]) == b}
+    kept = [b for k, b in old if k not in EDITED or k in same]
+    return raw[:start] + b"".join(kept) + b"".join(_encoded_tag(k, *tags[k]) for k in EDITED if k in tags and k not in same)
+
+
 def encode(row: dict) -> bytes:
+    """The record of a row; a row that has its raw record keeps all of it but the edited tags."""
+    if row.get("raw") is not None:
+        return edit(bytes(row["raw"]), row["tags"] or {})
     name, cigar, seq = row["qname"].encode() + b"\0", row["cigar"] or [], row["seq"] or ""
     span = sum(n for op, n in cigar if op in "MDN=X") or 1
     out = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], _bin(max(row["pos"], 0), max(row["pos"], 0) + span), len(cigar), row["flag"], len(seq), -1, -1, 0) + name
     out += b"".join(struct.pack("<I", n << 4 | CIGAR_OPS.index(op)) for op, n in cigar)
     code = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
     out += bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True)) + b"\xff" * len(seq)
-    for key, (kind, value) in sorted((row["tags"] or {}).items()):
-        out += key.encode() + kind.encode()
-        if kind in SIZES:
-            out += struct.pack(SIZES[kind], float(value) if kind == "f" else int(value))
-        elif kind == "A":
-            out += value.encode()
-        elif kind == "B":
-            sub, *values = value.split(",")
-            out += sub.encode() + struct.pack("<i", len(values)) + b"".join(struct.pack(SIZES[sub], float(v) if sub == "f" else int(v)) for v in values)
-        else:
-            out += value.encode() + b"\0"
-    return out
+    return out + b"".join(_encoded_tag(key, kind, value) for key, (kind, value) in sorted((row["tags"] or {}).items()))
 
 
-def write(path: str, refs: list[tuple[str, int]], rows, block: int = 60_000) -> None:
+def write(path: str, refs: list[tuple[str, int]], rows, block: int = 60_000, text: bytes = b"") -> None:
     """Writes sorted rows (dicts in the reads schema) as one BAM file with its index, as they come."""
     spans: dict[int, dict[int, list]] = {}
     with open(path, "wb") as f:
         buffer = bytearray()
 
         def flush() -> None:
-            if buffer:
+            while buffer:
+                data = bytes(buffer[:60_000])
                 c = zlib.compressobj(6, zlib.DEFLATED, -15)
-                body = c.compress(bytes(buffer)) + c.flush()
-                f.write(bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(bytes(buffer)), len(buffer)))
-                buffer.clear()
+                body = c.compress(data) + c.flush()
+                f.write(bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
+                del buffer[: len(data)]
 
-        buffer += b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(refs))
+        buffer += b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
         for name, size in refs:
             buffer += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
         flush()

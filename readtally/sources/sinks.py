@@ -54,4 +54,4 @@ def write(spark, config: Config) -> None:
         _lines(folder / "counts.tsv", (table.drop("count_reverse") if one else table).toLocalIterator(), [result.header, *(["count"] if one else ["count_correct", "count_reverse"])])
     if config.write_annotated_bam:
         rows = quantify.annotation_tags(result.reads).repartitionByRange("tid", "ord").sortWithinPartitions("tid", "ord")
-        bam.write(str(folder / "annotated.bam"), bam.header(config.bam)[1], (r.asDict(recursive=False) | {"cigar": [tuple(c) for c in r["cigar"]], "tags": {k: tuple(v) for k, v in r["tags"].items()}} for r in rows.toLocalIterator()))
+        bam.write(str(folder / "annotated.bam"), bam.header(config.bam)[1], (r.asDict(recursive=False) | {"cigar": [tuple(c) for c in r["cigar"]], "tags": {k: tuple(v) for k, v in r["tags"].items()}} for r in rows.toLocalIterator()), text=bam.header_bytes(config.bam))

@@ -61,6 +61,35 @@ def test_end_to_end(spark, bam_file, tmp_path):
     assert len(rows) == 300 and rows[0]["tags"]["XQ"]["v"] == "chr1" and rows[0]["tags"]["XP"]["v"] == "1"
 
 
+def test_annotated_bam_keeps_records(spark, tmp_path, monkeypatch):
+    import struct
+
+    plain, made = bam.encode, []
+
+    def with_mate(row):
+        if row.get("raw") is not None:
+            return plain(row)
+        raw = bytearray(plain(row))
+        struct.pack_into("<iii", raw, 20, row["tid"], row["pos"] + 50, 85)
+        at = 32 + raw[8] + 4 * len(row["cigar"]) + (len(row["seq"]) + 1) // 2
+        raw[at : at + len(row["seq"])] = bytes(range(len(row["seq"])))
+        made.append(bytes(raw))
+        return bytes(raw)
+
+    text = b"@HD\tVN:1.6\tSO:coordinate\n@RG\tID:a\tSM:b\n@PG\tID:p\n" + b"@CO\tlong header\n" * 6000
+    path, out = str(tmp_path / "a.bam"), tmp_path / "out"
+    monkeypatch.setattr(bam, "encode", with_mate)
+    bam.write(path, [("chr1", 10000), ("chr2", 5000)], _reads(), block=2000, text=text)
+    monkeypatch.undo()
+    sinks.write(spark, config.from_dict({"input": {"bam": path, "source": {"mode": "bam_references"}}, "dedup": {"mode": "none"}, "output": {"directory": str(out), "write_annotated_bam": True}}))
+    assert bam.header_bytes(str(out / "annotated.bam")) == text
+    rows = spark.read.format("bam").load(str(out / "annotated.bam")).orderBy("ord").collect()
+    assert len(rows) == len(made) == 300
+    for r, old in zip(rows, made, strict=True):
+        at = old.index(b"NHC")
+        assert bytes(r["raw"])[:at] == old[:at] and r["tags"]["XP"]["v"] == str(r["pos"] + 1) and tuple(r["tags"]["XB"]) == ("B", "S,1,2")
+
+
 def test_single_cell(spark, bam_file, tmp_path):
     out = tmp_path / "out"
     umi = {"mode": "search_in_name", "search": "UMI_", "skip": 0, "len": 2}
