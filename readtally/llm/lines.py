@@ -1,24 +1,28 @@
 """Line dedup by content-defined chunks of words, with DataFrame functions only.
 
 A text is cut into words, which keep the blanks and newlines after them, so that words put together give the text; in scripts
-without blanks each character is a word. A hash covers two successive words. A chunk begins where the hash is lowest among
+without blanks each character is a word. A hash covers two successive words. A chunk begins where the hash is negative and lowest among
 ``REACH`` places on either side: the rule looks at eight words around, so the same passage is cut the same way
 whatever stands before and after it, within a line or over many. A chunk has four words at least and seven on average; of random
 passages of 51 words all but one in 1,000 hold ``MIN_WORDS`` words between the first and the last boundary of their own.
 
-Chunks are grouped by hash over all documents, first as counts. Where a hash repeats, and the smallest and the largest text of its group
-are the same bytes (a byte comparison of all of them), all occurrences but the first (by doc_id, text hash, position) are
-repeats; hash collisions are left alone. Counting and comparing are aggregations with map-side partial results, so a very
-common chunk is not gathered; texts are not grouped by chunk. Successive repeats in a document form a run, and runs of
-``MIN_WORDS`` words and ``MIN_CHARS`` characters go: short phrases that texts share by chance stay.
+Chunks are counted by hash over all documents. Those whose hash repeats are grouped by their bytes (a byte comparison of
+all of them), and all occurrences but the first (by doc_id, text hash, position) are repeats; a hash that two such chunks
+share is left alone. Counting and comparing are hash aggregations with map-side partial results, so a very common chunk
+is not gathered. Successive repeats in a document form a run, and runs of ``MIN_WORDS`` words and ``MIN_CHARS`` characters go:
+short phrases that texts share by chance stay.
 
 Edge cases: null stays null; texts of fewer words than ``MIN_WORDS`` are not touched; a document whose rows
-repeat exactly is one document; two documents of equal text leave the first whole and the second empty. Repetitions
-inside a document are removed too. A passage keeps its head and tail, where chunks straddle its edges.
+repeat exactly is one document; two documents of equal text leave the first whole and the second empty; documents without
+an id come after the others. Repetitions inside a document are removed too. A passage keeps its head and tail, where chunks
+straddle its edges. An empty table gives an empty table. A very long text is an array in one row, its work linear in
+its words but for the chunks that go (each is looked up among the text's removed runs).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,57 +35,54 @@ MIN_WORDS = 20
 REACH = 3
 _BLANKS = r"(?<=[ \n])(?=[^ \n])"
 #: Thai to Myanmar, Khmer, Chinese and Japanese (with full-width signs): no blanks between words.
-_UNSPACED = r"[฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯\x{20000}-\x{3FFFF}]"
+_RANGES = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯\x{20000}-\x{3FFFF}"
+_UNSPACED = f"[{_RANGES}]"
+#: One range around all of these, which is looked for first because that is quicker.
+_FAR = r"[฀-\x{3FFFF}]"
 #: Numbers of 64 bits in which the repeated hashes are marked; a table of that many rows is broadcast.
 MARKS = 1 << 19
-_MARK = "\x01"
-_HOLD = "\x02"
-_ENDS = ("\n", ". ", "! ", "? ")
-_SLOW = r"(?<=\n)|(?<=(?<!\.)\. )|(?<=(?<!!)! )|(?<=(?<!\?)\? )"
+#: Stands before each chunk but the first while a text is cut; texts that hold it have it escaped meanwhile.
+_MARK, _ESCAPE = "\x01", "\x02"
 
 
-def lines(text: Column) -> Column:
-    """Lines with their endings. The quick way marks the ends; texts that hold a mark themselves are cut by a pattern."""
-    marked = text
-    for end in _ENDS[1:]:
-        marked = F.replace(marked, F.lit(end[0] + end), F.lit(end[0] * 2 + _HOLD + " "))
-    for end in _ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    marked = F.replace(marked, F.lit(_HOLD), F.lit(""))
-    held = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_HOLD))
-    return F.when(held, F.split(text, _SLOW)).otherwise(F.split(marked, _MARK))
+def _unspaced(text: Column) -> Column:
+    return (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(_FAR)) & F.rlike(text, F.lit(_UNSPACED))
 
 
 def words(text: Column) -> Column:
     """Words with the blanks and newlines after them; a character of an unspaced script is a word. Whether a place
     divides words depends on the characters beside it only, not on the rest of the text."""
-    unspaced = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(_UNSPACED))
-    return F.when(unspaced, F.split(text, f"{_BLANKS}|(?<={_UNSPACED})(?=[^ \\n])")).otherwise(F.split(text, _BLANKS))
+    return F.when(_unspaced(text), F.split(text, f"{_BLANKS}|(?<={_UNSPACED})(?=[^ \\n])")).otherwise(F.split(text, _BLANKS))
 
 
-def cut(text: Column) -> Column:
-    """The text's chunks in order: array of structs c (string) and n (words)."""
+def n_words(text: Column) -> Column:
+    """Number of words that are not only blanks; each character of a text with unspaced script counts."""
+    return F.when(_unspaced(text), F.length(text)).otherwise(F.size(F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")))
+
 
-    def starts(r: Column) -> Column:
-        def lowest(i: Column) -> Column:
-            here = F.get(r, i)
-            out = here < F.get(r, i - 1)
-            for k in range(1, REACH + 1):
-                out = out & (here <= F.get(r, i + k)) & ((here < F.get(r, i - k)) if k > 1 else F.lit(True))
-            return out
+def cut(text: Column) -> Column:
+    """The text's chunks in order: array of structs c (string) and h (hash of it)."""
 
-        last = F.size(r) - 1 - REACH
-        return F.when(last >= REACH, F.filter(F.sequence(F.lit(REACH), F.greatest(last, F.lit(REACH))), lowest)).otherwise(F.array().cast("array<int>"))
+    def lowest(r: Column, i: Column) -> Column:
+        here = F.get(r, i)
+        # nearly all such minima are negative, and a sign is read faster than neighbours are compared
+        out = (here < 0) & (here < F.get(r, i - 1)) & (here <= F.get(r, i + 1))
+        for k in range(2, REACH + 1):
+            out = out & (here < F.get(r, i - k)) & (here <= F.get(r, i + k))
+        return out  # null near the ends, where no chunk begins
 
-    def spans(at: Column, n: Column) -> Column:
-        return F.zip_with(F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(n)), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    def chunks(w: Column) -> Column:
+        pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
+        marked = let(pairs, lambda r: F.transform(w, lambda x, i: F.when(lowest(r, i), F.concat(F.lit(_MARK), x)).otherwise(x)))
+        return F.split(F.array_join(marked, ""), _MARK)
 
-    def made(w: Column) -> Column:
-        r = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
-        at = let(r, starts)
-        return F.transform(let(at, lambda c: spans(c, F.size(w))), lambda s: F.struct(F.array_join(F.slice(w, s["a"] + 1, s["n"]), "").alias("c"), s["n"].alias("n")))
+    def hashed(parts: Column, plain: Callable[[Column], Column]) -> Column:
+        return F.transform(parts, lambda c: F.struct(plain(c).alias("c"), F.xxhash64(c).alias("h")))
 
-    return F.when(text.isNotNull(), let(words(text), made))
+    held = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_ESCAPE))
+    safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
+    undo = lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
+    return F.when(held, hashed(let(words(safe), chunks), undo)).when(text.isNotNull(), hashed(let(words(text), chunks), lambda c: c))
 
 
 def _runs(places: Column, min_chars: int) -> Column:
@@ -119,19 +120,32 @@ def _marked(cells: DataFrame, often: DataFrame) -> DataFrame:
     return out.where(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_place", "_bits")
 
 
+def _order(no: Column) -> Column:
+    """One number that orders places by doc_id (none: last), text hash (30 bits) and number in the text. A number, since
+    aggregates of structs and strings sort their rows."""
+    doc = F.coalesce(F.col("_k.d").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    low = F.shiftleft(F.shiftrightunsigned("_k.h", 34), 31).bitwiseOR(no.cast("long"))
+    return doc * F.lit(1 << 61).cast("decimal(19,0)") + low
+
+
 def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Stored table (_d, _t, gone) from a stored one (_k, _cut): for each document that loses chunks, its key and the runs of these."""
     whole = whole.select("_k", "_cut")
-    counts = whole.select(F.explode("_cut.c").alias("c")).groupBy(F.xxhash64("c").alias("h")).agg(F.count("*").alias("k"))
+    counts = whole.select(F.explode("_cut.h").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
     often = stored(counts.where("k > 1").select("h"), "repeated-hashes")
-    cells = whole.select("_k", F.posexplode("_cut").alias("no", "x"))
-    cells = cells.select(F.struct("_k.d", F.col("_k.h").alias("t"), "no").alias("at"), F.col("x.c").alias("chunk"), F.col("x.n").alias("n"), F.xxhash64("x.c").alias("h"))
-    cells = stored(_marked(cells, often).withColumn("s", F.length("chunk")), "repeated-places", "zstd")
-    groups = cells.groupBy("h").agg(F.count("*").alias("k"), F.min("at").alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    groups = stored(groups.where("k > 1 and low = high").select("h", "first"), "repeated-chunks")
+    cells = whole.select("_k", F.posexplode("_cut").alias("no", "x")).select("_k", "no", F.col("x.c").alias("chunk"), F.col("x.h").alias("h"))
+    cells = _marked(cells, often).select(
+        F.col("_k.d").alias("d"), F.col("_k.h").alias("t"), "no", _order(F.col("no")).alias("at"), "h", "chunk",
+        n_words(F.col("chunk")).alias("n"), F.length("chunk").alias("s"),
+    )
+    cells = stored(cells, "repeated-places", "zstd")
+    # grouping by the chunk itself compares the bytes; a hash that two repeated chunks share is left alone
+    texts = cells.groupBy("h", "chunk").agg(F.count("*").alias("k"), F.min("at").alias("first"))
+    groups = texts.groupBy("h").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.min("first").alias("first"))
+    groups = stored(groups.where("k > 1 and texts = 1").select("h", "first"), "repeated-chunks")
     # shuffled at any size: the table holds every repeated chunk and outgrows a broadcast early
-    places = cells.select("at", "h", "n", "s").join(groups.hint("merge"), "h").where(~F.col("at").eqNullSafe(F.col("first")))
-    gone = places.groupBy(F.col("at.d").alias("_d"), F.col("at.t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("at.no", "n", "s"))).alias("p"))
+    places = cells.select("d", "t", "no", "at", "h", "n", "s").join(groups.hint("merge"), "h").where("at > first")
+    gone = places.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("no", "n", "s"))).alias("p"))
     return stored(gone.select("_d", "_t", _runs(F.col("p"), min_chars).alias("gone")).where(F.size("gone") > 0), "gone-chunks")
 
 
@@ -142,12 +156,13 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = repeated(whole, min_chars)
     out = whole.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
     inside = lambda i: F.exists("gone", lambda g: (_first(g) <= i) & (i <= _last(g)))
-    kept = F.when(F.col("gone").isNull(), F.col("_cut.c")).otherwise(F.filter(F.col("_cut.c"), lambda x, i: ~inside(i)))
-    lost = F.aggregate(F.filter("_cut", lambda x, i: inside(i)), F.lit(0), lambda t, x: t + F.length(x["c"]))
-    total = F.aggregate("gone", F.lit(0), lambda t, g: t + _last(g) - _first(g) + 1)
+    some = F.col("gone").isNotNull()
+    kept = F.when(some, F.filter(F.col("_cut.c"), lambda x, i: ~inside(i))).otherwise(F.col("_cut.c"))
+    lost = F.when(some, F.aggregate(F.filter("_cut", lambda x, i: inside(i)), F.lit(0), lambda t, x: t + F.length(x["c"]))).otherwise(0)
+    total = F.when(some, F.aggregate("gone", F.lit(0), lambda t, g: t + _last(g) - _first(g) + 1)).otherwise(0)
     # a generated row is made once; a plain column would be made again wherever a later filter or column names it
-    out = out.select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new"), F.coalesce(lost, F.lit(0)).alias("_lost"), F.coalesce(total, F.lit(0)).alias("_n")))))
-    out = put(out, _removed=F.when(F.col("gone").isNull(), 0).otherwise(F.col("_lost")), _n_removed=F.col("_n"), text=F.col("_new"))
+    out = out.select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new"), lost.alias("_lost"), total.alias("_n")))))
+    out = put(out, _removed=F.col("_lost"), _n_removed=F.col("_n"), text=F.col("_new"))
     return unpacked(out, docs.columns, "_removed", "_n_removed")
 
 

@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> Data
     nothing along. Columns are kept compact, which ``checkpoint()`` (serialised rows) does not do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/readtally-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("parquet.compression.codec.zstd.level", "1").parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
