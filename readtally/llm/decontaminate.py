@@ -2,15 +2,18 @@
 
 Texts and items are words (letters A-Z lowered). From every window of ``W`` successive word ``K``-grams the smallest
 hash is kept (the rightmost of equal ones). A run of K + W - 1 = 13 shared words holds one whole window, so both sides
-keep the same fingerprint: no such run is missed. Fingerprints of both sides are joined, and each hit is extended along
-its diagonal; runs of 13 equal words and more count. Items of fewer than 13 words are looked up as one gram of all their
-words.
+keep the same fingerprint: no such run is missed. Fingerprints of both sides are joined, an item counting once for each, and each
+hit is extended: the runs of 13 words around it are looked up among the item's, and its words are marked where they are found. Items
+of fewer than 13 words are looked up as one run of all their words. A text that repeats itself costs as many rows as
+it has fingerprints, not as many as pairs of places.
 
-The fingerprint join is a Spark join: a small benchmark is broadcast by Spark's own size limit, a large one is shuffled.
-If the benchmark has at most ``PREFILTER`` fingerprints, the scan drops all others before they leave the task.
+If the benchmark has at most ``PREFILTER`` fingerprints, these and the items' runs are sent to the tasks, and the scan drops
+all other fingerprints before they leave the task. A larger one is joined by Spark, and texts and items are fetched for
+the candidates only.
 
 Edge cases: null and empty texts have no words and no hits; items without words are ignored; equal item ids count once;
-each row of documents gives a row, repeated or not; an empty benchmark hits nothing.
+each row of documents gives a row, repeated or not; an empty benchmark hits nothing, empty documents give an empty table.
+A very long text is scanned in one task, in slices where rows are short; its fingerprints that hit are a list in one row.
 """
 
 from __future__ import annotations
@@ -52,21 +55,28 @@ def short_grams(w: V.Words, m: int) -> tuple[np.ndarray, np.ndarray]:
     return V.mix(g + _SHORT * np.uint64(m)), at
 
 
+def _runs(w: V.Words, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``m`` words: those of SPAN, or the short items' of all their words."""
+    return w.grams(m) if m == SPAN else short_grams(w, m)
+
+
 def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each item with words: its key, length of runs, fingerprints and runs (both sorted, distinct)."""
     for batch in batches:
-        hs, rows, poss, ms = [], [], [], []
+        at, ms, prints, runs = [], [], [], []
         for w in V.words(batch.column("item_text")):
-            h, at = winnow(w)
-            pos, n = w.position(), np.diff(w.word_bounds)
-            hs.append(h), rows.append(w.first + w.row[at]), poss.append(pos[at]), ms.append(np.full(len(h), SPAN))
-            for m in np.unique(n[(n > 0) & (n < SPAN)]):
-                h, at = short_grams(w, int(m))
-                own = n[w.row[at]] == m
-                hs.append(h[own]), rows.append(w.first + w.row[at[own]]), poss.append(pos[at[own]]), ms.append(np.full(own.sum(), m))
-        if hs:
-            row = pa.array(np.concatenate(rows))
-            cols = [V.signed(np.concatenate(hs)), batch.column("item_id").take(row), np.concatenate(poss).astype(np.int32), np.concatenate(ms).astype(np.int32), batch.column("item_text").take(row)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["h", "item_id", "item_pos", "m", "item_text"])
+            n = np.diff(w.word_bounds)
+            h, where = winnow(w)
+            row = w.row[where]
+            for r in np.flatnonzero(n):
+                m = min(SPAN, int(n[r]))
+                g, begin = _runs(w, m)
+                own = np.unique(V.signed(g[w.row[begin] == r]))
+                at.append(w.first + r), ms.append(m), runs.append(own)
+                prints.append(np.unique(V.signed(h[row == r])) if m == SPAN else own)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (prints, runs)]
+        keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("ik", "item_id")]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(ms, pa.int32()), *lists], names=["ik", "item_id", "m", "prints", "runs"])
 
 
 def _doc_prints(lengths: list[int], known):
@@ -96,70 +106,84 @@ def _doc_prints(lengths: list[int], known):
     return run
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    return np.concatenate([w.hash for w in V.words(pa.array([text]))])
+def _extend(items):
+    """Marks the words of each document that lie in runs of its candidates. ``items``: broadcast of (id, m, runs) by item
+    key, or None if the candidates carry these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, n_items, digest = [], [], []
+            for text, found in zip(batch.column("text"), batch.column("candidates").to_pylist(), strict=True):
+                hits: set = set()
+                marked = 0
+                if found:
+                    (w,) = V.words(pa.array([text.as_py()]))  # one text is one slice
+                    runs: dict[int, np.ndarray] = {}
+                    mark = np.zeros(len(w.hash) + 1, np.int64)
+                    places: dict[int, list[int]] = {}
+                    known = {}
+                    for c in found:
+                        places.setdefault(c["ik"], []).extend([c["pos"]] if items is not None else c["places"])
+                        known[c["ik"]] = items.value[c["ik"]] if items is not None else (c["item_id"], c["m"], np.array(c["runs"], np.int64))
+                    for ik, at in places.items():
+                        item_id, m, wanted = known[ik]
+                        if m not in runs:
+                            runs[m] = V.signed(_runs(w, m)[0])
+                        # a fingerprint of K words lies in the runs that begin up to m - K words before it
+                        begin = np.unique(np.array(at)[:, None] - np.arange(max(m - K, 0) + 1 if m == SPAN else 1))
+                        begin = begin[(begin >= 0) & (begin < len(runs[m]))]
+                        begin = begin[V.in_sorted(runs[m][begin], wanted) >= 0]
+                        if len(begin):
+                            np.add.at(mark, begin, 1)
+                            np.add.at(mark, begin + m, -1)
+                            if item_id is not None:
+                                hits.add(item_id)
+                    marked = int((np.cumsum(mark)[:-1] > 0).sum())
+                n_hit.append(marked)
+                n_items.append(len(hits))
+                digest.append(hashlib.sha256(",".join(sorted(str(x) for x in hits)).encode()).hexdigest())
+            columns = [batch.column(c) for c in ("doc_id", "h", "n_words")] + [pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_words", "n_hit", "n_items", "items_sha256"])
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends each candidate (item, diagonal) of a document to the runs of equal words."""
-    items: dict[str, np.ndarray] = {}
-    for batch in batches:
-        n_hit, n_items, digest = [], [], []
-        for row in batch.select(["text", "candidates"]).to_pylist():
-            hits: set = set()
-            marked = 0
-            if row["candidates"]:
-                doc = _word_hashes(row["text"])
-                mark = np.zeros(len(doc) + 1, np.int64)
-                for c in row["candidates"]:
-                    item = items.get(c["item_text"])
-                    if item is None:
-                        if len(items) > 2000:
-                            items.clear()
-                        item = items[c["item_text"]] = _word_hashes(c["item_text"])
-                    need, a = min(SPAN, len(item)), c["diagonal"]
-                    lo, hi = max(0, a), min(len(doc), a + len(item))
-                    same = np.zeros(hi - lo + 2, np.int8)
-                    same[1:-1] = doc[lo:hi] == item[lo - a : hi - a]
-                    edge = np.diff(same)
-                    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    long = end - begin >= need
-                    if long.any():
-                        np.add.at(mark, lo + begin[long], 1)
-                        np.add.at(mark, lo + end[long], -1)
-                        if c["item_id"] is not None:
-                            hits.add(c["item_id"])
-                marked = int((np.cumsum(mark)[:-1] > 0).sum())
-            n_hit.append(marked)
-            n_items.append(len(hits))
-            digest.append(hashlib.sha256(",".join(sorted(str(x) for x in hits)).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "h", "n_words", "n_hit", "n_items", "items_sha256"])
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, prefilter: int = PREFILTER) -> DataFrame:
     """For each row of ``docs``: doc_id, h (text hash), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_text is not null").distinct()
-    index = stored(items.mapInArrow(_item_prints, "h long, item_id long, item_pos int, m int, item_text string"), "index")
-    lengths = [r[0] for r in index.where(F.col("m") < SPAN).select("m").distinct().collect()]
-    prints = index.select("h").distinct()
-    known = None
+    items = items.withColumn("ik", F.xxhash64("item_id", F.col("item_id").isNull(), "item_text"))
+    index = stored(items.mapInArrow(_item_prints, "ik long, item_id long, m int, prints array<long>, runs array<long>"), "index")
+    lengths = [r[0] for r in index.where(F.col("m") < SPAN).select("m").distinct().collect()]  # at most SPAN - 1
+    prints = stored(index.select("ik", F.explode("prints").alias("print")), "prints")
+    known = held = None
     if prints.limit(prefilter + 1).count() <= prefilter:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in prints.collect()], np.int64).view(np.uint64)))
+        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in prints.select("print").distinct().collect()], np.int64).view(np.uint64)))
+        # an item has a fingerprint for each W runs at least, so these are at most W * prefilter numbers
+        held = spark.sparkContext.broadcast({r["ik"]: (r["item_id"], r["m"], np.array(r["runs"], np.int64)) for r in index.collect()})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     scan = keyed.mapInArrow(_doc_prints(lengths, known), "doc_id long, h long, n_words long, text string, prints array<struct<h:long,pos:int>>")
     scan = scan.withColumn("uid", F.monotonically_increasing_id()).select("*", F.explode_outer("prints").alias("p")).drop("prints")
-    hits = scan.join(index.withColumnRenamed("h", "print"), F.col("p.h") == F.col("print"), "left")
-    candidate = F.when(F.col("item_text").isNotNull(), F.struct("item_id", (F.col("p.pos") - F.col("item_pos")).alias("diagonal"), "item_text"))
+    hits = scan.join(prints, F.col("p.h") == F.col("print"), "left")
+    candidate = F.when(F.col("ik").isNotNull(), F.struct("ik", F.col("p.pos").alias("pos")))
     grouped = hits.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "n_words", "text")), F.collect_set(candidate).alias("candidates"))
-    if known is None:  # too many fingerprints to drop the others in the scan: texts are fetched for the candidates only
-        texts = keyed.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("text").alias("_t"))
-        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.size("candidates") > 0)
-        grouped = grouped.join(texts, same, "left").withColumn("text", F.col("_t"))
-    out = grouped.select("doc_id", "h", "n_words", "text", "candidates").mapInArrow(_extend, "doc_id long, h long, n_words long, n_hit long, n_items long, items_sha256 string")
+    if known is None:
+        grouped = _with_texts(stored(grouped, "candidates"), keyed, index)
+    out = grouped.select("doc_id", "h", "n_words", "text", "candidates").mapInArrow(_extend(held), "doc_id long, h long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _with_texts(grouped: DataFrame, keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidates with their texts and items, which the scan did not carry along."""
+    each = grouped.select("uid", F.explode("candidates").alias("c")).select("uid", "c.ik", "c.pos")
+    full = each.groupBy("uid", "ik").agg(F.collect_list("pos").alias("places")).join(index.select("ik", "item_id", "m", "runs"), "ik")
+    full = full.groupBy("uid").agg(F.collect_list(F.struct("ik", "places", "item_id", "m", "runs")).alias("candidates"))
+    some = grouped.where(F.size("candidates") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    texts = keyed.join(some, same, "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("text").alias("_t"))
+    return grouped.drop("candidates").join(full, "uid", "left").join(texts, same, "left").withColumn("text", F.col("_t"))
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, benchmark).drop("h")
