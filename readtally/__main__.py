@@ -6,13 +6,16 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from readtally import config
+from readtally import __version__, config
 from readtally.sources import sinks
 
 
 def main(args: list[str]) -> int:
+    if args == ["--version"]:
+        print(f"readtally {__version__}")
+        return 0
     if len(args) != 1 or args[0] in ("-h", "--help"):
-        print("usage: python -m readtally config.toml")
+        print("usage: python -m readtally config.toml\n       python -m readtally --version")
         return 0 if args[:1] in (["-h"], ["--help"]) else 2
     try:
         sinks.write(SparkSession.builder.appName("readtally").getOrCreate(), config.load(args[0]))

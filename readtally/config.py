@@ -28,11 +28,23 @@ def _take(section: str, data: dict, known: dict[str, Any], strict: bool = True)
     return out
 
 
+# Spellings of modes besides snake_case and CamelCase.
+_SPELLINGS = {
+    "NInUMI": "n_in_umi", "NInUmi": "n_in_umi", "PolyXUMI": "polyx_umi", "PolyXUmi": "polyx_umi", "PolyAUMI": "polya_umi", "PolyAUmi": "polya_umi",
+    "NoDedup": "none", "MultiMapper": "multimapper", "SingleCell": "sc", "singlecell": "sc", "BamTag": "tag", "bam_tag": "tag",
+}
+
+
 def _mode(name: str) -> str:
     """snake_case of a mode that may be written in CamelCase."""
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
 
+def _pattern(text: str) -> str:
+    """A pattern in the dialect of Spark, in which named groups have no P."""
+    return text.replace("(?P<", "(?<")
+
+
 def check_tag(tag: str) -> str:
     if not isinstance(tag, str) or len(tag) != 2:
         raise ConfigError("BAM tag must be 2 letters")
@@ -87,12 +99,12 @@ class Config:
     only_correct: bool = False
 
 
-_FILTERS = ("multi_mapper", "multimapper", "non_primary", "read1", "read2", "spliced", "reference", "n_in_umi", "poly_x_umi", "polyx_umi", "poly_a_umi", "polya_umi")
+_FILTERS = ("multimapper", "non_primary", "read1", "read2", "spliced", "reference", "n_in_umi", "polyx_umi", "polya_umi")
 
 
 def _extractor(section: str, data: dict) -> dict:
-    mode = _mode(data.get("mode", ""))
-    need = {"regex_name": ("regex",), "search_in_name": ("search", "skip", "len"), "read_region": ("start", "stop"), "tag": ("tag",), "bam_tag": ("tag",)}
+    mode = _SPELLINGS.get(data.get("mode", ""), _mode(data.get("mode", "")))
+    need = {"regex_name": ("regex",), "search_in_name": ("search", "skip", "len"), "read_region": ("start", "stop"), "tag": ("tag",)}
     if mode not in need:
         raise ConfigError(f"unknown mode `{data.get('mode')}` in {section}")
     for key in need[mode]:
@@ -100,20 +112,22 @@ def _extractor(section: str, data: dict) -> dict:
             raise ConfigError(f"missing field `{key}` in {section}")
     if mode == "regex_name":
         try:
-            re.compile(data["regex"])
+            groups = re.compile(_pattern(data["regex"]).replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!")).groups
         except re.error as e:
             raise ConfigError(f"invalid regex in {section}: {e}") from e
+        data = {**data, "regex": _pattern(data["regex"]), "groups": groups}
     if mode == "read_region" and data["start"] >= data["stop"]:
         raise ConfigError(f"start must be smaller than stop in {section}")
-    if mode in ("tag", "bam_tag"):
+    if mode == "tag":
         check_tag(data["tag"])
-    return {**data, "mode": "tag" if mode == "bam_tag" else mode}
+    return {**data, "mode": mode}
 
 
 def _choice(value: str, allowed: tuple[str, ...], what: str) -> str:
-    if _mode(value) not in allowed:
-        raise ConfigError(f"unknown variant `{value}`, expected one of {', '.join(allowed)} for {what}")
-    return _mode(value)
+    for name in (_SPELLINGS.get(value), _mode(value)):
+        if name in allowed:
+            return name
+    raise ConfigError(f"unknown variant `{value}`, expected one of {', '.join(allowed)} for {what}")
 
 
 def from_dict(data: dict) -> Config:
@@ -129,8 +143,7 @@ def from_dict(data: dict) -> Config:
     mode = _choice(src.pop("mode", ""), ("gtf", "bam_references", "bam_tag"), "input.source.mode")
     strategy = _take("strategy", top["strategy"], {"overlap": "union", "multi_region": "count_both", "direction": "forward"})
     # dedup keeps unknown keys without complaint
-    mode_of_dedup = _choice(top["dedup"].get("mode", ""), ("none", "umi", "singlecell", "single_cell", "sc"), "dedup.mode")
-    mode_of_dedup = "sc" if mode_of_dedup in ("singlecell", "single_cell") else mode_of_dedup
+    mode_of_dedup = _choice(top["dedup"].get("mode", ""), ("none", "umi", "sc"), "dedup.mode")
     bucket = _choice(top["dedup"].get("bucket", "PerPosition"), ("per_position", "per_reference"), "dedup.bucket")
     if mode_of_dedup != "none" and top["umi"] is None:
         raise ConfigError(f"dedup mode {mode_of_dedup} needs [umi]")
@@ -138,7 +151,7 @@ def from_dict(data: dict) -> Config:
         raise ConfigError("dedup mode singlecell needs [cell_barcodes]")
     filters = []
     for f in top["filter"]:
-        name = _choice(f.get("mode", ""), _FILTERS, "filter.mode").replace("multi_mapper", "multimapper").replace("poly_x", "polyx").replace("poly_a", "polya")
+        name = _choice(f.get("mode", ""), _FILTERS, "filter.mode")
         action = _choice(f.get("action", ""), ("keep", "remove"), "filter.action")
         if name == "reference" and not f.get("references"):
             raise ConfigError("Reference filter requires at least one reference to filter on.")
@@ -150,7 +163,9 @@ def from_dict(data: dict) -> Config:
         for key in ("filename", "feature", "id_attribute"):
             if not src[key]:
                 raise ConfigError(f"{key} can not be an empty string")
-        source = Source("gtf", src["filename"], _choice(src["subformat"], ("auto_detect", "gff", "gtf"), "subformat"), src["feature"], src["id_attribute"], src["aggr_id_attribute"] or src["id_attribute"], _choice(src["duplicate_handling"], ("collapse", "rename"), "duplicate_handling"))
+        subformat = _choice(src["subformat"], ("auto_detect", "gff", "gtf"), "subformat")
+        twice = _choice(src["duplicate_handling"], ("collapse", "rename"), "duplicate_handling")
+        source = Source("gtf", src["filename"], subformat, src["feature"], src["id_attribute"], src["aggr_id_attribute"] or src["id_attribute"], twice)
     elif mode == "bam_tag":
         tag = check_tag(_take("input.source", src, {"tag": ...})["tag"])
         if tag != tag.upper():
@@ -170,9 +185,13 @@ def from_dict(data: dict) -> Config:
             raise ConfigError("separator_char must be one character or a number below 256")
         barcodes = Barcodes(_extractor("cell_barcodes.extract", b["extract"]), sep, int(b["max_hamming"]), list(b["whitelist_files"]))
     out = _take("output", top["output"], {"directory": ..., "write_annotated_bam": False, "only_correct": False})
+    policy = Strategy(
+        _choice(strategy["overlap"], ("union", "intersection_strict", "intersection_non_empty"), "overlap"),
+        _choice(strategy["multi_region"], ("drop", "count_both"), "multi_region"),
+        _choice(strategy["direction"], ("forward", "reverse", "ignore"), "direction"),
+    )
     return Config(
-        box["bam"], source, box["correct_reads_for_clipping"], box["max_skip_length"], filters,
-        Strategy(_choice(strategy["overlap"], ("union", "intersection_strict", "intersection_non_empty"), "overlap"), _choice(strategy["multi_region"], ("drop", "count_both"), "multi_region"), _choice(strategy["direction"], ("forward", "reverse", "ignore"), "direction")),
+        box["bam"], source, box["correct_reads_for_clipping"], box["max_skip_length"], filters, policy,
         mode_of_dedup, bucket, umi, barcodes, out["directory"], out["write_annotated_bam"], out["only_correct"],
     )
 

@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-READS = "ord string, qname string, flag int, tid int, ref string, pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, tags map<string,struct<t:string,v:string>>"
-_INTEGERS = ("c", "C", "s", "S", "i", "I")
+READS = (
+    "ord long, qname string, flag int, tid int, ref string, pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, "
+    "tags map<string,struct<t:string,v:string>>"
+)
+_UNSIGNED = ("C", "S", "I")
 
 
 def _let(value: Column, body) -> Column:
@@ -28,7 +31,8 @@ def tag(name: str, tags: str = "tags") -> Column:
 def hits_number(tags: str = "tags") -> Column:
     """NH, 1 if absent; a tag that is no unsigned integer aborts."""
     t = tag("NH", tags)
-    return F.when(t.isNull(), 1).when(t["t"].isin(*_INTEGERS) & (t["v"].cast("long") >= 0), t["v"].cast("int")).otherwise(F.raise_error(F.lit("NH tag is not an unsigned integer")).cast("int"))
+    wrong = F.raise_error(F.lit("NH tag is not an unsigned integer")).cast("long")
+    return F.when(t.isNull(), 1).when(t["t"].isin(*_UNSIGNED), t["v"].cast("long")).otherwise(wrong)
 
 
 def blocks(cigar: Column, pos: Column) -> Column:
@@ -97,7 +101,12 @@ def extractor(how: dict) -> Column:
     if mode == "regex_name":
         pattern = how["regex"]
         miss = F.raise_error(F.concat(F.lit("regex does not match read name "), F.col("qname"))).cast("string")
-        return F.when(F.col("qname").rlike(pattern), F.nullif(F.regexp_extract("qname", pattern, 1), F.lit(""))).otherwise(miss)
+        if how.get("groups", 1) == 0:
+            return F.when(F.col("qname").rlike(pattern), F.lit(None).cast("string")).otherwise(miss)
+        found = F.regexp_extract("qname", pattern, 1)
+        # an unset group gives no value, an empty one an empty value; a reference back to an unset group does not match
+        is_set = (found != "") | F.col("qname").rlike(f"(?:{pattern})\\1")
+        return F.when(F.col("qname").rlike(pattern), F.when(is_set, found)).otherwise(miss)
     if mode == "search_in_name":
         at = F.instr("qname", how["search"])
         found = F.substring(F.col("qname"), at + len(how["search"]) + int(how.get("skip", 0)), F.lit(int(how["len"])))

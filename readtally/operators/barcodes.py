@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from readtally.functions import reads as R
 
 
-def correct(reads: DataFrame, whitelist: DataFrame | None, separator: str, max_hamming: int) -> DataFrame:
-    """Adds barcode, null where a segment has no entry. ``reads`` has raw_barcode; ``whitelist`` has segment (from 0), entry.
+def correct(reads: DataFrame, whitelist: DataFrame | None, separator: str, max_hamming: int, n_lists: int | None = None) -> DataFrame:
+    """Adds barcode, null where a segment has no entry. ``reads`` has raw_barcode; ``whitelist`` has segment (from 0), entry;
+    ``n_lists`` is the number of whitelists, which an empty last one does not show (from the segments if None).
 
     Distinct raw barcodes are corrected, not reads. Segments beyond the whitelists are dropped, missing ones tolerated.
     An exact entry wins, else the closest within ``max_hamming``, else none; of equally close ones the first by name.
@@ -19,9 +20,10 @@ def correct(reads: DataFrame, whitelist: DataFrame | None, separator: str, max_h
     if whitelist is None:
         return reads.withColumn("barcode", F.when(F.col("raw_barcode") != "", F.col("raw_barcode")))
     raw = reads.where("raw_barcode is not null").select("raw_barcode").distinct()
-    n_lists = whitelist.agg(F.max("segment")).first()[0]
-    n_lists = -1 if n_lists is None else n_lists
-    segments = raw.select("raw_barcode", F.posexplode(F.split("raw_barcode", "\\Q" + separator + "\\E")).alias("segment", "piece")).where(F.col("segment") <= n_lists)
+    if n_lists is None:
+        last = whitelist.agg(F.max("segment")).first()[0]
+        n_lists = 0 if last is None else last + 1
+    segments = raw.select("raw_barcode", F.posexplode(F.split("raw_barcode", "\\Q" + separator + "\\E")).alias("segment", "piece")).where(F.col("segment") < n_lists)
     words = segments.select("segment", "piece").distinct()
 
     def pieces(df: DataFrame, word: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ["ambiguous", "barcode_not_in_whitelist", "correct", "duplicate", "filtered", "no_barcode", "no_umi", "outside", "reverse"]
@@ -31,8 +31,13 @@ def by_status(reads: DataFrame) -> DataFrame:
 
 
 def dictionary(values: DataFrame, name: str) -> DataFrame:
-    """Distinct values with their number, from 1, in byte order. Numbers come from counts per sorted range, so the
-    values are not gathered in one task."""
-    ranged = values.select(name).distinct().repartitionByRange(F.col(name)).sortWithinPartitions(name)
-    rdd = ranged.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + 1))
-    return values.sparkSession.createDataFrame(rdd, f"{name} string, index long")
+    """Distinct values with their number, from 1, in byte order. Values are numbered inside sorted ranges, to which the
+    sizes of the earlier ranges are added, so they are not gathered in one task; a row per range passes the driver."""
+    spark = values.sparkSession
+    ranged = values.select(name).distinct().repartitionByRange(F.col(name)).withColumn("_range", F.spark_partition_id())
+    ranged = ranged.persist()
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_range").count().collect())
+    before = [(r, sum(n for _, n in sizes[:i])) for i, (r, _) in enumerate(sizes)]
+    offsets = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(name))
+    return ranged.join(offsets, "_range").select(name, (F.col("_before") + at).alias("index"))

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readtally.functions import reads as R
 
 
-def is_duplicate(mode: str, bucket: Column, live: Column, order: list[str]) -> Column:
-    """True for live reads that a better one of the same (ref, bucket, strand, umi[, barcode]) displaces. Better: higher NH
-    (up to 255), then higher mapping quality, then earlier. Other reads get a group of their own, so they do not crowd one."""
+def mark_duplicates(reads: DataFrame, mode: str, bucket: Column | None, order: list[str]) -> DataFrame:
+    """Sets the status ``duplicate`` on reads without a status that a better one of the same (ref, bucket, strand, umi
+    [, barcode]) displaces. Better: higher NH (up to 255), then higher mapping quality, then earlier by ``order``, which is
+    unique. Reads with a status take no part.
+
+    With a bucket or barcode a group is a place or a cell, and a window sorts it. Without both (``bucket`` None, mode umi)
+    a group is a share of a whole contig: its best read is aggregated, with partial results, and joined by ``order``."""
     if mode == "none":
-        return F.lit(False)
+        return reads
+    live = F.col("status").isNull()
+    best_nh, reverse = F.least(R.hits_number(), F.lit(255)), R.is_reverse(F.col("flag"))
+    if mode == "umi" and bucket is None:
+        best = reads.where(live).groupBy("ref", reverse.alias("_rev"), "umi").agg(F.min(F.struct((-best_nh).alias("nh"), (-F.col("mapq")).alias("q"), *order)).alias("b"))
+        best = best.select(*(F.col(f"b.{c}").alias(f"_best_{c}") for c in order))
+        same = [F.col(c) == F.col(f"_best_{c}") for c in order]
+        out = reads.join(best, same, "left")
+        twice = live & F.col(f"_best_{order[0]}").isNull()
+        return out.withColumn("status", F.when(twice, "duplicate").otherwise(F.col("status"))).drop(*(f"_best_{c}" for c in order))
     keys = ["umi", "barcode"] if mode == "sc" else ["umi"]
-    alone = F.when(~live, F.struct(*order))
-    window = Window.partitionBy(alone, F.col("ref"), bucket, R.is_reverse(F.col("flag")), *keys).orderBy(F.least(R.hits_number(), F.lit(255)).desc(), F.col("mapq").desc(), *order)
-    return live & (F.row_number().over(window) > 1)
+    alone = F.when(~live, F.struct(*order))  # other reads are groups of their own, so they do not crowd one
+    window = Window.partitionBy(alone, F.col("ref"), F.lit(0) if bucket is None else bucket, reverse, *keys).orderBy(best_nh.desc(), F.col("mapq").desc(), *order)
+    out = reads.withColumn("_place", F.row_number().over(window))
+    return out.withColumn("status", F.when(live & (F.col("_place") > 1), "duplicate").otherwise(F.col("status"))).drop("_place")

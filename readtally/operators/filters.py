@@ -35,15 +35,23 @@ def any_removes(filters: list[dict], modes: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(removes(f["mode"], f["action"]), F.lit(False)) for f in filters if f["mode"] in modes], F.lit(False))
 
 
-def by_reference(reads: DataFrame, filters: list[dict], known: list[str] | None = None) -> DataFrame:
-    """Reference filters: a plain predicate on ref, so the scan is pruned and the reads appear in no counter."""
+def references(names: list[str], filters: list[dict], known: list[str]) -> list[str]:
+    """The contigs that the reference filters leave, so that the scan reads no others."""
+    for f in filters:
+        if f["mode"] == "reference":
+            if missing := sorted(set(f["references"]) - set(known)):
+                raise ValueError(f"Reference {missing[0]} not found in the header")
+            names = [n for n in names if (n in f["references"]) == (f["action"] == "keep")]
+    return names
+
+
+def by_reference(reads: DataFrame, filters: list[dict]) -> DataFrame:
+    """Reference filters as a plain predicate on ref: the reads appear in no counter."""
     for f in filters:
         if f["mode"] != "reference":
             continue
         if not f["references"]:
             raise ValueError("Reference filter requires at least one reference to filter on.")
-        if known is not None and (missing := sorted(set(f["references"]) - set(known))):
-            raise ValueError(f"Reference {missing[0]} not found in the header")
         named = F.col("ref").isin(*f["references"])
         reads = reads.where(named if f["action"] == "keep" else ~named)
     return reads

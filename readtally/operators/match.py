@@ -1,19 +1,144 @@
-"""Matching reads to regions.
+"""Matching reads to regions. Each read gets two lists of region ids in text order, hits_correct and hits_reverse.
 
-The interval join is an equi-join on (ref, level, bin). A region is binned at the level of its length, so it touches few
-bins; a block is binned at every level. A pair is taken in the first bin both touch, so it appears once. Spark broadcasts
-the regions if they are small, else both sides are shuffled and adaptive execution splits a hot locus.
+Regions are an annotation, small beside the reads: up to ``BROADCAST_REGIONS`` rows they are sent to the tasks as sorted
+arrays, and the blocks of a batch of reads are matched there at once, so no read is shuffled and all decisions on a read
+are made where it lies. More regions are met in an equi-join on (ref, level, bin), both sides shuffled, adaptive execution
+splitting a hot locus; the hits of a read are then gathered by its key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readtally.functions import reads as R
 
+#: Regions that are broadcast (some 40 bytes each, ids apart).
+BROADCAST_REGIONS = 2_000_000
+#: Pairs of blocks and regions that a task looks at together.
+PAIRS = 1 << 22
+#: Room for positions on a contig in a sorting key.
+_CONTIG = 1 << 33
 #: Level (bits of the bin width) and the longest region binned at it.
 LEVELS = ((9, 1 << 9), (14, 1 << 17), (20, None))
+HITS = "struct<correct:array<string>,reverse:array<string>>"
+
+
+class RegionIndex:
+    """Regions by length class (powers of 4), sorted by contig and start: those that may overlap [s, e) start between
+    s - longest of the class and e."""
+
+    def __init__(self, table: pa.Table) -> None:
+        at = {c: i for i, c in enumerate(table.column_names)}
+        column = lambda c: table.column(at[c]).combine_chunks()
+        self.names, ids = np.unique(np.array(column("id").to_pylist(), object), return_inverse=True) if len(table) else (np.empty(0, object), np.empty(0, np.int64))
+        contigs, ref = np.unique(np.array(column("ref").to_pylist(), object), return_inverse=True) if len(table) else (np.empty(0, object), np.empty(0, np.int64))
+        self.contigs = {c: i for i, c in enumerate(contigs)}
+        start, end = (np.asarray(column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("start", "end"))
+        strand = np.array([{"+": 1, "-": 2}.get(x, 0) for x in column("strand").to_pylist()], np.int8)
+        kind = np.ceil(np.log2(np.maximum(end - start, 1)) / 2).astype(np.int64)
+        self.classes = []
+        for k in np.unique(kind[end > start]):
+            own = np.flatnonzero((kind == k) & (end > start))
+            own = own[np.argsort(ref[own] * _CONTIG + start[own], kind="stable")]
+            self.classes.append((int((end - start)[own].max()), ref[own] * _CONTIG + start[own], start[own], end[own], strand[own], ids[own]))
+
+    def candidates(self, ref: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each class the range of regions that each block may overlap."""
+        base = ref * _CONTIG
+        return [(np.searchsorted(key, base + np.maximum(s - longest + 1, 0)), np.searchsorted(key, base + e)) for longest, key, *_ in self.classes]
+
+    def pairs(self, ranges: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Overlapping (block, id, strand, start, end of the common part)."""
+        out = []
+        for (lo, hi), (_, _, start, end, strand, ids) in zip(ranges, self.classes, strict=True):
+            n = np.maximum(hi - lo, 0)
+            block = np.repeat(np.arange(len(s)), n)
+            region = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            met = (end[region] > s[block]) & (start[region] < e[block])
+            block, region = block[met], region[met]
+            out.append((block, ids[region], strand[region], np.maximum(start[region], s[block]), np.minimum(end[region], e[block])))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
+
+
+def _decide(group: np.ndarray, s: np.ndarray, e: np.ndarray, bases: np.ndarray, overlap: str, multi_region: str, n_ids: int) -> np.ndarray:
+    """Kept groups (read, side, id in one number) of overlapping parts, sorted."""
+    if overlap == "union":
+        kept = np.unique(group)
+    else:
+        order = np.lexsort((e, s, group))
+        group, s, e = group[order], s[order], e[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
+        reach = np.maximum.accumulate(e + number * _CONTIG)  # ends seen so far in the group
+        before = np.where(np.diff(number, prepend=-1) > 0, 0, np.append(0, reach[:-1]) - number * _CONTIG)
+        covered = np.add.reduceat(np.maximum(0, e - np.maximum(s, before)), first) if len(first) else np.empty(0, np.int64)
+        kept = group[first]
+        inside = covered == bases[kept // n_ids // 2]
+        if overlap == "intersection_non_empty":
+            some = np.zeros(2 * len(bases), bool)
+            some[kept[inside] // n_ids] = True
+            inside |= ~some[kept // n_ids]
+        kept = kept[inside]
+    if multi_region == "drop":
+        kept = kept[np.bincount(kept // n_ids, minlength=2 * len(bases))[kept // n_ids] == 1]
+    return kept
+
+
+def _match(index: RegionIndex, ref: np.ndarray, reverse: np.ndarray, bounds: np.ndarray, s: np.ndarray, e: np.ndarray, overlap: str, multi_region: str, direction: str) -> np.ndarray:
+    """Kept (read, side, id) of a batch, each as one number. ``bounds``: the blocks of each read."""
+    n_reads, n_ids = len(ref), max(len(index.names), 1)
+    read = np.repeat(np.arange(n_reads), np.diff(bounds))
+    bases = np.bincount(read, (e - s), n_reads).astype(np.int64)
+    use = np.flatnonzero((ref[read] >= 0) & (e > s))
+    read, s, e = read[use], s[use], e[use]
+    ranges = index.candidates(ref[read], s, e)
+    load = np.cumsum(sum((np.maximum(hi - lo, 0) for lo, hi in ranges), np.zeros(len(read), np.int64)))
+    kept, at = [np.empty(0, np.int64)], 0
+    while at < len(read):  # whole reads of about PAIRS pairs
+        end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + PAIRS, side="right")))
+        end = int(np.searchsorted(read, read[end - 1], side="right"))
+        own = slice(at, end)
+        block, ids, strand, ps, pe = index.pairs([(lo[own], hi[own]) for lo, hi in ranges], s[own], e[own])
+        r = read[own][block]
+        if direction == "ignore":
+            side = np.zeros(len(r), np.int64)
+        else:
+            same = reverse[r] == (strand == 2)
+            side = ((strand > 0) & (same if direction == "reverse" else ~same)).astype(np.int64)
+        kept.append(_decide((r * 2 + side) * n_ids + ids, ps, pe, bases, overlap, multi_region, n_ids))
+        at = end
+    return np.concatenate(kept)
+
+
+def _matcher(index, overlap: str, multi_region: str, direction: str):
+    """``index``: broadcast of a RegionIndex."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        found: RegionIndex = index.value
+        names = pa.array(found.names, pa.string())
+        for ref, reverse, blocks in batches:
+            code = ref.dictionary_encode()
+            known = np.array([found.contigs.get(x, -1) for x in code.dictionary.to_pylist()] + [-1], np.int64)
+            contig = known[code.indices.fill_null(len(known) - 1).to_numpy()]
+            blocks = blocks.fill_null([])
+            flat = blocks.flatten()
+            bounds = np.append(0, np.cumsum(blocks.value_lengths().to_numpy()))
+            s, e = (np.asarray(flat.field(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
+            kept = _match(found, contig, reverse.to_numpy(zero_copy_only=False), bounds, s, e, overlap, multi_region, direction)
+            n_ids = max(len(found.names), 1)
+            lists = []
+            for side in (0, 1):
+                own = kept[kept // n_ids % 2 == side]
+                offsets = np.append(0, np.cumsum(np.bincount(own // n_ids // 2, minlength=len(ref))))
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), names.take(pa.array(own % n_ids))))
+            yield pa.StructArray.from_arrays(lists, names=["correct", "reverse"])
+
+    return run
 
 
 def _binned(df: DataFrame, s: str, e: str) -> DataFrame:
@@ -21,7 +146,8 @@ def _binned(df: DataFrame, s: str, e: str) -> DataFrame:
 
 
 def overlaps(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pairs of blocks (ord, ref, s, e, ...) and regions that overlap, each once."""
+    """Pairs of blocks (ord, ref, s, e, ...) and regions that overlap, each once: a region is binned at the level of its
+    length, a block at every level, and a pair is taken in the first bin both touch."""
     length = F.col("end") - F.col("start")
     level = F.coalesce(*[F.when(length <= longest, bits) if longest else F.lit(bits) for bits, longest in LEVELS])
     g = regions.where("end > start").select(F.col("ref").alias("_ref"), "start", "end", "strand", "id", level.alias("_bits"))
@@ -31,9 +157,9 @@ def overlaps(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return b.join(g, on).where(F.col("_bin") == F.greatest("_first", "_gfirst")).drop("_ref", "_bits", "_gbits", "_bin", "_gbin", "_first", "_gfirst")
 
 
-def regions_of_reads(reads: DataFrame, regions: DataFrame, overlap: str = "union", multi_region: str = "count_both", direction: str = "forward") -> DataFrame:
-    """Hits (ord, side, id) of reads (ord, ref, flag, cigar, pos)."""
-    each = reads.select("ord", "ref", R.is_reverse(F.col("flag")).alias("rev"), R.blocks(F.col("cigar"), F.col("pos")).alias("blocks"))
+def joined_hits(reads: DataFrame, regions: DataFrame, overlap: str, multi_region: str, direction: str) -> DataFrame:
+    """Hits (ord, side, id) of reads (ord, ref, flag, blocks), by the join."""
+    each = reads.select("ord", "ref", R.is_reverse(F.col("flag")).alias("rev"), "blocks")
     each = each.withColumn("bases", R.total_length(F.col("blocks"))).select("ord", "ref", "rev", "bases", F.inline("blocks"))
     pairs = overlaps(each, regions).withColumn("side", R.side(direction, F.col("rev"), F.col("strand")))
     if overlap == "union":
@@ -53,12 +179,43 @@ def regions_of_reads(reads: DataFrame, regions: DataFrame, overlap: str = "union
     return hits
 
 
+def by_regions(reads: DataFrame, regions: DataFrame, overlap: str = "union", multi_region: str = "count_both", direction: str = "forward", most: int = BROADCAST_REGIONS) -> DataFrame:
+    """Adds hits_correct, hits_reverse to reads (ord, ref, flag, cigar, pos, status); reads with a status get none."""
+    live = F.col("status").isNull()
+    blocks = R.blocks(F.col("cigar"), F.col("pos"))
+    table = regions.select("ref", "start", "end", "strand", "id")
+    if table.limit(most + 1).count() <= most:
+        index = reads.sparkSession.sparkContext.broadcast(RegionIndex(table.toArrow()))
+        match = F.arrow_udf(_matcher(index, overlap, multi_region, direction), HITS)
+        found = reads.withColumn("_hits", match("ref", R.is_reverse(F.col("flag")), F.when(live, blocks).otherwise(F.array().cast("array<struct<s:int,e:int>>"))))
+        return found.withColumns({"hits_correct": F.col("_hits.correct"), "hits_reverse": F.col("_hits.reverse")}).drop("_hits")
+    hits = joined_hits(reads.where(live).withColumn("blocks", blocks), regions, overlap, multi_region, direction)
+    lists = hits.groupBy("ord").agg(*(F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("id")))).alias(f"hits_{s}") for s in ("correct", "reverse")))
+    none = F.array().cast("array<string>")
+    return reads.join(lists, "ord", "left").withColumns({f"hits_{s}": F.coalesce(f"hits_{s}", none) for s in ("correct", "reverse")})
+
+
+def _one(reads: DataFrame, side, name) -> DataFrame:
+    """One hit for each read without a status, where ``name`` is not null."""
+    at = lambda s: F.when(F.col("status").isNull() & name.isNotNull() & (side == s), F.array(name)).otherwise(F.array().cast("array<string>"))
+    return reads.withColumns({"hits_correct": at("correct"), "hits_reverse": at("reverse")})
+
+
 def by_reference(reads: DataFrame, direction: str) -> DataFrame:
     """Each read hits its contig; contigs count as forward regions."""
-    return reads.select("ord", R.side(direction, R.is_reverse(F.col("flag")), F.lit("+")).alias("side"), F.col("ref").alias("id"))
+    return _one(reads, R.side(direction, R.is_reverse(F.col("flag")), F.lit("+")), F.col("ref"))
 
 
 def by_tag(reads: DataFrame, tag: str) -> DataFrame:
     """Each read hits the region that a string tag names; without one there is no hit."""
     t = R.tag(tag)
-    return reads.where(t["t"] == "Z").select("ord", F.lit("correct").alias("side"), t["v"].alias("id"))
+    return _one(reads, F.lit("correct"), F.when(t["t"] == "Z", t["v"]))
+
+
+def hits(matched: DataFrame, *carried: str) -> DataFrame:
+    """The lists as rows: the carried columns, side, id."""
+
+    def rows(side: str):
+        return F.transform(f"hits_{side}", lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
+
+    return matched.select(*carried, F.inline(F.concat(rows("correct"), rows("reverse"))))

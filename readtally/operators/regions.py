@@ -18,6 +18,7 @@ def collapse(regions: DataFrame) -> DataFrame:
 
 
 def rename(regions: DataFrame) -> DataFrame:
-    """Second and later occurrences of (start, end, id) get the row number (``ord``) appended to their id."""
+    """Second and later occurrences of (start, end, id) get the row number (``ord``, from 0 among the
+    feature's rows) appended to their id."""
     n = F.row_number().over(Window.partitionBy("start", "end", "id").orderBy("ord"))
     return regions.withColumn("_n", n).withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("-"), F.col("ord").cast("string"))).otherwise(F.col("id"))).drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -16,8 +17,8 @@ from readtally.sources import annotation, bam
 
 @dataclass
 class Result:
-    reads: DataFrame  # with status, corrected position, umi, barcode
-    hits: DataFrame  # ord, side, id[, barcode] of counted reads
+    reads: DataFrame  # with status (null where counted), corrected position, umi, barcode, hits_correct, hits_reverse
+    hits: DataFrame  # ord, barcode, side, id of counted reads
     keys: DataFrame  # id of all regions
     header: str  # name of the id column
 
@@ -35,7 +36,8 @@ def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = No
     reasons = [F.when(F.col("_out"), "filtered")]
     if config.barcodes:
         # what a filtered read lacks is not extracted, so it cannot abort the run
-        df = barcodes.correct(df.withColumn("raw_barcode", F.when(~F.col("_out"), R.extractor(config.barcodes.extract))), whitelist, config.barcodes.separator, config.barcodes.max_hamming)
+        df = df.withColumn("raw_barcode", F.when(~F.col("_out"), R.extractor(config.barcodes.extract)))
+        df = barcodes.correct(df, whitelist, config.barcodes.separator, config.barcodes.max_hamming, len(config.barcodes.whitelist_files) or None)
         reasons += [F.when(F.col("raw_barcode").isNull(), "no_barcode"), F.when(F.col("barcode").isNull(), "barcode_not_in_whitelist")]
     else:
         df = df.withColumns({"raw_barcode": none, "barcode": none})
@@ -48,69 +50,75 @@ def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = No
     if any(f["mode"] in filters.AFTER for f in config.filters):
         reasons.append(F.when(filters.any_removes(config.filters, filters.AFTER), "filtered"))
     df = df.withColumn("status", F.coalesce(*reasons, none)).drop("_out")
-    if config.dedup_mode == "none":
-        return df
-    bucket = F.col("corrected") if config.dedup_bucket == "per_position" else F.lit(0)
-    df = df.withColumn("_twice", dedup.is_duplicate(config.dedup_mode, bucket, F.col("status").isNull(), list(order)))
-    return df.withColumn("status", F.when(F.col("_twice"), "duplicate").otherwise(F.col("status"))).drop("_twice")
+    bucket = F.col("corrected") if config.dedup_bucket == "per_position" else None
+    return dedup.mark_duplicates(df, config.dedup_mode, bucket, list(order))
 
 
-def counted(df: DataFrame, config: Config, region_table: DataFrame | None) -> DataFrame:
-    """Hits of the reads that count; only these meet the regions, since no filter looks at hits."""
-    live = df.where("status is null")
+def matched(df: DataFrame, config: Config, region_table: DataFrame | None) -> DataFrame:
+    """Adds hits_correct, hits_reverse; only reads without a status meet the regions, since no filter looks at hits."""
     if config.source.mode == "gtf":
         s = config.strategy
-        return match.regions_of_reads(live, region_table, s.overlap, s.multi_region, s.direction)
+        return match.by_regions(df, region_table, s.overlap, s.multi_region, s.direction)
     if config.source.mode == "bam_references":
-        return match.by_reference(live, config.strategy.direction)
-    return match.by_tag(live, config.source.tag)
+        return match.by_reference(df, config.strategy.direction)
+    return match.by_tag(df, config.source.tag)
 
 
-def with_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
-    """Final statuses, and the hits as sorted lists correct, reverse."""
-    lists = hits.groupBy("ord").agg(*(F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("id")))).alias(f"hits_{s}") for s in ("correct", "reverse")))
-    out = df.join(lists, "ord", "left")
-    n = lambda s: F.coalesce(F.size(f"hits_{s}"), F.lit(0))
-    return out.withColumn("status", counts.final_status(F.col("status"), n("correct"), n("reverse")))
+def with_status(df: DataFrame) -> DataFrame:
+    """Final statuses of matched reads."""
+    return df.withColumn("status", counts.final_status(F.col("status"), F.size("hits_correct"), F.size("hits_reverse")))
 
 
 def annotation_tags(df: DataFrame) -> DataFrame:
-    """Rewrites the tags XF, XQ, XR, XP, CB, CR of reads with final statuses."""
+    """Sets the tags XF, XQ, XR, XP, CB, CR of reads with final statuses; a tag that has no new value stays as it is."""
     done = F.col("status").isin("correct", "reverse", "ambiguous", "outside")
     code = {"filtered": 1, "duplicate": 3, "barcode_not_in_whitelist": 4, "no_barcode": 5, "no_umi": 6}
     xf = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in code.items()])
-    joined = lambda s: F.when(done & (F.size(f"hits_{s}") > 0), F.array_join(f"hits_{s}", ","))
+    joined = lambda s: F.when(done, F.array_join(f"hits_{s}", ","))
+    wrong = F.when(F.col("status") == "barcode_not_in_whitelist", F.col("raw_barcode"))
     tags = F.col("tags")
-    for name, kind, value in (("XF", "i", xf), ("XQ", "Z", joined("correct")), ("XR", "Z", joined("reverse")), ("XP", "i", F.when(done, F.col("corrected") + 1)), ("CB", "Z", F.when(done, F.col("barcode")))):
-        tags = R.with_tag(tags, name, kind, value)
-    tags = F.when(F.col("status") == "barcode_not_in_whitelist", R.with_tag(tags, "CR", "Z", F.col("raw_barcode"))).otherwise(tags)
+    for name, kind, value in (
+        ("XF", "C", xf), ("XQ", "Z", joined("correct")), ("XR", "Z", joined("reverse")), ("XP", "i", F.when(done, F.col("corrected") + 1)),
+        ("CB", "Z", F.when(done, F.col("barcode"))), ("CR", "Z", wrong),
+    ):
+        tags = F.when(value.isNull(), tags).otherwise(R.with_tag(tags, name, kind, value))
     return df.withColumn("tags", tags)
 
 
+def _table(spark: SparkSession, config: Config) -> DataFrame:
+    s = config.source
+    entries = annotation.gtf(spark, s.filename, s.feature, sorted({s.id_attribute, s.aggr_id_attribute}), s.subformat)
+    if entries.isEmpty():
+        raise ValueError(f"No GTF entries found for feature {s.feature}. Perhaps set subformat to GFF/GTF?")
+    table = annotation.regions(entries, s.id_attribute, s.aggr_id_attribute)
+    return regions.rename(annotation.numbered(table)) if s.duplicate_handling == "rename" else regions.collapse(table)
+
+
 def run(spark: SparkSession, config: Config) -> Result:
+    """``reads`` of the result is kept in memory and on disk; unpersist it when done."""
     bam.register(spark)
-    reads = spark.read.format("bam").load(config.bam)
-    if not config.write_annotated_bam:
-        reads = reads.drop("raw")
     refs = bam.contigs(spark, config.bam)
     table = None
+    scanned = bam.contigs_with_reads(config.bam)
     if config.source.mode == "gtf":
-        s = config.source
-        entries = annotation.gtf(spark, s.filename, s.feature, sorted({s.id_attribute, s.aggr_id_attribute}), s.subformat)
-        table = annotation.regions(entries, s.id_attribute, s.aggr_id_attribute)
-        table = regions.rename(table) if s.duplicate_handling == "rename" else regions.collapse(table)
-        keys, name = table.select("id").distinct(), s.aggr_id_attribute
-        reads = reads.join(F.broadcast(table.select("ref").distinct().join(refs.select(F.col("name").alias("ref")), "ref")), "ref", "left_semi")  # at most the header's contigs
+        table = _table(spark, config)
+        # at most the header's contigs
+        known = {r[0] for r in table.select("ref").distinct().join(F.broadcast(refs.select(F.col("name").alias("ref"))), "ref", "left_semi").collect()}
+        scanned = [c for c in scanned if c in known]
+        keys, name = table.select("id").distinct(), config.source.aggr_id_attribute
     elif config.source.mode == "bam_references":
         keys, name = refs.select(F.col("name").alias("id")), "reference"
     else:
         keys, name = None, config.source.tag
-    reads = filters.by_reference(reads, config.filters, [r[0] for r in refs.select("name").collect()])
+    if not scanned:
+        raise ValueError("No chunks generated. This might be because the BAM file is empty or the matcher did not find any regions to quantify.")
+    scanned = filters.references(scanned, config.filters, [r[0] for r in refs.select("name").collect()])
+    reads = spark.read.format("bam").option("references", json.dumps(scanned)).option("raw", str(config.write_annotated_bam).lower()).load(config.bam)
+    reads = filters.by_reference(reads, config.filters)
     lists = annotation.whitelist(spark, config.barcodes.whitelist_files) if config.barcodes else None
-    df = annotated(reads, config, lists).persist(StorageLevel.MEMORY_AND_DISK)
-    hits = counted(df, config, table)
+    df = matched(annotated(reads, config, lists), config, table).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = match.hits(df, "ord", "barcode")
     if table is not None and config.source.aggr_id_attribute != config.source.id_attribute:  # matched by id, reported by aggregate
-        hits = hits.join(table.select("id", "aggr").distinct(), "id").select("ord", "side", F.col("aggr").alias("id")).distinct()
+        hits = hits.join(table.select("id", "aggr").distinct(), "id").select("ord", "barcode", "side", F.col("aggr").alias("id")).distinct()
         keys = table.select(F.col("aggr").alias("id")).distinct()
-    hits = hits.join(df.select("ord", "barcode"), "ord")
-    return Result(with_hits(df, hits), hits, keys if keys is not None else hits.select("id").distinct(), name)
+    return Result(df, hits, keys if keys is not None else hits.select("id").distinct(), name)

@@ -77,8 +77,7 @@ def _list(spark: SparkSession) -> DataFrame:
 def _stats(config: Config, cells: bool = False):
     def query(spark, sf_dir):
         df = quantify.annotated(reads(spark, sf_dir), config, _list(spark) if cells else None)
-        hits = quantify.counted(df, config, region_table(spark, sf_dir))
-        return counts.by_status(quantify.with_hits(df, hits))
+        return counts.by_status(quantify.with_status(quantify.matched(df, config, region_table(spark, sf_dir))))
 
     return query
 
@@ -86,7 +85,7 @@ def _stats(config: Config, cells: bool = False):
 def _table(config: Config):
     def query(spark, sf_dir):
         df = quantify.annotated(filters.by_reference(reads(spark, sf_dir), config.filters), config)
-        return counts.by_region(quantify.counted(df, config, region_table(spark, sf_dir)))
+        return counts.by_region(match.hits(quantify.matched(df, config, region_table(spark, sf_dir))))
 
     return query
 
@@ -176,13 +175,13 @@ _SC = _config("bam_tag", umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedu
 
 def _cells(spark, sf_dir):
     df = quantify.annotated(reads(spark, sf_dir), _SC)
-    return counts.by_cell(quantify.counted(df, _SC, None).join(df.select("ord", "barcode"), "ord"))
+    return counts.by_cell(match.hits(quantify.matched(df, _SC, None), "barcode"))
 
 
 _add("sc_matrix", _cells, f"{_M} SELECT gene AS id, barcode, count(*) AS count FROM x GROUP BY ALL")
 _add("barcodes_dict", lambda spark, sf: counts.dictionary(reads(spark, sf).select(R.extractor(_TAG_CELL.extract).alias("barcode")), "barcode"), f"{_WITH} SELECT barcode, row_number() OVER (ORDER BY barcode) AS index FROM (SELECT DISTINCT b1 || '_' || b2 AS barcode FROM r)")
 _add("features_dict", lambda spark, sf: counts.dictionary(region_table(spark, sf).select(F.col("id").alias("feature")), "feature"), f"{_WITH} SELECT feature, row_number() OVER (ORDER BY feature) AS index FROM (SELECT DISTINCT id AS feature FROM g)")
-_add("zero_fill", lambda spark, sf: counts.by_region(match.by_tag(reads(spark, sf), "XF"), spark.range(60).select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("id"))), f"{_WITH} SELECT 'G' || i AS id, count(gene) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM range(60) t(i) LEFT JOIN r ON gene = 'G' || i GROUP BY i")
+_add("zero_fill", lambda spark, sf: counts.by_region(match.hits(match.by_tag(reads(spark, sf).withColumn("status", F.lit(None).cast("string")), "XF")), spark.range(60).select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("id"))), f"{_WITH} SELECT 'G' || i AS id, count(gene) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM range(60) t(i) LEFT JOIN r ON gene = 'G' || i GROUP BY i")
 _add("annotated_status_sc", _stats(_config("bam_references", umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedup_bucket="per_reference", filters=[{"mode": "n_in_umi", "action": "remove", "references": []}]), True), f"""{_WITH}, w(e) AS (VALUES {', '.join(f"('{w}')" for w in WHITELIST)}), d AS (SELECT DISTINCT b1 FROM r),
 m AS (SELECT b1, arg_min(e, hamming(b1, e) * 1000 + (SELECT count(*) FROM w w2 WHERE w2.e < w.e)) AS barcode FROM d, w WHERE hamming(b1, e) <= 1 GROUP BY b1),
 x AS (SELECT *, CASE WHEN barcode IS NULL THEN 'barcode_not_in_whitelist' WHEN u LIKE '%N%' THEN 'filtered' END AS st FROM r LEFT JOIN m USING (b1)),

@@ -1,18 +1,31 @@
 """BAM as a Spark data source, in plain Python: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
-Partitions are the contigs of the index, so a contig is one task and a predicate on contigs (option ``references``, comma
-separated) prunes tasks. ``ord`` is contig and virtual file offset as fixed-width hex: text order is file order.
+The index gives places at which records begin; a partition runs from one to another, ``SPLIT`` compressed bytes on, so a
+contig is as many tasks as its size asks for. The option ``references`` (a JSON list of contigs) leaves only their
+partitions, ``raw`` (true or false) adds each record's bytes. Records leave a task in Arrow batches. ``ord`` is the virtual file offset:
+its order is file order.
+
+Writing (``save`` in the format ``bam``) makes one file of partitions that are sorted and follow each other: each task writes a
+part of compressed blocks beside the file, the commit joins the parts' bytes behind the header and adds up the index.
+Paths are local or have a scheme that Arrow's file systems know.
 """
 
 from __future__ import annotations
 
-import os
+import base64
+import json
+import shutil
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from readtally.functions.reads import READS
 
@@ -20,14 +33,30 @@ from readtally.functions.reads import READS
 CIGAR_OPS = "MIDNSHP=X"
 BASES = "=ACMGRSVTWYHKDBN"
 SIZES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
+#: Compressed bytes of a partition, about, and records of a batch.
+SPLIT, BATCH = 16 << 20, 4096
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _input(path: str):
+    store, place = _store(path)
+    return store.open_input_file(place)
+
+
+def _exists(path: str) -> bool:
+    store, place = _store(path)
+    return store.get_file_info(place).type == fs.FileType.File
+
+
 class Bgzf:
     """Reads a BGZF file from a virtual offset."""
 
     def __init__(self, path: str, offset: int = 0) -> None:
-        self.file = open(path, "rb")  # noqa: SIM115
+        self.file = _input(path)
         self.next = offset >> 16
         self.block, self.at, self.start = b"", 0, self.next
         if self._load():
@@ -83,12 +112,12 @@ def _header(path: str) -> tuple[bytes, list[tuple[str, int]]]:
     return text, refs
 
 
-def index(path: str) -> dict[int, int]:
-    """First virtual offset of each contig that has reads."""
-    found = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if os.path.exists(p)), None)
+def index(path: str) -> dict[int, list[int]]:
+    """Virtual offsets at which records begin, for each contig that has reads, in order."""
+    found = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if _exists(p)), None)
     if found is None:
         raise FileNotFoundError(f"no index for {path}, please create an index")
-    data = open(found, "rb").read()  # noqa: SIM115
+    data = _input(found).read()
     at, out = 8, {}
     for tid in range(struct.unpack_from("<i", data, 4)[0]):
         n_bins = struct.unpack_from("<i", data, at)[0]
@@ -98,11 +127,15 @@ def index(path: str) -> dict[int, int]:
             at += 8
             for _ in range(chunks):
                 if number != 37450:  # the pseudo-bin of counts
-                    begin = struct.unpack_from("<Q", data, at)[0]
-                    out[tid] = min(out.get(tid, begin), begin)
+                    out.setdefault(tid, set()).add(struct.unpack_from("<Q", data, at)[0])
                 at += 16
         at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
-    return out
+    return {tid: sorted(begins) for tid, begins in out.items()}
+
+
+def contigs_with_reads(path: str) -> list[str]:
+    refs = header(path)[1]
+    return [refs[tid][0] for tid in sorted(index(path))]
 
 
 def decode(raw: bytes, offset: int, refs: list[tuple[str, int]]) -> tuple:
@@ -136,36 +169,68 @@ def decode(raw: bytes, offset: int, refs: list[tuple[str, int]]) -> tuple:
             at += 5 + n * struct.calcsize(SIZES[sub])
         else:
             raise ValueError(f"unknown tag type {kind}")
-    return f"{tid:08x}{offset:016x}", name, flag, tid, refs[tid][0] if tid >= 0 else None, pos, mapq, cigar, seq, tags
+    return offset, name, flag, tid, refs[tid][0] if tid >= 0 else None, pos, mapq, cigar, seq, tags
+
+
+_TYPES = {
+    "ord": pa.int64(), "qname": pa.string(), "flag": pa.int32(), "tid": pa.int32(), "ref": pa.string(), "pos": pa.int32(), "mapq": pa.int32(),
+    "cigar": pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])), "seq": pa.string(),
+    "tags": pa.map_(pa.string(), pa.struct([("t", pa.string()), ("v", pa.string())])), "raw": pa.binary(),
+}
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    pair = lambda x, a, b: {a: x[0], b: x[1]}
+    columns = dict(zip(_TYPES, zip(*rows, strict=True), strict=True))
+    columns["cigar"] = [[pair(x, "op", "len") for x in c] for c in columns["cigar"]]
+    columns["tags"] = [[(k, pair(v, "t", "v")) for k, v in t.items()] for t in columns["tags"]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], _TYPES[n]) for n in names], names=names)
+
 
+@dataclass
+class _Span(InputPartition):
+    """Records of a contig that begin in [begin, end); no end: up to the contig's last."""
 
-class _Contig(InputPartition):
-    def __init__(self, tid: int, offset: int) -> None:
-        self.tid, self.offset = tid, offset
+    tid: int
+    begin: int
+    end: int | None
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path = options["path"].removeprefix("file://")
-        self.only = [x for x in options.get("references", "").split(",") if x]
+    def __init__(self, options, names: list[str]) -> None:
+        self.path, self.names = options["path"], names
+        self.only = json.loads(options["references"]) if "references" in options else None
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
         refs, found = header(self.path)[1], index(self.path)
-        return [_Contig(t, o) for t, o in sorted(found.items()) if not self.only or refs[t][0] in self.only]
-
-    def read(self, partition) -> Iterator[tuple]:
-        if partition is None:
+        out = []
+        for tid, begins in sorted(found.items()):
+            if self.only is not None and refs[tid][0] not in self.only:
+                continue
+            cuts = [begins[0]]
+            for b in begins[1:]:
+                if (b >> 16) - (cuts[-1] >> 16) >= self.split:
+                    cuts.append(b)
+            out += [_Span(tid, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+        return out or [_Span(-1, 0, 0)]
+
+    def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
+        if partition.tid < 0:
             return
-        refs, f = header(self.path)[1], Bgzf(self.path, partition.offset)
+        refs, f, rows = header(self.path)[1], Bgzf(self.path, partition.begin), []
         while True:
             offset = f.tell()
-            size = f.read(4)
-            if len(size) < 4:
-                return
-            raw = f.read(struct.unpack("<i", size)[0])
-            if struct.unpack_from("<i", raw)[0] != partition.tid:
-                return
-            yield (*decode(raw, offset, refs), raw)
+            size = f.read(4) if partition.end is None or offset < partition.end else b""
+            raw = f.read(struct.unpack("<i", size)[0]) if len(size) == 4 else b""
+            if not raw or struct.unpack_from("<i", raw)[0] != partition.tid:
+                break
+            rows.append((*decode(raw, offset, refs), raw))
+            if len(rows) == BATCH:
+                yield _batch(rows, self.names)
+                rows = []
+        if rows:
+            yield _batch(rows, self.names)
 
 
 class BamSource(DataSource):
@@ -174,10 +239,13 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return READS + ", raw binary"
+        return READS + (", raw binary" if self.options.get("raw", "true") == "true" else "")
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
+        return BamReader(self.options, schema.names)
+
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:
@@ -249,46 +317,138 @@ def encode(row: dict) -> bytes:
         return edit(bytes(row["raw"]), row["tags"] or {})
     name, cigar, seq = row["qname"].encode() + b"\0", row["cigar"] or [], row["seq"] or ""
     span = sum(n for op, n in cigar if op in "MDN=X") or 1
-    out = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], _bin(max(row["pos"], 0), max(row["pos"], 0) + span), len(cigar), row["flag"], len(seq), -1, -1, 0) + name
+    bin_of = _bin(max(row["pos"], 0), max(row["pos"], 0) + span)
+    out = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], bin_of, len(cigar), row["flag"], len(seq), -1, -1, 0) + name
     out += b"".join(struct.pack("<I", n << 4 | CIGAR_OPS.index(op)) for op, n in cigar)
     code = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
     out += bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True)) + b"\xff" * len(seq)
     return out + b"".join(_encoded_tag(key, kind, value) for key, (kind, value) in sorted((row["tags"] or {}).items()))
 
 
+def _block(data: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = c.compress(data) + c.flush()
+    return bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _write_records(f, rows, block: int = 60_000) -> dict[tuple[int, int], list[int]]:
+    """Writes records as blocks; begin and end (virtual offsets in ``f``) of each (contig, bin)."""
+    spans: dict[tuple[int, int], list[int]] = {}
+    buffer, written = bytearray(), 0
+
+    def flush() -> None:
+        nonlocal written
+        while buffer:
+            data = _block(bytes(buffer[:60_000]))
+            f.write(data)
+            written += len(data)
+            del buffer[:60_000]
+
+    for row in rows:
+        raw = encode(row)
+        if len(buffer) + len(raw) + 4 > block:
+            flush()
+        begin = written << 16 | len(buffer)
+        buffer += struct.pack("<i", len(raw)) + raw
+        if len(buffer) > 60_000:  # a record longer than a block
+            flush()
+        end = written << 16 | len(buffer)
+        key = struct.unpack_from("<i", raw)[0], struct.unpack_from("<H", raw, 10)[0]
+        spans.setdefault(key, [begin, end])[1] = end
+    flush()
+    return spans
+
+
+def _head_blocks(refs: list[tuple[str, int]], text: bytes) -> bytes:
+    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    for name, size in refs:
+        data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    return b"".join(_block(data[i : i + 60_000]) for i in range(0, len(data), 60_000))
+
+
+def _write_index(f, n_refs: int, spans: dict[tuple[int, int], list[list[int]]]) -> None:
+    bins: dict[int, dict[int, list]] = {}
+    for (tid, number), chunks in spans.items():
+        bins.setdefault(tid, {})[number] = chunks
+    f.write(b"BAI\1" + struct.pack("<i", n_refs))
+    for tid in range(n_refs):
+        f.write(struct.pack("<i", len(bins.get(tid, {}))))
+        for number, chunks in sorted(bins.get(tid, {}).items()):
+            f.write(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+        f.write(struct.pack("<i", 0))
+
+
 def write(path: str, refs: list[tuple[str, int]], rows, block: int = 60_000, text: bytes = b"") -> None:
-    """Writes sorted rows (dicts in the reads schema) as one BAM file with its index, as they come."""
-    spans: dict[int, dict[int, list]] = {}
+    """Writes sorted rows (dicts in the reads schema) as one BAM file with its index, as they come, in one process."""
     with open(path, "wb") as f:
-        buffer = bytearray()
-
-        def flush() -> None:
-            while buffer:
-                data = bytes(buffer[:60_000])
-                c = zlib.compressobj(6, zlib.DEFLATED, -15)
-                body = c.compress(data) + c.flush()
-                f.write(bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
-                del buffer[: len(data)]
-
-        buffer += b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
-        for name, size in refs:
-            buffer += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
-        flush()
-        for row in rows:
-            raw = encode(row)
-            if len(buffer) + len(raw) + 4 > block:
-                flush()
-            begin = f.tell() << 16 | len(buffer)
-            buffer += struct.pack("<i", len(raw)) + raw
-            number = struct.unpack_from("<H", raw, 10)[0]
-            spans.setdefault(row["tid"], {}).setdefault(number, []).append([begin, f.tell() << 16 | len(buffer)])
-        flush()
+        head = _head_blocks(refs, text)
+        f.write(head)
+        spans = _write_records(f, rows, block)
         f.write(EOF_BLOCK)
     with open(path + ".bai", "wb") as f:
-        f.write(b"BAI\1" + struct.pack("<i", len(refs)))
-        for tid in range(len(refs)):
-            bins = spans.get(tid, {})
-            f.write(struct.pack("<i", len(bins)))
-            for number, chunks in sorted(bins.items()):
-                f.write(struct.pack("<IiQQ", number, 1, chunks[0][0], chunks[-1][1]))
-            f.write(struct.pack("<i", 0))
+        _write_index(f, len(refs), {k: [[x + (len(head) << 16) for x in v]] for k, v in spans.items()})
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    number: int
+    path: str
+    size: int
+    spans: dict[tuple[int, int], list[int]]
+
+
+class BamWriter(DataSourceArrowWriter):
+    """Options: path; header, the header text in base64; contigs, a JSON list of names and lengths."""
+
+    def __init__(self, options) -> None:
+        self.path, self.text = options["path"], base64.b64decode(options.get("header", ""))
+        self.refs = [tuple(x) for x in json.loads(options["contigs"])]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
+        number = TaskContext.get().partitionId()
+        path = f"{self.path}.part-{number:06d}-{uuid.uuid4().hex}"  # of its own for each attempt
+        store, place = _store(path)
+
+        def rows() -> Iterator[dict]:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    row["cigar"] = [(x["op"], x["len"]) for x in row["cigar"] or []]
+                    row["tags"] = {k: (v["t"], v["v"]) for k, v in row["tags"] or []}
+                    yield row
+
+        with store.open_output_stream(place) as f:
+            spans = _write_records(f, rows())
+            size = f.tell()
+        return _Part(number, path, size, spans)
+
+    def commit(self, messages: list) -> None:
+        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
+        store, place = _store(self.path)
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        with store.open_output_stream(place) as out:
+            out.write(_head_blocks(self.refs, self.text))
+            for part in parts:
+                at = out.tell() << 16
+                for key, span in part.spans.items():
+                    spans.setdefault(key, []).append([x + at for x in span])
+                with _input(part.path) as f:
+                    shutil.copyfileobj(f, out, 4 << 20)
+            out.write(EOF_BLOCK)
+        with store.open_output_stream(place + ".bai") as out:
+            _write_index(out, len(self.refs), spans)
+        self._remove(parts)
+
+    def abort(self, messages: list) -> None:
+        self._remove([m for m in messages if m is not None])
+
+    def _remove(self, parts: list[_Part]) -> None:
+        for part in parts:
+            store, place = _store(part.path)
+            store.delete_file(place)
+
+
+def save(rows: DataFrame, path: str, text: bytes, refs: list[tuple[str, int]]) -> None:
+    """Writes rows of the reads schema as one BAM file in the order of contig and ``ord``, with its index."""
+    rows = rows.repartitionByRange("tid", "ord").sortWithinPartitions("tid", "ord")
+    options = {"header": base64.b64encode(text).decode(), "contigs": json.dumps(refs)}
+    rows.write.format("bam").options(**options).mode("append").save(path)

@@ -1,11 +1,14 @@
-"""Results as files: TSV tables, statistics, a MatrixMarket triple and annotated BAM. Tables are streamed through the
-driver partition by partition, since each is one file by definition."""
+"""Results as files: TSV tables, statistics, a MatrixMarket triple and annotated BAM. Each is one file by definition. Tables of
+one row per region or statistic are streamed through the driver partition by partition; matrix entries and
+BAM records are written as parts by tasks, whose bytes are then joined."""
 
 from __future__ import annotations
 
+import shutil
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from readtally.config import Config
@@ -29,21 +32,33 @@ def matrix(hits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, Data
     features = counts.dictionary(keys.select(F.col("id").alias("feature")), "feature")
     barcodes = counts.dictionary(cells.select("barcode"), "barcode")
     out = cells.join(features, cells["id"] == features["feature"]).select("barcode", F.col("index").alias("f"), "count").join(barcodes, "barcode")
-    return features.orderBy("index"), barcodes.orderBy("index"), out.select(F.col("f").alias("feature_index"), F.col("index").alias("barcode_index"), "count").orderBy("feature_index", "barcode_index")
+    entries = out.select(F.col("f").alias("feature_index"), F.col("index").alias("barcode_index"), "count")
+    return features.orderBy("index"), barcodes.orderBy("index"), entries.orderBy("feature_index", "barcode_index")
+
+
+def _matrix_file(entries: DataFrame, path: Path, n_features: int, n_barcodes: int) -> None:
+    """The entries as text parts, then their bytes behind the size line, which needs their number."""
+    parts = path.with_name(f"{path.name}.parts-{uuid.uuid4().hex}")
+    seen = Observation()
+    entries.select(F.concat_ws(" ", *entries.columns).alias("value")).observe(seen, F.count("*").alias("n")).write.text(str(parts))
+    with open(path, "wb") as out:
+        out.write(f"%%MatrixMarket matrix coordinate integer general\n%\n{n_features} {n_barcodes} {seen.get['n']}\n".encode())
+        for part in sorted(parts.glob("part-*")):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out, 4 << 20)
+    shutil.rmtree(parts)
 
 
 def write(spark, config: Config) -> None:
     result, folder = quantify.run(spark, config), Path(config.directory)
-    _lines(folder / "counts.tsv.stats.tsv" if not config.barcodes else folder / "stats.tsv", counts.by_status(result.reads).toLocalIterator(), ["stat", "count"])
+    reads = quantify.with_status(result.reads)
+    stats = folder / ("stats.tsv" if config.barcodes else "counts.tsv.stats.tsv")
+    _lines(stats, counts.by_status(reads).toLocalIterator(), ["stat", "count"])
     if config.barcodes:
         features, barcodes, entries = matrix(result.hits, result.keys)
         _lines(folder / "features.tsv", features.select("feature").toLocalIterator())
         _lines(folder / "barcodes.tsv", barcodes.select("barcode").toLocalIterator())
-        size = (features.count(), barcodes.count(), entries.count())
-        with open(folder / "matrix.mtx", "w") as f:
-            f.write("%%MatrixMarket matrix coordinate integer general\n%\n" + " ".join(map(str, size)) + "\n")
-            for row in entries.toLocalIterator():
-                f.write(" ".join(map(str, row)) + "\n")
+        _matrix_file(entries, folder / "matrix.mtx", features.count(), barcodes.count())
     else:
         table = counts.by_region(result.hits, result.keys)
         if config.source.mode == "bam_references":
@@ -51,7 +66,9 @@ def write(spark, config: Config) -> None:
         else:
             table = table.orderBy("id")
         one = config.only_correct or config.strategy.direction == "ignore"
-        _lines(folder / "counts.tsv", (table.drop("count_reverse") if one else table).toLocalIterator(), [result.header, *(["count"] if one else ["count_correct", "count_reverse"])])
+        columns = [result.header, *(["count"] if one else ["count_correct", "count_reverse"])]
+        _lines(folder / "counts.tsv", (table.drop("count_reverse") if one else table).toLocalIterator(), columns)
     if config.write_annotated_bam:
-        rows = quantify.annotation_tags(result.reads).repartitionByRange("tid", "ord").sortWithinPartitions("tid", "ord")
-        bam.write(str(folder / "annotated.bam"), bam.header(config.bam)[1], (r.asDict(recursive=False) | {"cigar": [tuple(c) for c in r["cigar"]], "tags": {k: tuple(v) for k, v in r["tags"].items()}} for r in rows.toLocalIterator()), text=bam.header_bytes(config.bam))
+        rows = quantify.annotation_tags(reads).select("tid", "ord", "pos", "qname", "flag", "mapq", "cigar", "seq", "tags", "raw")
+        bam.save(rows, str(folder / "annotated.bam"), bam.header_bytes(config.bam), bam.header(config.bam)[1])
+    result.reads.unpersist()

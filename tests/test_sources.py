@@ -22,7 +22,18 @@ def test_bam_round_trip(spark, bam_file):
     rows = spark.read.format("bam").load(bam_file).orderBy("ord").collect()
     assert [(r["qname"], r["ref"], r["pos"], r["flag"]) for r in rows] == [(x["qname"], f"chr{x['tid'] + 1}", x["pos"], x["flag"]) for x in _reads()]
     assert rows[0]["seq"] == "ACGTN" * 6 and {k: tuple(v) for k, v in rows[0]["tags"].items()} == {"NH": ("C", "1"), "XF": ("Z", "g1"), "XB": ("B", "S,1,2")}
-    assert spark.read.format("bam").option("references", "chr2").load(bam_file).count() == 100
+    assert spark.read.format("bam").option("references", '["chr2"]').load(bam_file).count() == 100
+    assert spark.read.format("bam").option("references", "[]").load(bam_file).count() == 0
+
+
+def test_bam_splits(spark, tmp_path):
+    """A contig is several tasks; no record is lost or read twice."""
+    path = str(tmp_path / "wide.bam")
+    rows = [x | {"tid": 0, "pos": 20_000 * i} for i, x in enumerate(_reads())]
+    bam.write(path, [("chr1", 10_000_000)], rows, block=2000)
+    bam.register(spark)
+    df = spark.read.format("bam").option("split", 1500).load(path)
+    assert df.rdd.getNumPartitions() > 3 and [r["qname"] for r in df.orderBy("ord").collect()] == [x["qname"] for x in rows]
 
 
 def test_no_index(spark, bam_file):
