@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from readtally import __version__, config
+from readtally.shipping import ship
 from readtally.sources import sinks
 
 
@@ -18,7 +19,10 @@ def main(args: list[str]) -> int:
         print("usage: python -m readtally config.toml\n       python -m readtally --version")
         return 0 if args[:1] in (["-h"], ["--help"]) else 2
     try:
-        sinks.write(SparkSession.builder.appName("readtally").getOrCreate(), config.load(args[0]))
+        settings = config.load(args[0])
+        spark = SparkSession.builder.appName("readtally").getOrCreate()
+        ship(spark)
+        sinks.write(spark, settings)
     except (config.ConfigError, ValueError, OSError) as e:
         print(f"The quantification failed: {e}", file=sys.stderr)
         return 1

@@ -45,3 +45,14 @@ def test_errors(data, text):
 
 def test_dedup_ignores_unknown_keys():
     assert from_dict(_with(dedup={"mode": "None", "direction": "x", "bucket": "PerReference"})).dedup_bucket == "per_reference"
+
+
+@pytest.mark.parametrize(("name", "mode"), [("NInUMI", "n_in_umi"), ("NInUmi", "n_in_umi"), ("n_in_umi", "n_in_umi"), ("PolyXUMI", "polyx_umi"), ("PolyXUmi", "polyx_umi"), ("PolyAUMI", "polya_umi"), ("PolyAUmi", "polya_umi"), ("MultiMapper", "multimapper"), ("multimapper", "multimapper"), ("NonPrimary", "non_primary"), ("Read1", "read1")])
+def test_filter_spellings(name, mode):
+    assert from_dict(_with(filter=[{"mode": name, "action": "Keep"}])).filters[0]["mode"] == mode
+
+
+@pytest.mark.parametrize(("name", "mode"), [("NoDedup", "none"), ("none", "none"), ("Umi", "umi"), ("SingleCell", "sc"), ("singlecell", "sc"), ("sc", "sc")])
+def test_dedup_spellings(name, mode):
+    extract = {"mode": "RegexName", "regex": "umi=([AGCT-]*)"}
+    assert from_dict(_with(dedup={"mode": name}, umi=extract, cell_barcodes={"extract": extract, "separator_char": 45})).dedup_mode == mode
