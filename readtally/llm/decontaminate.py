@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import packed, small, stored, text_hash, unpacked, with_row_key
+from readtally.llm.shared import SQL_WORDS, packed, small, stored, text_hash, unpacked, with_row_key
 
 SPAN, K = 13, 5
 W = SPAN - K + 1
@@ -197,3 +197,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = small(bad).alias("y")
     same = F.col("x._k.d").eqNullSafe(F.col("y._k.d")) & (F.col("x._k.h") == F.col("y._k.h"))
     return unpacked(keyed.join(bad, same, "left_anti"), docs.columns)
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS ws FROM documents),
+i AS (SELECT DISTINCT item_id, {SQL_WORDS} AS ws FROM benchmark),
+n AS (SELECT item_id, ws, least({SPAN}, len(ws)) AS m FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(ws[k : k + m - 1], ' ') AS g FROM (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM n)),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+r AS (SELECT rid, pos, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {SPAN - 1} FOLLOWING) AS ws FROM p),
+dw AS (SELECT rid, pos, m, array_to_string(ws[1 : m], ' ') AS g FROM r, (SELECT DISTINCT m FROM n) WHERE len(ws) >= m),
+h AS (SELECT DISTINCT rid, pos, m, item_id FROM dw JOIN iw USING (m, g)),
+c AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + m)) AS x FROM h) GROUP BY rid),
+f AS (SELECT rid, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN f USING (rid)
+"""

@@ -10,16 +10,18 @@ links (other documents at 0.8 or more, copies included).
 3. Within a bucket, MinHash values are compared in steps of 32. After each step a pair is dropped if the posterior
    probability that its similarity reaches 0.8 is below ``TOLERANCE``. What survives is written as a forest: each
    node points at one node of its survivors' component, so rows are as many as members, not pairs.
-4. Connected components of the forests hold every pair that can reach 0.8 together; the similarity of all pairs inside is
-   verified exactly on the 5-gram sets, block by block, and only counts per node and a forest of exact links leave
+4. Connected components of the forests hold every pair that can reach 0.8 together. Inside, block by block, the pairs that
+   pruning leaves are verified exactly on the 5-gram sets, and only counts per node and a forest of exact links leave
    the task.
 5. Components of exact links are the classes.
 
-Buckets and components of more than ``BLOCK`` members are split into blocks and all pairs of blocks are tasks of
-their own; no group is gathered whole, none is cut short.
+Buckets and components of more than ``BLOCK`` members (components also by grams) are split into blocks and all pairs of
+blocks are tasks of their own; no group is gathered whole, none is cut short. A group of m different near copies is m * m / ``BLOCK``
+rows of gram sets, a square that counting all its links asks for.
 
 Edge cases: fewer than five words are one gram of all words; null or empty texts have no gram and no link, each is its
-own class; repeated rows are copies and linked; a null doc_id takes part, class null if all of a class are null.
+own class; repeated rows are copies and linked; a null doc_id takes part, class null if all of a class are null. Empty tables
+give empty tables. A very long text is one set in one task, and its component has fewer members to a block.
 """
 
 from __future__ import annotations
@@ -29,16 +31,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import components, packed, small, stored, text_hash, unpacked
+from readtally.llm.shared import BROADCAST_ROWS, SQL_WORDS, components, packed, small, stored, text_hash, unpacked
 
 GRAM, SIMILARITY = 5, 0.8
 ROWS, BANDS, COMPARED, STEP = 5, 30, 128, 32
 TOLERANCE = 1e-6
-BLOCK = 1024
+#: Most members of a block, and most grams of its sets on average (8 bytes each).
+BLOCK, BLOCK_GRAMS = 1024, 1 << 22
 _N = ROWS * BANDS
 _RNG = np.random.Generator(np.random.PCG64(977))
 _A = (_RNG.integers(1, 1 << 31, _N, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -75,16 +78,16 @@ def minhash(s: np.ndarray) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = V.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
     for batch in batches:
-        ident, bands, sig = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+        ident, bands, sig, size = ([None] * batch.num_rows for _ in range(4))
         for w in V.words(batch.column("text")):
             for r, s in gram_sets(w):
                 m = minhash(s)
                 key = seeds.copy()
                 for j in range(ROWS):
                     key = V.mix(key ^ m[j::ROWS].astype(np.uint64))
-                ident[r], bands[r], sig[r] = set_identity(s), V.signed(key), m[:COMPARED].astype(np.uint8).tobytes()
-        cols = [batch.column("doc_id"), batch.column("h"), pa.array(ident, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "bands", "sig"])
+                ident[r], bands[r], sig[r], size[r] = set_identity(s), V.signed(key), m[:COMPARED].astype(np.uint8).tobytes(), len(s)
+        cols = [batch.column("doc_id"), batch.column("h"), pa.array(ident, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(size, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "bands", "sig", "size"])
 
 
 @cache
@@ -180,7 +183,8 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram sets of the nodes' documents; a row whose text is not the node's (another of the same doc_id) is dropped."""
+    """Gram sets of the nodes' documents; a row whose text is not the node's (an equal hash) is dropped."""
+    kept = ("label", "members", "grams_of", "node", "copies", "sig")
     for batch in batches:
         want = batch.column("node").to_pylist()
         rows, sets = [], []
@@ -189,7 +193,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if set_identity(s) == want[r]:
                     rows.append(r), sets.append(s.tobytes())
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("label", "members", "node", "copies")] + [pa.array(sets, pa.binary())], names=["label", "members", "node", "copies", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in kept] + [pa.array(sets, pa.binary())], names=[*kept, "grams"])
 
 
 def exact_links(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -215,21 +219,36 @@ def exact_links(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SI
     return 1000 * both >= round(1000 * similarity) * (na[:, None] + nb[None, :] - both)
 
 
+def verified(a: list[np.ndarray], b: list[np.ndarray], sig_a: np.ndarray, sig_b: np.ndarray, one: bool) -> np.ndarray:
+    """Matrix of exact links among the pairs that pruning leaves. ``one``: a and b are the same block. Few survivors are
+    compared pair by pair, many at once."""
+    link = np.zeros((len(a), len(b)), bool)
+    x, y = surviving(sig_a, sig_b)
+    if one:
+        x, y = x[x < y], y[x < y]
+    if 64 * len(x) < len(a) * len(b) or len(x) <= 16:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            link[i, j] = exact_links([a[i]], [b[j]])[0, 0]
+    else:
+        survives = np.zeros_like(link)
+        survives[x, y] = True
+        link = exact_links(a, b) & survives
+    return link | link.T if one else link
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links inside each component (or pair of its blocks): per node the linked documents, and a forest."""
     for t, bounds in whole_groups(batches, "key"):
         node, side, copies = t.column("node").to_pylist(), t.column("side").to_numpy(), t.column("copies").to_numpy()
-        raw = t.column("grams").to_pylist()
+        raw, sig = t.column("grams").to_pylist(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COMPARED)
         out_a, out_b, out_n = [], [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             a, b = lo + np.flatnonzero(side[lo:hi] != 2), lo + np.flatnonzero(side[lo:hi] != 1)
             if not len(a) or not len(b):
                 continue
             sets = {i: np.frombuffer(raw[i], np.uint64) for i in range(lo, hi)}
-            link = exact_links([sets[i] for i in a], [sets[i] for i in b])
             one = side[lo] == 0
-            if one:
-                np.fill_diagonal(link, False)
+            link = verified([sets[i] for i in a], [sets[i] for i in b], sig[a], sig[b], one)
             x, y = np.nonzero(link)
             label = forest(hi - lo, a[x] - lo, b[y] - lo)
             n = np.zeros(hi - lo, np.int64)
@@ -242,9 +261,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary()), pa.array(out_n, pa.int64())], names=["a", "b", "n"])
 
 
-def in_blocks(df: DataFrame, key: str, members: str, block: int = BLOCK) -> DataFrame:
-    """Rows of a group larger than ``block`` go to every pair of blocks that holds theirs. Adds key, side."""
-    n = F.ceil(F.col(members) / block).cast("int")
+def in_blocks(df: DataFrame, key: str, members: str, block: int = BLOCK, grams: str | None = None) -> DataFrame:
+    """Rows of a group larger than ``block`` (or, by the group's column ``grams``, than ``BLOCK_GRAMS``) go to every pair of
+    blocks that holds theirs. Adds key, side."""
+    n = F.ceil(F.col(members) / block)
+    n = (F.greatest(n, F.least(F.ceil(F.col(grams) / BLOCK_GRAMS), F.col(members))) if grams else n).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     df = df.withColumn("_n", n).withColumn("_own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_own") == F.col("_o"), 0).when(F.col("_own") < F.col("_o"), 1).otherwise(2)
@@ -256,10 +277,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, h (text hash), node (null without words), class_key, class_id, n_links. Classes
     whose smallest doc_id is the same (an id that comes with two texts) differ in class_key."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    scan = stored(texts.mapInArrow(_scan, "doc_id long, h long, node binary, bands array<long>, sig binary"), "minhash")
+    scan = stored(texts.mapInArrow(_scan, "doc_id long, h long, node binary, bands array<long>, sig binary, size long"), "minhash")
     # binary minima cannot be aggregated in place; the first signature of a node is as good as any, they are equal
-    nodes = scan.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = stored(nodes, "nodes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
+    nodes = scan.where("node is not null").groupBy("node").agg(rep, F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("bands", "sig", "size")))
+    nodes = stored(nodes.select("node", "rep.doc_id", "rep.h", "copies", "bands", "sig", "size"), "nodes")
     placed = nodes.select("node", F.explode("bands").alias("band"))
     # counted by aggregation and joined back: a bucket of very many members is never in one task
     met = stored(placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
@@ -268,12 +290,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket = in_blocks(placed, "band", "members").select("key", "side", "node", "sig")
     edges = bucket.repartition("key").sortWithinPartitions("key").mapInArrow(_prune, "a binary, b binary")
     label = components(edges)
-    # nodes of components with their gram sets
-    sized = label.join(label.groupBy("label").agg(F.count("*").alias("members")), "label")
-    wanted = stored(sized.join(nodes.select("node", "doc_id", "copies"), "node", "inner"), "wanted")
-    grams = texts.select("doc_id", "text").alias("t").join(small(wanted).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.text", "w.label", "w.members", "w.node", "w.copies")
-    grams = grams.mapInArrow(_sets, "label binary, members long, node binary, copies long, grams binary").dropDuplicates(["node"])
-    blocks = in_blocks(grams, "label", "members").select("key", "side", "node", "copies", "grams")
+    # nodes of components with their gram sets, from the text of one document each
+    members = label.join(nodes.select("node", "doc_id", "h", "copies", "sig", "size"), "node")
+    totals = members.groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("grams_of"))
+    wanted = stored(members.drop("size").join(totals, "label"), "wanted")
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.h") == F.col("w.h"))
+    grams = texts.alias("t").join(small(wanted, BROADCAST_ROWS // 4).alias("w"), same)
+    grams = grams.select("t.text", *(f"w.{c}" for c in ("label", "members", "grams_of", "node", "copies", "sig")))
+    # rows that repeat a document give its set again, and one of these stays
+    grams = grams.mapInArrow(_sets, "label binary, members long, grams_of long, node binary, copies long, sig binary, grams binary").dropDuplicates(["node"])
+    blocks = in_blocks(grams, "label", "members", grams="grams_of").select("key", "side", "node", "copies", "sig", "grams")
     links = stored(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a binary, b binary, n long"), "links")
     final = components(links.select("a", "b"))
     counts = links.groupBy("b").agg(F.sum("n").alias("n")).withColumnRenamed("b", "node")
@@ -293,13 +319,28 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: that of the smallest doc_id; of rows that repeat it, one. The rows that go are
     joined by key, so texts stay where they are unless those are too many to broadcast."""
-    table = stored(near_duplicates(docs).select("doc_id", "h", "node", "class_key"), "classes")
-    keeper = F.row_number().over(Window.partitionBy("class_key").orderBy(F.col("doc_id").asc_nulls_last(), "h"))
-    ranked = table.where("node is not null").groupBy("class_key", "doc_id", "h").count().withColumn("rank", keeper)
-    gone = stored(ranked.where("rank > 1 or count > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "rank"), "near-duplicates")
+    table = stored(near_duplicates(docs).select("doc_id", "h", "node", "class_key"), "classes").where("node is not null")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    classes = stored(table.groupBy("class_key").agg(F.count("*").alias("n"), F.min(own).alias("keeper")).where("n > 1"), "keepers")
+    ranked = table.join(classes, "class_key").select("doc_id", "h", F.when(own == F.col("keeper"), 1).otherwise(2).alias("rank"))
+    gone = stored(ranked.distinct().select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "rank"), "near-duplicates")
     keyed = packed(docs).withColumn("_k", text_hash())
     out = keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left").where("rank is null or rank = 1")
-    once = Window.partitionBy("_d", "_h").orderBy(F.lit(1))
-    single, repeated = out.where("rank is null"), out.where("rank = 1")
-    repeated = repeated.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return unpacked(single.unionByName(repeated.drop("_n")), docs.columns)
+    single, repeated = out.where("rank is null"), out.where("rank = 1").dropDuplicates(["_d", "_h"])
+    return unpacked(single.unionByName(repeated), docs.columns)
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS ws FROM documents),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM d),
+r AS (SELECT rid, n, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {GRAM - 1} FOLLOWING) AS ws, pos FROM p),
+g AS (SELECT DISTINCT rid, array_to_string(ws, ' ') AS g FROM r WHERE len(ws) = {GRAM} OR (n < {GRAM} AND pos = 0)),
+s AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+both_ AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+link AS (SELECT x, y FROM both_ JOIN s a ON a.rid = x JOIN s b ON b.rid = y WHERE 1000 * both_.n >= {round(1000 * SIMILARITY)} * (a.n + b.n - both_.n)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+k AS (SELECT x AS rid, min(doc_id) AS least_ FROM reach JOIN d ON d.rid = y GROUP BY x),
+c AS (SELECT x AS rid, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, coalesce(least(doc_id, least_), doc_id, least_) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""

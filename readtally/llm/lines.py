@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm.fingerprints import let
-from readtally.llm.shared import packed, put, small, stored, unpacked, with_row_key
+from readtally.llm.shared import discard, packed, put, small, stored, unpacked, with_row_key
 
 MIN_CHARS = 20
 MIN_WORDS = 20
@@ -146,7 +146,9 @@ def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # shuffled at any size: the table holds every repeated chunk and outgrows a broadcast early
     places = cells.select("d", "t", "no", "at", "h", "n", "s").join(groups.hint("merge"), "h").where("at > first")
     gone = places.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("no", "n", "s"))).alias("p"))
-    return stored(gone.select("_d", "_t", _runs(F.col("p"), min_chars).alias("gone")).where(F.size("gone") > 0), "gone-chunks")
+    gone = stored(gone.select("_d", "_t", _runs(F.col("p"), min_chars).alias("gone")).where(F.size("gone") > 0), "gone-chunks")
+    discard(often, cells, groups)
+    return gone
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -9,7 +9,8 @@ Long texts would dominate, so the weight is tempered by length: the mean log rat
 of documents whose mean log ratio lies on the good side of a cut fitted on the labelled sample.
 
 Edge cases: null and empty texts have no n-gram and weight 0; without labels of both kinds nothing is rejected; rows
-that repeat a doc_id with the same text get the same key and are kept or rejected together; no documents, no rows.
+that repeat a doc_id with the same text get the same key and are kept or rejected together; no documents, no rows. A very long
+text is counted and scored whole, as a slice of its own in one task.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     expected = raw * (target.sum() / max(raw.sum(), 1))  # of the target, if it were like the raw text
     ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING)) if target.sum() else np.zeros(len(target))
     scores = stored(_scored(docs.select("doc_id", "text"), ratio).drop("text"), "scores")
-    known = scores.join(F.broadcast(sample), "doc_id").select("_mean", "q").limit(4 * labelled_rows).collect()
+    # a row for each labelled id; of an id's texts the least ratio counts
+    known = scores.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("_mean"), F.min("q")).select("min(_mean)", "min(q)").collect()
     cut = _cut([tuple(r) for r in known])
     k = scores.where(F.col("_mean") >= cut).count()
     return Model(ratio, cut, _kth_largest(scores, "_key", k) if k else float("inf"), k), scores

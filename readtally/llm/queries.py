@@ -24,4 +24,11 @@ QUERIES = {
     "op10_warc_index_merge": warc.op10,
     "pipeline": _pipeline,
 }
-ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
+ORACLES = {
+    "op2_source_mixing": mixing.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
+    "op4_chat_formatting": chat.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_ngram_jaccard_join": jaccard.ORACLE,
+    "op10_warc_index_merge": warc.ORACLE,
+}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,19 @@ BROADCAST_ROWS = 1_000_000
 ROW_NUMBERS = 8
 
 
+#: Words of a text column in DuckDB: A-Z lowered, null is empty.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset (tests on one
-    machine) a temporary folder is used."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder is used if
+    the master is local (tests on one machine); elsewhere that would lose data, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
+    return _own_dir()
 
 
 @cache
@@ -32,7 +42,16 @@ def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> Data
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/readtally-{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.compression.codec.zstd.level", "1").parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more. Tables that a result still reads stay until the folder is cleared."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_hash(text: str | Column = "text") -> Column:
@@ -84,7 +103,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star steps; each round is one pair of shuffles on node keys with map-side
     aggregation of the minimum, is written to the shared folder and ends when no edge changed. A hub's neighbours are
-    never gathered into one group: the minimum is aggregated and joined back, so a skewed hub can be split.
+    never gathered into one group: the minimum is aggregated and joined back, so a skewed hub can be split. Rounds grow
+    with the logarithm of the nodes (a path of 2^20 nodes takes about 20), so ``rounds`` is a guard against a fault, and an error.
     """
     step = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -101,6 +121,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # fixed point: every node has one edge and no target has one
         flat = new.agg(F.count("*").alias("n"), F.countDistinct("u").alias("k")).first()
         done = flat["n"] == flat["k"] and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
+        discard(step, low)
         step = new
         if done:
             break
@@ -108,7 +129,3 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("components: no fixed point")
     nodes = step.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(step.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -4,12 +4,13 @@ Categories are predicted one after the other. Each is a linear model over hashed
 (present or not); from the second on it also sees the probabilities of the earlier ones. While training, these
 probabilities are out-of-fold, so later models learn from errors like those they will meet.
 
-The labels hold one judgement (toxic). The chain predicts two narrower categories first, told from toxic texts with words of
-public insult vocabulary, then the label itself: insult -> contempt -> toxic. Models are trained on the driver from a bounded sample of
+The labels hold one judgement (toxic), so the narrower categories come from the toxic texts of the sample: 2-means over their
+telling features parts these into two kinds, and the chain is kind_1 -> kind_2 -> toxic. A row's kind is a target only; features and
+out-of-fold probabilities come from the other folds. Models are trained on the driver from a bounded sample of
 labelled rows (``POSITIVE`` toxic and ``NEGATIVE`` others, by hash of the id); every document is scored whole.
 
 Edge cases: null and empty texts have no features and score by intercept; without toxic labels all probabilities
-are 0; each row gives a row.
+are 0; each row gives a row, repeated or not. A very long text is a slice of its own in one task.
 """
 
 from __future__ import annotations
@@ -23,18 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import stored
+from readtally.llm.shared import stored, text_hash
 
 BITS, PIECE = 20, 5
 POSITIVE, NEGATIVE = 2_000, 3_000
 FEATURES, LEAST_Z, FOLDS = 2_048, 3.5, 3
 #: Share of documents labelled as not toxic that must stay below the cut, out of fold.
 CALM = 0.998
-# Words that tell the narrower categories among toxic texts.
-CATEGORIES = [
-    ("insult", ["idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"]),
-    ("contempt", ["scum", "trash", "worthless", "pathetic", "disgusting", "garbage", "filth"]),
-]
+NAMES = ["kind_1", "kind_2", "toxic"]
 
 
 def _features(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +54,14 @@ def _features(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = [np.concatenate([w.hash for w in V.words(pa.array([" ".join(x)]))]) for _, x in CATEGORIES]
     for batch in batches:
-        found, kinds = [], []
+        found = []
         for w in V.words(batch.column("text")):
             row, f = _features(w)
             pair = np.unique(row * (1 << BITS) + f)
             bounds = np.searchsorted(pair, np.arange(w.n_rows + 1) << BITS)
-            hit = [np.bincount(w.row[np.isin(w.hash, s)], minlength=w.n_rows) > 0 for s in seeds]
-            for r in range(w.n_rows):
-                found.append((pair[bounds[r] : bounds[r + 1]] & ((1 << BITS) - 1)).astype(np.int32).tobytes())
-                kinds.append([bool(h[r]) for h in hit])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary()), pa.array(kinds, pa.list_(pa.bool_()))], names=["doc_id", "toxic", "features", "kinds"])
+            found += [(pair[bounds[r] : bounds[r + 1]] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for r in range(w.n_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "features"])
 
 
 @dataclass
@@ -94,40 +87,68 @@ def _linear(x: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 1e-3
     return w
 
 
+def _telling(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Sorted numbers of the features whose odds are highest in the toxic rows among ``use``."""
+    mine = use[owner]
+    a = np.bincount(flat[mine & toxic[owner]], minlength=1 << BITS) + 0.5
+    b = np.bincount(flat[mine & ~toxic[owner]], minlength=1 << BITS) + 0.5
+    ra, rb = (toxic & use).sum() + 1 - a, (~toxic & use).sum() + 1 - b
+    z = (np.log(a / ra) - np.log(b / rb)) / np.sqrt(1 / a + 1 / b + 1 / ra + 1 / rb)
+    known = np.argsort(-z, kind="stable")[:FEATURES]
+    return np.sort(known[z[known] >= LEAST_Z])
+
+
+def _present(flat: np.ndarray, owner: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    at = V.in_sorted(flat, known)
+    x = np.zeros((n, len(known)), np.float32)
+    x[owner[at >= 0], at[at >= 0]] = 1
+    return x
+
+
+def _second_kind(x: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """2-means by cosine over the toxic rows, from the first row and the one least like it; the larger kind is the first."""
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centre = np.stack([x[0], x[np.argmin(x @ x[0])]])
+    second = np.zeros(len(x), bool)
+    for _ in range(rounds):
+        near = x @ centre.T
+        second = near[:, 1] > near[:, 0]
+        if second.all() or not second.any():
+            break
+        centre = np.stack([x[~second].mean(axis=0), x[second].mean(axis=0)])
+    return second if 2 * second.sum() <= len(x) else ~second
+
+
 def train(rows: list, folds: int = FOLDS) -> Chain | None:
-    """rows: (doc_id, toxic, feature bytes, kinds), in a fixed order."""
+    """rows: (doc_id, toxic, feature bytes), in a fixed order."""
     toxic = np.array([r[1] > 0 for r in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return None
     lists = [np.frombuffer(r[2], np.int32) for r in rows]
     flat, owner = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    a = np.bincount(flat[toxic[owner]], minlength=1 << BITS) + 0.5
-    b = np.bincount(flat[~toxic[owner]], minlength=1 << BITS) + 0.5
-    ra, rb = toxic.sum() + 1 - a, (~toxic).sum() + 1 - b
-    z = (np.log(a / ra) - np.log(b / rb)) / np.sqrt(1 / a + 1 / b + 1 / ra + 1 / rb)
-    known = np.argsort(-z, kind="stable")[:FEATURES]
-    known = np.sort(known[z[known] >= LEAST_Z])
-    at = V.in_sorted(flat, known)
-    x = np.zeros((len(rows), len(known)), np.float32)
-    x[owner[at >= 0], at[at >= 0]] = 1
-    kinds = np.array([r[3] for r in rows], bool)
-    names = [c for c, _ in CATEGORIES] + ["toxic"]
-    y = np.column_stack([toxic & kinds[:, i] for i in range(len(CATEGORIES))] + [toxic])
-    n, m = len(names), len(known)
-    weights, earlier, bias, held = np.zeros((n, m)), np.zeros((n, n)), np.zeros(n), np.zeros((len(rows), n), np.float32)
     fold = np.arange(len(rows)) % folds
+    # features are chosen without the fold whose probabilities they serve; ``folds`` stands for the models of all rows
+    chosen = [_telling(flat, owner, toxic, fold != k) for k in range(folds + 1)]
+    known = chosen[folds]
+    second = np.zeros(len(rows), bool)
+    second[toxic] = _second_kind(_present(flat, owner, len(rows), known)[toxic])
+    y = np.column_stack([toxic & ~second, second, toxic])
+    n, m = len(NAMES), len(known)
+    weights, earlier, bias, held = np.zeros((n, m)), np.zeros((n, n)), np.zeros(n), np.zeros((len(rows), n), np.float32)
     for c in range(n):
-        seen = np.hstack([x, held[:, :c]])
-        w = _linear(seen, y[:, c])
-        weights[c], earlier[c, :c], bias[c] = w[:m], w[m:-1], w[-1]
-        for k in range(folds):  # out-of-fold probabilities for the later models and for the cut
+        for k in range(folds + 1):
+            seen = np.hstack([_present(flat, owner, len(rows), chosen[k]), held[:, :c]])
             w = _linear(seen[fold != k], y[fold != k, c])
-            held[fold == k, c] = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ w[:-1] + w[-1], -40, 40)))
+            if k == folds:
+                weights[c], earlier[c, :c], bias[c] = w[:m], w[m:-1], w[-1]
+            else:  # out-of-fold probabilities for the later models and for the cut
+                new = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ w[:-1] + w[-1], -40, 40)))
+                held[fold == k, c] = new
     # between what all but a few of the other documents stay below and the toxic ones above that
     calm = float(np.quantile(held[~toxic, -1], CALM))
     above = held[toxic, -1][held[toxic, -1] > calm]
     cut = min(0.5, (calm + float(np.quantile(above, 0.05))) / 2) if len(above) else 0.5
-    return Chain(names, known, weights, earlier, bias, cut)
+    return Chain(NAMES, known, weights, earlier, bias, cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Chain | None:
@@ -135,14 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     sample = told.where("toxic > 0").orderBy(*by_hash).limit(positive).unionByName(told.where("toxic <= 0").orderBy(*by_hash).limit(negative))
     sample = stored(sample, "toxic-sample")  # at most positive + negative rows, so it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    rows = texts.mapInArrow(_sample_features, "doc_id long, toxic int, features binary, kinds array<boolean>").limit(2 * (positive + negative)).collect()
-    return train(sorted((r["doc_id"], r["toxic"], bytes(r["features"]), r["kinds"]) for r in rows))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # a row for each sampled id; of an id's texts the one of the least hash
+    texts = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", text_hash()).alias("text"))
+    rows = texts.mapInArrow(_sample_features, "doc_id long, toxic int, features binary").collect()
+    return train(sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in rows))
 
 
 def _score(chain: Chain | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = chain.names if chain else [c for c, _ in CATEGORIES] + ["toxic"]
+        names = NAMES
         for batch in batches:
             p = np.zeros((batch.num_rows, len(names)))
             if chain:
@@ -164,9 +187,8 @@ def _score(chain: Chain | None):
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    names = [c for c, _ in CATEGORIES] + ["toxic"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_score(chain), "doc_id long, " + ", ".join(f"p_{c} double" for c in names) + ", toxic boolean")
+    return texts.mapInArrow(_score(chain), "doc_id long, " + ", ".join(f"p_{c} double" for c in NAMES) + ", toxic boolean")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ of the payload, not the payload. Spark's text writer puts the records into gzip
 the blank lines that end a record as separator, under its commit protocol.
 
 Reading: files are framed by Content-Length, so payloads may hold anything. Each file gives a run of index entries that
-is sorted by URL key and time. Runs meet again in ranges of (URL key, time, page), where a loser tree merges
-the k sorted runs; ranges and rows inside them are in order, so the capture histories are ordered over all ranges. A
-URL with very many captures spans several ranges.
+is sorted by URL key, time and page. Runs meet again in ranges of these; the shuffle keeps the order of what one task sends, so a range
+receives sorted sections, and a loser tree merges these k sections. Where a section should come out of order, it is taken for
+two. Ranges and rows inside them are in order, so the capture histories are ordered over all ranges; a URL with very many
+captures spans several ranges. A merging task holds one range of about ``RANGE_ROWS`` narrow entries.
 
 Edge cases: a null html is an empty payload; an empty payload is deduplicated like any other from ``least_bytes``
 = 0 on; a null URL has an empty key; line breaks in URLs are percent-coded; repeated page rows give records of their own, and all
-rows with the group's smallest page_id are responses. Pages have no capture time, so it is derived from page_id.
+rows with the group's smallest page_id are responses. Pages without an id refer to nothing known and are referred to as
+none. An empty table writes no record and reads none. A very long page is one record of one file, which is read whole by a task. Pages have no
+capture time, so it is derived from page_id. Offsets are those in the uncompressed archive.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from readtally.llm.shared import shared_dir, small, stored
 
 CRLF = "\r\n"
-RECORDS_PER_FILE = 2_000
+#: Bytes of pages in a file, on average, and most records.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 2_000
 #: Index entries that a merging task holds, on average.
 RANGE_ROWS = 200_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -75,7 +79,9 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, least_bytes).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1
+    most = max(1, min(records_per_file, int(FILE_BYTES / max(mean, 1))))
+    records(pages, least_bytes).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -132,7 +138,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = int(http["Content-Length"])
                 intact = kind == "revisit" or (len(payload) == size and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest)
                 rows.append((_page(fields["WARC-Record-ID"]), url_key(fields.get("WARC-Target-URI", "")), fields["WARC-Date"], kind, size, digest, _page(fields.get("WARC-Refers-To")), run, offset, intact))
-            rows.sort(key=lambda r: (r[1], r[2], r[8]))
+            rows.sort(key=_place)
             if rows:
                 yield _entries(rows)
 
@@ -173,14 +179,28 @@ def loser_tree(runs: list[list], key) -> Iterator:
         tree[0] = w
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a range, run by run, each sorted: merged by URL key, time and page."""
-    runs: dict[str, list] = {}
+def _place(row: tuple) -> tuple:
+    return row[1], row[2], row[0] is not None, row[0] or 0, row[8]
+
+
+def _sections(batches: Iterator[pa.RecordBatch]) -> list[list[tuple]]:
+    """The rows of a range as sorted lists: those of one run, as far as they came in order."""
+    done: list[list[tuple]] = []
+    open_runs: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[7], []).append(row)
+            run = open_runs.get(row[7])
+            if run is None or _place(row) < _place(run[-1]):
+                run = open_runs[row[7]] = []
+                done.append(run)
+            run.append(row)
+    return done
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sections of a range merged by URL key, time and page."""
     out = []
-    for row in loser_tree(list(runs.values()), lambda r: (r[1], r[2], r[0] is not None, r[0] or 0, r[8])):
+    for row in loser_tree(_sections(batches), _place):
         out.append(row)
         if len(out) == 10_000:
             yield _entries(out)
@@ -195,17 +215,36 @@ def read(spark, path: str) -> DataFrame:
     return files.mapInArrow(_parse, _ENTRY)
 
 
+def checked(entries: DataFrame) -> DataFrame:
+    """A revisit is intact only if a response of the page it refers to has its payload's length and digest."""
+    responses = entries.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    same = F.col("refers_to").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    revisits = entries.where("record_type = 'revisit'").join(responses, same, "left")
+    revisits = revisits.withColumn("intact", F.col("intact") & F.col("_digest").isNotNull())
+    return entries.where("record_type <> 'revisit'").unionByName(revisits.select(entries.columns))
+
+
 def capture_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Entries in the order of URL key, time and page over all partitions."""
     entries = stored(entries, "runs")
     n = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // range_rows))
-    order = ["url_key", "capture_time", "page_id", "offset"]
-    ranged = entries.repartitionByRange(n, *order).sortWithinPartitions("run", *order)
-    return ranged.mapInArrow(_merge, _ENTRY)
+    return entries.repartitionByRange(n, "url_key", "capture_time", "page_id", "offset").mapInArrow(_merge, _ENTRY)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    out = capture_index(read(spark, path))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "intact")
+    out = checked(capture_index(read(spark, path)))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+_VALUE = "CAST('0x' || substr(x, {at}, 5) AS INTEGER)"
+_LETTERS = " || ".join(f"substr('{_BASE32}', (({_VALUE.format(at=5 * i + 1)} >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+ORACLE = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first FROM p GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, true AS intact
+FROM p JOIN f USING (x)
+"""
