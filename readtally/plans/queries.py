@@ -166,6 +166,18 @@ _add("region_hull", lambda spark, sf: regions.hull(region_table(spark, sf)), f"{
 for name, fn, sql in (("region_collapse", regions.collapse, "SELECT ord, id FROM n WHERE k = 1"), ("region_rename", regions.rename, "SELECT ord, CASE WHEN k > 1 THEN id || '-' || ord ELSE id END AS id FROM n")):
     _add(name, lambda spark, sf, fn=fn: fn(region_table(spark, sf).withColumns({"start": F.col("start") % 500, "end": F.col("end") * 0})).select("ord", "id"), f"{_WITH}, n AS (SELECT ord, id, row_number() OVER (PARTITION BY start_ % 500, id ORDER BY ord) AS k FROM g) {sql}")
 
+# real keys: starts, ends and ids repeat, contigs and strands differ
+_KEYS = "start_ % 40, start_ % 40 + 40 + (end_ - start_) % 4, id"
+for name, fn, sql in (
+    ("region_collapse_keys", regions.collapse, "SELECT ord, ref, strand, id FROM n WHERE k = 1"),
+    ("region_rename_keys", regions.rename, "SELECT ord, ref, strand, CASE WHEN k > 1 THEN id || '-' || ord ELSE id END AS id FROM n"),
+):
+    def _keyed(spark, sf, fn=fn):
+        start, size = F.col("start") % 40, F.col("end") - F.col("start")
+        return fn(region_table(spark, sf).withColumns({"start": start, "end": start + 40 + size % 4})).select("ord", "ref", "strand", "id")
+
+    _add(name, _keyed, f"{_WITH}, n AS (SELECT ord, ref, strand, id, row_number() OVER (PARTITION BY {_KEYS} ORDER BY ord) AS k FROM g) {sql}")
+
 # barcodes
 for name, most in (("barcode_exact", 0), ("barcode_hamming", 1)):
     _add(name, lambda spark, sf, most=most: barcodes.correct(reads(spark, sf).select(R.extractor(_TAG_CELL.extract).alias("raw_barcode")), _list(spark), "_", most).groupBy("barcode").agg(F.count("*").alias("count")), f"{_WITH}, w(e) AS (VALUES {', '.join(f"('{w}')" for w in WHITELIST)}), d AS (SELECT DISTINCT b1 FROM r), m AS (SELECT b1, arg_min(e, hamming(b1, e) * 1000 + (SELECT count(*) FROM w w2 WHERE w2.e < w.e)) AS barcode FROM d, w WHERE hamming(b1, e) <= {most} GROUP BY b1) SELECT barcode, count(*) AS count FROM r LEFT JOIN m USING (b1) GROUP BY barcode")

@@ -40,10 +40,13 @@ def _unpacked(batches: Iterator, chunk: int = 1 << 20) -> Iterator:
 
 
 def _head(spark: SparkSession, path: str, n: int = 4) -> bytes:
-    """First bytes of a file, in any store that Spark reads."""
+    """First bytes of a file, in any store that Spark reads; none of a folder."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(where).isDirectory():
+        return b""
+    stream = files.open(where)
     try:
         return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
     finally:

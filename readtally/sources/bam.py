@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from readtally.functions.reads import READS
+from readtally.sources import stores
 
 # Fixed values of the SAM format: operation letters, base letters, value sizes.
 CIGAR_OPS = "MIDNSHP=X"
@@ -38,25 +38,11 @@ SPLIT, BATCH = 16 << 20, 4096
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _input(path: str):
-    store, place = _store(path)
-    return store.open_input_file(place)
-
-
-def _exists(path: str) -> bool:
-    store, place = _store(path)
-    return store.get_file_info(place).type == fs.FileType.File
-
-
 class Bgzf:
     """Reads a BGZF file from a virtual offset."""
 
     def __init__(self, path: str, offset: int = 0) -> None:
-        self.file = _input(path)
+        self.file = stores.open_input(path)
         self.next = offset >> 16
         self.block, self.at, self.start = b"", 0, self.next
         if self._load():
@@ -114,10 +100,10 @@ def _header(path: str) -> tuple[bytes, list[tuple[str, int]]]:
 
 def index(path: str) -> dict[int, list[int]]:
     """Virtual offsets at which records begin, for each contig that has reads, in order."""
-    found = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if _exists(p)), None)
+    found = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if stores.is_file(p)), None)
     if found is None:
         raise FileNotFoundError(f"no index for {path}, please create an index")
-    data = _input(found).read()
+    data = stores.open_input(found).read()
     at, out = 8, {}
     for tid in range(struct.unpack_from("<i", data, 4)[0]):
         n_bins = struct.unpack_from("<i", data, at)[0]
@@ -407,7 +393,6 @@ class BamWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         number = TaskContext.get().partitionId()
         path = f"{self.path}.part-{number:06d}-{uuid.uuid4().hex}"  # of its own for each attempt
-        store, place = _store(path)
 
         def rows() -> Iterator[dict]:
             for batch in iterator:
@@ -416,25 +401,24 @@ class BamWriter(DataSourceArrowWriter):
                     row["tags"] = {k: (v["t"], v["v"]) for k, v in row["tags"] or []}
                     yield row
 
-        with store.open_output_stream(place) as f:
+        with stores.open_output(path) as f:
             spans = _write_records(f, rows())
             size = f.tell()
         return _Part(number, path, size, spans)
 
     def commit(self, messages: list) -> None:
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        store, place = _store(self.path)
         spans: dict[tuple[int, int], list[list[int]]] = {}
-        with store.open_output_stream(place) as out:
+        with stores.open_output(self.path) as out:
             out.write(_head_blocks(self.refs, self.text))
             for part in parts:
                 at = out.tell() << 16
                 for key, span in part.spans.items():
                     spans.setdefault(key, []).append([x + at for x in span])
-                with _input(part.path) as f:
+                with stores.open_input(part.path) as f:
                     shutil.copyfileobj(f, out, 4 << 20)
             out.write(EOF_BLOCK)
-        with store.open_output_stream(place + ".bai") as out:
+        with stores.open_output(self.path + ".bai") as out:
             _write_index(out, len(self.refs), spans)
         self._remove(parts)
 
@@ -443,12 +427,12 @@ class BamWriter(DataSourceArrowWriter):
 
     def _remove(self, parts: list[_Part]) -> None:
         for part in parts:
-            store, place = _store(part.path)
+            store, place = stores.store(part.path)
             store.delete_file(place)
 
 
-def save(rows: DataFrame, path: str, text: bytes, refs: list[tuple[str, int]]) -> None:
-    """Writes rows of the reads schema as one BAM file in the order of contig and ``ord``, with its index."""
-    rows = rows.repartitionByRange("tid", "ord").sortWithinPartitions("tid", "ord")
+def save(rows: DataFrame, path: str, text: bytes, refs: list[tuple[str, int]], order: tuple[str, ...] = ("tid", "ord")) -> None:
+    """Writes rows of the reads schema as one BAM file in the given order, with its index."""
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     options = {"header": base64.b64encode(text).decode(), "contigs": json.dumps(refs)}
     rows.write.format("bam").options(**options).mode("append").save(path)

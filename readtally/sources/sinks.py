@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,16 +13,15 @@ from pyspark.sql import functions as F
 from readtally.config import Config
 from readtally.operators import counts
 from readtally.plans import quantify
-from readtally.sources import bam
+from readtally.sources import bam, stores
 
 
-def _lines(path: Path, rows, header: list[str] = ()) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w") as f:
+def _lines(path: str, rows, header: list[str] = ()) -> None:
+    with stores.open_output(path) as f:
         for row in ([header] if header else []):
-            f.write("\t".join(row) + "\n")
+            f.write(("\t".join(row) + "\n").encode())
         for row in rows:
-            f.write("\t".join(str(x) for x in row) + "\n")
+            f.write(("\t".join(str(x) for x in row) + "\n").encode())
 
 
 def matrix(hits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,29 +34,30 @@ def matrix(hits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return features.orderBy("index"), barcodes.orderBy("index"), entries.orderBy("feature_index", "barcode_index")
 
 
-def _matrix_file(entries: DataFrame, path: Path, n_features: int, n_barcodes: int) -> None:
+def _matrix_file(entries: DataFrame, path: str, n_features: int, n_barcodes: int) -> None:
     """The entries as text parts, then their bytes behind the size line, which needs their number."""
-    parts = path.with_name(f"{path.name}.parts-{uuid.uuid4().hex}")
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
     seen = Observation()
-    entries.select(F.concat_ws(" ", *entries.columns).alias("value")).observe(seen, F.count("*").alias("n")).write.text(str(parts))
-    with open(path, "wb") as out:
+    entries.select(F.concat_ws(" ", *entries.columns).alias("value")).observe(seen, F.count("*").alias("n")).write.text(parts)
+    with stores.open_output(path) as out:
         out.write(f"%%MatrixMarket matrix coordinate integer general\n%\n{n_features} {n_barcodes} {seen.get['n']}\n".encode())
-        for part in sorted(parts.glob("part-*")):
-            with open(part, "rb") as f:
-                shutil.copyfileobj(f, out, 4 << 20)
-    shutil.rmtree(parts)
+        for part in stores.files(parts):
+            if part.rsplit("/", 1)[-1].startswith("part-"):
+                with stores.open_input(part) as f:
+                    shutil.copyfileobj(f, out, 4 << 20)
+    stores.remove_folder(parts)
 
 
 def write(spark, config: Config) -> None:
-    result, folder = quantify.run(spark, config), Path(config.directory)
+    result, folder = quantify.run(spark, config), config.directory.rstrip("/")
+    stores.make_folder(folder)
     reads = quantify.with_status(result.reads)
-    stats = folder / ("stats.tsv" if config.barcodes else "counts.tsv.stats.tsv")
-    _lines(stats, counts.by_status(reads).toLocalIterator(), ["stat", "count"])
+    _lines(f"{folder}/{'stats.tsv' if config.barcodes else 'counts.tsv.stats.tsv'}", counts.by_status(reads).toLocalIterator(), ["stat", "count"])
     if config.barcodes:
         features, barcodes, entries = matrix(result.hits, result.keys)
-        _lines(folder / "features.tsv", features.select("feature").toLocalIterator())
-        _lines(folder / "barcodes.tsv", barcodes.select("barcode").toLocalIterator())
-        _matrix_file(entries, folder / "matrix.mtx", features.count(), barcodes.count())
+        _lines(f"{folder}/features.tsv", features.select("feature").toLocalIterator())
+        _lines(f"{folder}/barcodes.tsv", barcodes.select("barcode").toLocalIterator())
+        _matrix_file(entries, f"{folder}/matrix.mtx", features.count(), barcodes.count())
     else:
         table = counts.by_region(result.hits, result.keys)
         if config.source.mode == "bam_references":
@@ -67,8 +66,8 @@ def write(spark, config: Config) -> None:
             table = table.orderBy("id")
         one = config.only_correct or config.strategy.direction == "ignore"
         columns = [result.header, *(["count"] if one else ["count_correct", "count_reverse"])]
-        _lines(folder / "counts.tsv", (table.drop("count_reverse") if one else table).toLocalIterator(), columns)
+        _lines(f"{folder}/counts.tsv", (table.drop("count_reverse") if one else table).toLocalIterator(), columns)
     if config.write_annotated_bam:
         rows = quantify.annotation_tags(reads).select("tid", "ord", "pos", "qname", "flag", "mapq", "cigar", "seq", "tags", "raw")
-        bam.save(rows, str(folder / "annotated.bam"), bam.header_bytes(config.bam), bam.header(config.bam)[1])
+        bam.save(rows, f"{folder}/annotated.bam", bam.header_bytes(config.bam), bam.header(config.bam)[1])
     result.reads.unpersist()
