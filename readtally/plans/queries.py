@@ -31,7 +31,8 @@ READS = f"""
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), {_CENTS}, l_returnflag) AS ord,
        'chr' || CAST(l_suppkey % 5 AS STRING) AS ref, CAST(l_suppkey % 5 AS INT) AS tid,
        CAST((l_partkey * 97 + l_linenumber * 13) % 20000 AS INT) AS pos,
-       CAST(CASE WHEN l_linestatus = 'F' THEN 16 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 64 ELSE 128 END + CASE WHEN l_partkey % 7 = 0 THEN 256 ELSE 0 END AS INT) AS flag,
+       CAST(CASE WHEN l_linestatus = 'F' THEN 16 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 64 ELSE 128 END
+            + CASE WHEN l_partkey % 7 = 0 THEN 256 ELSE 0 END AS INT) AS flag,
        CAST(l_quantity AS INT) AS mapq, CAST(1 + l_linenumber % 3 AS INT) AS nh, l_linenumber AS shape,
        CASE l_linenumber {_CASE} ELSE '50M' END AS cigar_text,
        translate(substr(md5(CAST(l_orderkey AS STRING)), 1, 2), '0123456789abcdef', 'ACGTACGTACGTACGN') AS u,
@@ -52,14 +53,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     r = spark.sql(READS.replace("FROM lineitem", "FROM {t}"), t=t)
     z = lambda v: F.struct(F.lit("Z").alias("t"), v.alias("v"))
-    tags = F.map_from_arrays(F.array(*map(F.lit, ("NH", "UB", "CB", "XF"))), F.array(F.struct(F.lit("C").alias("t"), F.col("nh").cast("string").alias("v")), z(F.col("u")), z(F.concat_ws("_", "b1", "b2")), z(F.col("gene"))))
+    nh = F.struct(F.lit("C").alias("t"), F.col("nh").cast("string").alias("v"))
+    tags = F.map_from_arrays(F.array(*map(F.lit, ("NH", "UB", "CB", "XF"))), F.array(nh, z(F.col("u")), z(F.concat_ws("_", "b1", "b2")), z(F.col("gene"))))
     seq = F.concat("u", F.lit("ACGTACGTACGTACGT"))
-    return r.select("ord", F.concat(F.lit("r:UMI_"), "u", F.lit(":")).alias("qname"), "flag", "tid", "ref", "pos", "mapq", R.parse_cigar(F.col("cigar_text")).alias("cigar"), seq.alias("seq"), tags.alias("tags"))
+    name, cigar = F.concat(F.lit("r:UMI_"), "u", F.lit(":")), R.parse_cigar(F.col("cigar_text"))
+    return r.select("ord", name.alias("qname"), "flag", "tid", "ref", "pos", "mapq", cigar.alias("cigar"), seq.alias("seq"), tags.alias("tags"))
 
 
 def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return spark.sql(REGIONS.replace("FROM part", "FROM {p}"), p=p).select("ord", "ref", F.col("start_").alias("start"), F.col("end_").alias("end"), "strand", "id", F.col("id").alias("aggr"))
+    g = spark.sql(REGIONS.replace("FROM part", "FROM {p}"), p=p)
+    return g.select("ord", "ref", F.col("start_").alias("start"), F.col("end_").alias("end"), "strand", "id", F.col("id").alias("aggr"))
 
 
 _TAG_UMI = {"mode": "tag", "tag": "UB"}
@@ -100,88 +104,196 @@ def _add(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLES[name] = query, sql
 
 
+def _sides(correct: str, reverse: str) -> str:
+    """SQL of the two counts by conditions."""
+    return f"CAST(count(*) FILTER ({correct}) AS BIGINT) AS count_correct, CAST(count(*) FILTER ({reverse}) AS BIGINT) AS count_reverse"
+
+
 # contigs as regions, three directions
 for d, rev in (("forward", _LIVE), ("reverse", f"NOT ({_LIVE})"), ("ignore", "false")):
-    _add(f"ref_counts_{d}", _table(_config("bam_references", strategy=Strategy(direction=d))), f"{_WITH} SELECT ref AS id, CAST(count(*) FILTER (NOT ({rev})) AS BIGINT) AS count_correct, CAST(count(*) FILTER ({rev}) AS BIGINT) AS count_reverse FROM r GROUP BY ref")
+    sql = f"{_WITH} SELECT ref AS id, {_sides(f'NOT ({rev})', rev)} FROM r GROUP BY ref"
+    _add(f"ref_counts_{d}", _table(_config("bam_references", strategy=Strategy(direction=d))), sql)
 
 # filters: SQL condition of removal
 _REMOVED = {
-    ("multimapper", "remove"): "nh > 1", ("multimapper", "keep"): "nh <= 1", ("non_primary", "remove"): "(flag & 256) <> 0", ("non_primary", "keep"): "false",
-    ("read1", "remove"): "(flag & 64) <> 0", ("read1", "keep"): "false", ("read2", "remove"): "(flag & 128) <> 0", ("read2", "keep"): "false",
-    ("spliced", "remove"): "shape IN (3, 6)", ("spliced", "keep"): "shape NOT IN (3, 6)",
-    ("n_in_umi", "remove"): "u LIKE '%N%'", ("n_in_umi", "keep"): "u NOT LIKE '%N%'",
-    ("polyx_umi", "remove"): "u[1] = u[2]", ("polyx_umi", "keep"): "u[1] <> u[2]", ("polya_umi", "remove"): "u = 'AA'", ("polya_umi", "keep"): "u <> 'AA'",
-    ("reference", "remove"): "ref IN ('chr1', 'chr3')", ("reference", "keep"): "ref NOT IN ('chr1', 'chr3')",
-}
+    ("multimapper", "remove"): "nh > 1",
+    ("multimapper", "keep"): "nh <= 1",
+    ("non_primary", "remove"): "(flag & 256) <> 0",
+    ("non_primary", "keep"): "false",
+    ("read1", "remove"): "(flag & 64) <> 0",
+    ("read1", "keep"): "false",
+    ("read2", "remove"): "(flag & 128) <> 0",
+    ("read2", "keep"): "false",
+    ("spliced", "remove"): "shape IN (3, 6)",
+    ("spliced", "keep"): "shape NOT IN (3, 6)",
+    ("n_in_umi", "remove"): "u LIKE '%N%'",
+    ("n_in_umi", "keep"): "u NOT LIKE '%N%'",
+    ("polyx_umi", "remove"): "u[1] = u[2]",
+    ("polyx_umi", "keep"): "u[1] <> u[2]",
+    ("polya_umi", "remove"): "u = 'AA'",
+    ("polya_umi", "keep"): "u <> 'AA'",
+    ("reference", "remove"): "ref IN ('chr1', 'chr3')",
+    ("reference", "keep"): "ref NOT IN ('chr1', 'chr3')",
+}
 for (m, a), cond in _REMOVED.items():
     c = _config("bam_references", filters=[{"mode": m, "action": a, "references": ["chr1", "chr3"]}], umi=_TAG_UMI)
-    _add(f"filter_{m}_{a}", _table(c), f"{_WITH} SELECT ref AS id, CAST(count(*) FILTER (NOT ({_LIVE})) AS BIGINT) AS count_correct, CAST(count(*) FILTER ({_LIVE}) AS BIGINT) AS count_reverse FROM r WHERE NOT ({cond}) GROUP BY ref")
+    sql = f"{_WITH} SELECT ref AS id, {_sides(f'NOT ({_LIVE})', _LIVE)} FROM r WHERE NOT ({cond}) GROUP BY ref"
+    _add(f"filter_{m}_{a}", _table(c), sql)
+
 
 # extractors: reads by UMI
+def _by_umi(how: dict):
+    return lambda spark, sf: reads(spark, sf).select(R.extractor(how).alias("umi")).groupBy("umi").agg(F.count("*").alias("count"))
+
+
 for m, how, expr in (
-    ("regex", {"mode": "regex_name", "regex": ":(UMI_[ACGTN]+):"}, "'UMI_' || u"), ("search", {"mode": "search_in_name", "search": "UMI_", "skip": 1, "len": 1}, "u[2]"),
-    ("region", {"mode": "read_region", "start": 1, "stop": 4}, "substr(u || 'ACGT', 2, 3)"), ("tag", _TAG_UMI, "u"),
-):
-    _add(f"umi_{m}", lambda spark, sf, how=how: reads(spark, sf).select(R.extractor(how).alias("umi")).groupBy("umi").agg(F.count("*").alias("count")), f"{_WITH} SELECT {expr} AS umi, count(*) AS count FROM r GROUP BY 1")
+    ("regex", {"mode": "regex_name", "regex": ":(UMI_[ACGTN]+):"}, "'UMI_' || u"),
+    ("search", {"mode": "search_in_name", "search": "UMI_", "skip": 1, "len": 1}, "u[2]"),
+    ("region", {"mode": "read_region", "start": 1, "stop": 4}, "substr(u || 'ACGT', 2, 3)"),
+    ("tag", _TAG_UMI, "u"),
+):
+    _add(f"umi_{m}", _by_umi(how), f"{_WITH} SELECT {expr} AS umi, count(*) AS count FROM r GROUP BY 1")
 
 # record geometry
 _VALUES = ", ".join(f"({k}, {v[1]})" for k, v in SHAPES.items())
 _BLOCKS = ", ".join(f"({k}, {s}, {e})" for k, v in SHAPES.items() for s, e in v[2])
 _GAPS = ", ".join(f"({k}, {s}, {e})" for k, v in SHAPES.items() for s, e in v[3])
 _B = f"{_WITH}, b(k, s, e) AS (VALUES {_BLOCKS}), i(k, s, e) AS (VALUES {_GAPS}), c(k, n) AS (VALUES {_VALUES})"
-_add("clip_corrected_position", lambda spark, sf: reads(spark, sf).groupBy(R.corrected_position(F.col("cigar"), F.col("pos")).alias("corrected")).agg(F.count("*").alias("count")), f"{_B} SELECT pos - n AS corrected, count(*) AS count FROM r JOIN c ON k = shape GROUP BY 1")
+
+
+def _clipped(spark, sf_dir):
+    corrected = R.corrected_position(F.col("cigar"), F.col("pos")).alias("corrected")
+    return reads(spark, sf_dir).groupBy(corrected).agg(F.count("*").alias("count"))
+
+
+def _intervals(fn):
+    def query(spark, sf_dir):
+        each = reads(spark, sf_dir).select("ref", F.inline(fn(F.col("cigar"), F.col("pos"))))
+        return each.groupBy("ref", "s", "e").agg(F.count("*").alias("count"))
+
+    return query
+
+
+def _bases(spark, sf_dir):
+    n = R.total_length(R.blocks(F.col("cigar"), F.col("pos"))).cast("long")
+    return reads(spark, sf_dir).groupBy("ref").agg(F.sum(n).alias("bases"))
+
+
+def _merged(spark, sf_dir):
+    all_of = F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
+    return region_table(spark, sf_dir).groupBy("ref", "id").agg(R.merged_length(all_of).cast("long").alias("length"))
+
+
+_add("clip_corrected_position", _clipped, f"{_B} SELECT pos - n AS corrected, count(*) AS count FROM r JOIN c ON k = shape GROUP BY 1")
 for name, fn, alias in (("cigar_blocks", R.blocks, "b"), ("introns", R.introns, "i")):
-    _add(name, lambda spark, sf, fn=fn: reads(spark, sf).select("ref", F.inline(fn(F.col("cigar"), F.col("pos")))).groupBy("ref", "s", "e").agg(F.count("*").alias("count")), f"{_B} SELECT ref, pos + s AS s, pos + e AS e, count(*) AS count FROM r JOIN {alias} ON k = shape GROUP BY ALL")
-_add("bases_aligned", lambda spark, sf: reads(spark, sf).groupBy("ref").agg(F.sum(R.total_length(R.blocks(F.col("cigar"), F.col("pos"))).cast("long")).alias("bases")), f"{_B} SELECT ref, CAST(sum(e - s) AS BIGINT) AS bases FROM r JOIN b ON k = shape GROUP BY ref")
-_add("merged_interval_length", lambda spark, sf: region_table(spark, sf).groupBy("ref", "id").agg(R.merged_length(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).cast("long").alias("length")), f"{_WITH} SELECT ref, id, CAST(count(DISTINCT p) AS BIGINT) AS length FROM (SELECT ref, id, unnest(range(start_, end_)) AS p FROM g) GROUP BY ref, id")
+    sql = f"{_B} SELECT ref, pos + s AS s, pos + e AS e, count(*) AS count FROM r JOIN {alias} ON k = shape GROUP BY ALL"
+    _add(name, _intervals(fn), sql)
+_add("bases_aligned", _bases, f"{_B} SELECT ref, CAST(sum(e - s) AS BIGINT) AS bases FROM r JOIN b ON k = shape GROUP BY ref")
+sql = "SELECT ref, id, CAST(count(DISTINCT p) AS BIGINT) AS length FROM (SELECT ref, id, unnest(range(start_, end_)) AS p FROM g) GROUP BY ref, id"
+_add("merged_interval_length", _merged, f"{_WITH} {sql}")
 
 # overlap joins
 _HIT = f"""{_B}, blk AS (SELECT ord, ref, {_LIVE} AS rev, pos + s AS s, pos + e AS e FROM r JOIN b ON k = shape),
 tot AS (SELECT ord, sum(e - s) AS bases FROM blk GROUP BY ord),
-pair AS (SELECT blk.ord AS ord, id, CASE WHEN strand = '.' OR rev = (strand = '-') THEN 'correct' ELSE 'reverse' END AS side, greatest(s, start_) AS s, least(e, end_) AS e FROM blk JOIN g USING (ref) WHERE s < end_ AND e > start_),
+pair AS (
+  SELECT blk.ord AS ord, id, CASE WHEN strand = '.' OR rev = (strand = '-') THEN 'correct' ELSE 'reverse' END AS side,
+         greatest(s, start_) AS s, least(e, end_) AS e
+  FROM blk JOIN g USING (ref) WHERE s < end_ AND e > start_),
 inn AS (SELECT ord, side, id, count(DISTINCT p) AS n FROM (SELECT ord, side, id, unnest(range(s, e)) AS p FROM pair) GROUP BY ALL),
 f AS (SELECT ord, side, id, n = bases AS full_ FROM inn JOIN tot USING (ord)),"""
-_POLICY = {"union": "h AS (SELECT ord, side, id FROM f)", "intersection_strict": "h AS (SELECT ord, side, id FROM f WHERE full_)", "intersection_non_empty": "h AS (SELECT ord, side, id FROM f QUALIFY full_ OR NOT bool_or(full_) OVER (PARTITION BY ord, side))"}
+_POLICY = {
+    "union": "h AS (SELECT ord, side, id FROM f)",
+    "intersection_strict": "h AS (SELECT ord, side, id FROM f WHERE full_)",
+    "intersection_non_empty": "h AS (SELECT ord, side, id FROM f QUALIFY full_ OR NOT bool_or(full_) OVER (PARTITION BY ord, side))",
+}
+_SIDES = _sides("side = 'correct'", "side = 'reverse'")
 for o, policy in _POLICY.items():
     for multi in ("drop", "count_both"):
         keep = "h" if multi == "count_both" else "(SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY ord, side) = 1)"
-        _add(f"region_{o}_{multi}", _table(_config(strategy=Strategy(o, multi))), f"{_HIT} {policy} SELECT id, CAST(count(*) FILTER (side = 'correct') AS BIGINT) AS count_correct, CAST(count(*) FILTER (side = 'reverse') AS BIGINT) AS count_reverse FROM {keep} GROUP BY id")
-_add("stats_histogram", _stats(_config(filters=[{"mode": "multimapper", "action": "remove", "references": []}])), f"""{_HIT} {_POLICY['union']}, st AS (
+        _add(f"region_{o}_{multi}", _table(_config(strategy=Strategy(o, multi))), f"{_HIT} {policy} SELECT id, {_SIDES} FROM {keep} GROUP BY id")
+_STATUSES = ", ".join(f"('{s}')" for s in counts.STATUSES)
+sql = f"""{_HIT} {_POLICY['union']}, st AS (
  SELECT CASE WHEN nh > 1 THEN 'filtered' WHEN c > 0 AND v > 0 THEN 'ambiguous' WHEN c > 0 THEN 'correct' WHEN v > 0 THEN 'reverse' ELSE 'outside' END AS stat
  FROM r LEFT JOIN (SELECT ord, count(*) FILTER (side = 'correct') AS c, count(*) FILTER (side = 'reverse') AS v FROM h GROUP BY ord) USING (ord))
-SELECT stat, count(st.stat) AS count FROM (VALUES {', '.join(f"('{s}')" for s in counts.STATUSES)}) k(stat) LEFT JOIN st USING (stat) GROUP BY stat""")
-_add("tag_counts", _table(_config("bam_tag")), f"{_WITH} SELECT gene AS id, count(*) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM r GROUP BY gene")
+SELECT stat, count(st.stat) AS count FROM (VALUES {_STATUSES}) k(stat) LEFT JOIN st USING (stat) GROUP BY stat"""
+_add("stats_histogram", _stats(_config(filters=[{"mode": "multimapper", "action": "remove", "references": []}])), sql)
+sql = f"{_WITH} SELECT gene AS id, count(*) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM r GROUP BY gene"
+_add("tag_counts", _table(_config("bam_tag")), sql)
+
 
 # duplicates: reads that stay, by contig and UMI
+def _staying(config: Config):
+    def query(spark, sf_dir):
+        live = quantify.annotated(reads(spark, sf_dir), config).where("status is null")
+        return live.groupBy("ref", "umi").agg(F.count("*").alias("count"), F.sum("mapq").alias("mapq"), F.min("ord").alias("first"))
+
+    return query
+
+
 for name, config, keys in (
-    ("dedup_none", _config(umi=_TAG_UMI), None), ("dedup_umi_position", _config(umi=_TAG_UMI, dedup_mode="umi"), "ref, pos - n, rev, u"),
+    ("dedup_none", _config(umi=_TAG_UMI), None),
+    ("dedup_umi_position", _config(umi=_TAG_UMI, dedup_mode="umi"), "ref, pos - n, rev, u"),
     ("dedup_umi_reference", _config(umi=_TAG_UMI, dedup_mode="umi", dedup_bucket="per_reference"), "ref, rev, u"),
     ("dedup_sc", _config(umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedup_bucket="per_reference"), "ref, rev, u, b1, b2"),
-):
+):
     best = f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY nh DESC, mapq DESC, ord) = 1" if keys else ""
-    _add(name, lambda spark, sf, config=config: quantify.annotated(reads(spark, sf), config).where("status is null").groupBy("ref", "umi").agg(F.count("*").alias("count"), F.sum("mapq").alias("mapq"), F.min("ord").alias("first")), f"{_B}, x AS (SELECT *, {_LIVE} AS rev FROM r JOIN c ON k = shape), y AS (SELECT * FROM x {best}) SELECT ref, u AS umi, count(*) AS count, CAST(sum(mapq) AS BIGINT) AS mapq, min(ord) AS first FROM y GROUP BY ref, u")
+    sql = f"""{_B}, x AS (SELECT *, {_LIVE} AS rev FROM r JOIN c ON k = shape), y AS (SELECT * FROM x {best})
+SELECT ref, u AS umi, count(*) AS count, CAST(sum(mapq) AS BIGINT) AS mapq, min(ord) AS first FROM y GROUP BY ref, u"""
+    _add(name, _staying(config), sql)
 
 # regions
-_add("region_hull", lambda spark, sf: regions.hull(region_table(spark, sf)), f"{_WITH} SELECT ref, id AS aggr, min(start_) AS start, max(end_) AS \"end\" FROM g GROUP BY ref, id")
-for name, fn, sql in (("region_collapse", regions.collapse, "SELECT ord, id FROM n WHERE k = 1"), ("region_rename", regions.rename, "SELECT ord, CASE WHEN k > 1 THEN id || '-' || ord ELSE id END AS id FROM n")):
-    _add(name, lambda spark, sf, fn=fn: fn(region_table(spark, sf).withColumns({"start": F.col("start") % 500, "end": F.col("end") * 0})).select("ord", "id"), f"{_WITH}, n AS (SELECT ord, id, row_number() OVER (PARTITION BY start_ % 500, id ORDER BY ord) AS k FROM g) {sql}")
+sql = f'{_WITH} SELECT ref, id AS aggr, min(start_) AS start, max(end_) AS "end" FROM g GROUP BY ref, id'
+_add("region_hull", lambda spark, sf: regions.hull(region_table(spark, sf)), sql)
 
-# real keys: starts, ends and ids repeat, contigs and strands differ
-_KEYS = "start_ % 40, start_ % 40 + 40 + (end_ - start_) % 4, id"
-for name, fn, sql in (
-    ("region_collapse_keys", regions.collapse, "SELECT ord, ref, strand, id FROM n WHERE k = 1"),
-    ("region_rename_keys", regions.rename, "SELECT ord, ref, strand, CASE WHEN k > 1 THEN id || '-' || ord ELSE id END AS id FROM n"),
-):
-    def _keyed(spark, sf, fn=fn):
+
+def _folded(fn):
+    """Starts are folded and ends are all 0, so that many keys repeat."""
+
+    def query(spark, sf_dir):
+        table = region_table(spark, sf_dir).withColumns({"start": F.col("start") % 500, "end": F.col("end") * 0})
+        return fn(table).select("ord", "id")
+
+    return query
+
+
+def _keyed(fn):
+    """Real keys: starts, ends and ids repeat, contigs and strands differ."""
+
+    def query(spark, sf_dir):
         start, size = F.col("start") % 40, F.col("end") - F.col("start")
-        return fn(region_table(spark, sf).withColumns({"start": start, "end": start + 40 + size % 4})).select("ord", "ref", "strand", "id")
+        table = region_table(spark, sf_dir).withColumns({"start": start, "end": start + 40 + size % 4})
+        return fn(table).select("ord", "ref", "strand", "id")
+
+    return query
+
 
-    _add(name, _keyed, f"{_WITH}, n AS (SELECT ord, ref, strand, id, row_number() OVER (PARTITION BY {_KEYS} ORDER BY ord) AS k FROM g) {sql}")
+_RENAMED = "CASE WHEN k > 1 THEN id || '-' || ord ELSE id END AS id"
+_KEYS = "start_ % 40, start_ % 40 + 40 + (end_ - start_) % 4, id"
+for name, fn, columns, rows in (("region_collapse", regions.collapse, "id", "WHERE k = 1"), ("region_rename", regions.rename, _RENAMED, "")):
+    numbered = f"{_WITH}, n AS (SELECT *, row_number() OVER (PARTITION BY {{}} ORDER BY ord) AS k FROM g)"
+    _add(name, _folded(fn), f"{numbered.format('start_ % 500, id')} SELECT ord, {columns} FROM n {rows}")
+    _add(f"{name}_keys", _keyed(fn), f"{numbered.format(_KEYS)} SELECT ord, ref, strand, {columns} FROM n {rows}")
 
 # barcodes
+_ENTRIES = ", ".join(f"('{w}')" for w in WHITELIST)
+_CLOSEST = "arg_min(e, hamming(b1, e) * 1000 + (SELECT count(*) FROM w w2 WHERE w2.e < w.e)) AS barcode FROM d, w"
+
+
+def _corrected(most: int):
+    def query(spark, sf_dir):
+        raw = reads(spark, sf_dir).select(R.extractor(_TAG_CELL.extract).alias("raw_barcode"))
+        return barcodes.correct(raw, _list(spark), "_", most).groupBy("barcode").agg(F.count("*").alias("count"))
+
+    return query
+
+
 for name, most in (("barcode_exact", 0), ("barcode_hamming", 1)):
-    _add(name, lambda spark, sf, most=most: barcodes.correct(reads(spark, sf).select(R.extractor(_TAG_CELL.extract).alias("raw_barcode")), _list(spark), "_", most).groupBy("barcode").agg(F.count("*").alias("count")), f"{_WITH}, w(e) AS (VALUES {', '.join(f"('{w}')" for w in WHITELIST)}), d AS (SELECT DISTINCT b1 FROM r), m AS (SELECT b1, arg_min(e, hamming(b1, e) * 1000 + (SELECT count(*) FROM w w2 WHERE w2.e < w.e)) AS barcode FROM d, w WHERE hamming(b1, e) <= {most} GROUP BY b1) SELECT barcode, count(*) AS count FROM r LEFT JOIN m USING (b1) GROUP BY barcode")
-_M = f"{_WITH}, x AS (SELECT gene, b1 || '_' || b2 AS barcode FROM r QUALIFY row_number() OVER (PARTITION BY ref, {_LIVE}, u, b1, b2 ORDER BY nh DESC, mapq DESC, ord) = 1)"
+    sql = f"""{_WITH}, w(e) AS (VALUES {_ENTRIES}), d AS (SELECT DISTINCT b1 FROM r),
+m AS (SELECT b1, {_CLOSEST} WHERE hamming(b1, e) <= {most} GROUP BY b1)
+SELECT barcode, count(*) AS count FROM r LEFT JOIN m USING (b1) GROUP BY barcode"""
+    _add(name, _corrected(most), sql)
+_M = f"""{_WITH}, x AS (SELECT gene, b1 || '_' || b2 AS barcode FROM r
+QUALIFY row_number() OVER (PARTITION BY ref, {_LIVE}, u, b1, b2 ORDER BY nh DESC, mapq DESC, ord) = 1)"""
 _SC = _config("bam_tag", umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedup_bucket="per_reference")
 
 
@@ -190,18 +302,45 @@ def _cells(spark, sf_dir):
     return counts.by_cell(match.hits(quantify.matched(df, _SC, None), "barcode"))
 
 
+def _barcodes(spark, sf_dir):
+    return counts.dictionary(reads(spark, sf_dir).select(R.extractor(_TAG_CELL.extract).alias("barcode")), "barcode")
+
+
+def _features(spark, sf_dir):
+    return counts.dictionary(region_table(spark, sf_dir).select(F.col("id").alias("feature")), "feature")
+
+
+def _zero_filled(spark, sf_dir):
+    live = reads(spark, sf_dir).withColumn("status", F.lit(None).cast("string"))
+    keys = spark.range(60).select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("id"))
+    return counts.by_region(match.hits(match.by_tag(live, "XF")), keys)
+
+
 _add("sc_matrix", _cells, f"{_M} SELECT gene AS id, barcode, count(*) AS count FROM x GROUP BY ALL")
-_add("barcodes_dict", lambda spark, sf: counts.dictionary(reads(spark, sf).select(R.extractor(_TAG_CELL.extract).alias("barcode")), "barcode"), f"{_WITH} SELECT barcode, row_number() OVER (ORDER BY barcode) AS index FROM (SELECT DISTINCT b1 || '_' || b2 AS barcode FROM r)")
-_add("features_dict", lambda spark, sf: counts.dictionary(region_table(spark, sf).select(F.col("id").alias("feature")), "feature"), f"{_WITH} SELECT feature, row_number() OVER (ORDER BY feature) AS index FROM (SELECT DISTINCT id AS feature FROM g)")
-_add("zero_fill", lambda spark, sf: counts.by_region(match.hits(match.by_tag(reads(spark, sf).withColumn("status", F.lit(None).cast("string")), "XF")), spark.range(60).select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("id"))), f"{_WITH} SELECT 'G' || i AS id, count(gene) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM range(60) t(i) LEFT JOIN r ON gene = 'G' || i GROUP BY i")
-_add("annotated_status_sc", _stats(_config("bam_references", umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedup_bucket="per_reference", filters=[{"mode": "n_in_umi", "action": "remove", "references": []}]), True), f"""{_WITH}, w(e) AS (VALUES {', '.join(f"('{w}')" for w in WHITELIST)}), d AS (SELECT DISTINCT b1 FROM r),
-m AS (SELECT b1, arg_min(e, hamming(b1, e) * 1000 + (SELECT count(*) FROM w w2 WHERE w2.e < w.e)) AS barcode FROM d, w WHERE hamming(b1, e) <= 1 GROUP BY b1),
+sql = f"{_WITH} SELECT barcode, row_number() OVER (ORDER BY barcode) AS index FROM (SELECT DISTINCT b1 || '_' || b2 AS barcode FROM r)"
+_add("barcodes_dict", _barcodes, sql)
+sql = f"{_WITH} SELECT feature, row_number() OVER (ORDER BY feature) AS index FROM (SELECT DISTINCT id AS feature FROM g)"
+_add("features_dict", _features, sql)
+sql = "SELECT 'G' || i AS id, count(gene) AS count_correct, CAST(0 AS BIGINT) AS count_reverse FROM range(60) t(i) LEFT JOIN r ON gene = 'G' || i GROUP BY i"
+_add("zero_fill", _zero_filled, f"{_WITH} {sql}")
+_CELL_STATUS = _config(
+    "bam_references", umi=_TAG_UMI, barcodes=_TAG_CELL, dedup_mode="sc", dedup_bucket="per_reference",
+    filters=[{"mode": "n_in_umi", "action": "remove", "references": []}],
+)
+sql = f"""{_WITH}, w(e) AS (VALUES {_ENTRIES}), d AS (SELECT DISTINCT b1 FROM r),
+m AS (SELECT b1, {_CLOSEST} WHERE hamming(b1, e) <= 1 GROUP BY b1),
 x AS (SELECT *, CASE WHEN barcode IS NULL THEN 'barcode_not_in_whitelist' WHEN u LIKE '%N%' THEN 'filtered' END AS st FROM r LEFT JOIN m USING (b1)),
-y AS (SELECT coalesce(st, CASE WHEN row_number() OVER (PARTITION BY st IS NULL, ref, {_LIVE}, u, barcode ORDER BY nh DESC, mapq DESC, ord) > 1 THEN 'duplicate' WHEN {_LIVE} THEN 'reverse' ELSE 'correct' END) AS stat FROM x)
-SELECT stat, count(y.stat) AS count FROM (VALUES {', '.join(f"('{s}')" for s in counts.STATUSES)}) k(stat) LEFT JOIN y USING (stat) GROUP BY stat""")
+y AS (SELECT coalesce(st, CASE
+  WHEN row_number() OVER (PARTITION BY st IS NULL, ref, {_LIVE}, u, barcode ORDER BY nh DESC, mapq DESC, ord) > 1 THEN 'duplicate'
+  WHEN {_LIVE} THEN 'reverse' ELSE 'correct' END) AS stat FROM x)
+SELECT stat, count(y.stat) AS count FROM (VALUES {_STATUSES}) k(stat) LEFT JOIN y USING (stat) GROUP BY stat"""
+_add("annotated_status_sc", _stats(_CELL_STATUS, True), sql)
 
 # flagship: GTF-like union, drop, forward, UMI dedup
 FLAGSHIP = _config(strategy=Strategy("union", "drop", "forward"), umi=_TAG_UMI, dedup_mode="umi")
-_add("flagship_union_drop_umi", _table(FLAGSHIP), f"""{_HIT} x AS (SELECT ord FROM (SELECT *, {_LIVE} AS rev FROM r JOIN c ON k = shape) QUALIFY row_number() OVER (PARTITION BY ref, pos - n, rev, u ORDER BY nh DESC, mapq DESC, ord) = 1),
+sql = f"""{_HIT} x AS (
+  SELECT ord FROM (SELECT *, {_LIVE} AS rev FROM r JOIN c ON k = shape)
+  QUALIFY row_number() OVER (PARTITION BY ref, pos - n, rev, u ORDER BY nh DESC, mapq DESC, ord) = 1),
 h AS (SELECT ord, side, id FROM f SEMI JOIN x USING (ord)), d AS (SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY ord, side) = 1)
-SELECT id, CAST(count(*) FILTER (side = 'correct') AS BIGINT) AS count_correct, CAST(count(*) FILTER (side = 'reverse') AS BIGINT) AS count_reverse FROM d GROUP BY id""")
+SELECT id, {_SIDES} FROM d GROUP BY id"""
+_add("flagship_union_drop_umi", _table(FLAGSHIP), sql)
