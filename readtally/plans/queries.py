@@ -49,8 +49,14 @@ FROM part
 WHITELIST = ["ACGT", "AAAA", "CCCC", "GGGG", "TTTT", "ACAC", "GTGT", "CATG", "TGCA", "GATC"]
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """A small file may be a single partition; it is dealt to all cores. Larger inputs stay as they are scanned."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    t = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     r = spark.sql(READS.replace("FROM lineitem", "FROM {t}"), t=t)
     z = lambda v: F.struct(F.lit("Z").alias("t"), v.alias("v"))
     nh = F.struct(F.lit("C").alias("t"), F.col("nh").cast("string").alias("v"))
