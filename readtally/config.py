@@ -145,10 +145,11 @@ def from_dict(data: dict) -> Config:
     # dedup keeps unknown keys without complaint
     mode_of_dedup = _choice(top["dedup"].get("mode", ""), ("none", "umi", "sc"), "dedup.mode")
     bucket = _choice(top["dedup"].get("bucket", "PerPosition"), ("per_position", "per_reference"), "dedup.bucket")
-    if mode_of_dedup != "none" and top["umi"] is None:
-        raise ConfigError(f"dedup mode {mode_of_dedup} needs [umi]")
-    if mode_of_dedup == "sc" and top["cell_barcodes"] is None:
-        raise ConfigError("dedup mode singlecell needs [cell_barcodes]")
+    for key, what in (("cell_barcodes", "cell barcodes"), ("umi", "UMI extraction")):
+        if mode_of_dedup == "sc" and top[key] is None:
+            raise ConfigError(f"SingleCell quantification requires {what} to be defined in the configuration.")
+    if mode_of_dedup == "umi" and top["umi"] is None:
+        raise ConfigError("UMI deduplication quantification requires UMI extraction to be defined in the configuration.")
     filters = []
     for f in top["filter"]:
         name = _choice(f.get("mode", ""), _FILTERS, "filter.mode")

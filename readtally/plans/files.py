@@ -122,9 +122,8 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(spark, sf_dir, source=_gtf(spark, sf_dir), filter=[{"mode": "NonPrimary", "action": "remove"}], output={"write_annotated_bam": True})
     df = spark.read.format("bam").load(f"{out}/annotated.bam")
-    tag = lambda name: F.col("tags")[name]["v"].alias(name.lower())
     start = R.tag("XP")["v"].cast("long") - F.col("pos")
-    return df.groupBy("ref", tag("XF"), R.tag("XQ")["v"].alias("xq"), R.tag("XR")["v"].alias("xr")).agg(F.count("*").alias("count"), F.sum(start).alias("shift"))
+    return df.groupBy("ref", *(R.tag(name)["v"].alias(name.lower()) for name in ("XF", "XQ", "XR"))).agg(F.count("*").alias("count"), F.sum(start).alias("shift"))
 
 
 def _by_region(sql_of_hits: str) -> str:
@@ -152,8 +151,8 @@ SELECT ref, tid, flag, 'r:UMI_' || u || ':' AS qname, u || 'ACGTACGTACGTACGT' AS
     "run_stats_file": Q.ORACLES["stats_histogram"],
     "run_matrix_files": Q._M.replace("mapq DESC, ord)", "mapq DESC, pos, ord)") + " SELECT gene AS id, barcode, count(*) AS count FROM x GROUP BY ALL",
     "run_annotated_bam": f"""{Q._HIT} {Q._POLICY['union']}, n AS (SELECT ord, string_agg(id, ',' ORDER BY id) FILTER (side = 'correct') AS q, string_agg(id, ',' ORDER BY id) FILTER (side = 'reverse') AS v FROM h GROUP BY ord),
-x AS (SELECT ref, flag & 256 <> 0 AS out_, c.n AS clip, q, v, gene FROM r JOIN c ON k = shape LEFT JOIN n USING (ord))
-SELECT ref, CASE WHEN out_ THEN '1' ELSE gene END AS xf, CASE WHEN NOT out_ THEN coalesce(q, '') END AS xq, CASE WHEN NOT out_ THEN coalesce(v, '') END AS xr,
+x AS (SELECT ref, flag & 256 <> 0 AS out_, c.n AS clip, q, v FROM r JOIN c ON k = shape LEFT JOIN n USING (ord))
+SELECT ref, CASE WHEN out_ THEN '1' END AS xf, CASE WHEN NOT out_ THEN coalesce(q, '') END AS xq, CASE WHEN NOT out_ THEN coalesce(v, '') END AS xr,
        count(*) AS count, CAST(sum(CASE WHEN NOT out_ THEN 1 - clip END) AS BIGINT) AS shift FROM x GROUP BY ALL""",
 }
 for style in ("gtf", "gff"):

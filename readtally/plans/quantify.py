@@ -70,7 +70,7 @@ def with_status(df: DataFrame) -> DataFrame:
 
 
 def annotation_tags(df: DataFrame) -> DataFrame:
-    """Sets the tags XF, XQ, XR, XP, CB, CR of reads with final statuses; a tag that has no new value stays as it is."""
+    """Sets the tags XF, XQ, XR, XP, CB of reads with final statuses, and removes those without a value; CR is only set."""
     done = F.col("status").isin("correct", "reverse", "ambiguous", "outside")
     code = {"filtered": 1, "duplicate": 3, "barcode_not_in_whitelist": 4, "no_barcode": 5, "no_umi": 6}
     xf = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in code.items()])
@@ -79,10 +79,10 @@ def annotation_tags(df: DataFrame) -> DataFrame:
     tags = F.col("tags")
     for name, kind, value in (
         ("XF", "C", xf), ("XQ", "Z", joined("correct")), ("XR", "Z", joined("reverse")), ("XP", "i", F.when(done, F.col("corrected") + 1)),
-        ("CB", "Z", F.when(done, F.col("barcode"))), ("CR", "Z", wrong),
+        ("CB", "Z", F.when(done, F.col("barcode"))),
     ):
-        tags = F.when(value.isNull(), tags).otherwise(R.with_tag(tags, name, kind, value))
-    return df.withColumn("tags", tags)
+        tags = R.with_tag(tags, name, kind, value)
+    return df.withColumn("tags", F.when(wrong.isNull(), tags).otherwise(R.with_tag(tags, "CR", "Z", wrong)))
 
 
 def _table(spark: SparkSession, config: Config) -> DataFrame:

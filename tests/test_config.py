@@ -34,7 +34,9 @@ def test_defaults():
         (_with(filter=[{"mode": "reference", "action": "keep", "references": []}]), "Reference filter requires at least one reference to filter on."),
         (_with(input__source={"mode": "bam_tag", "tag": "1X"}), r"BAM tag must start with \[A-Za-z\]"),
         (_with(input__source={"mode": "bam_tag", "tag": "X-"}), r"BAM tag 2nd letter must conform to \[A-Za-z0-9\]"),
-        (_with(dedup={"mode": "umi"}), "needs \\[umi\\]"),
+        (_with(dedup={"mode": "umi"}), "UMI deduplication quantification requires UMI extraction"),
+        (_with(dedup={"mode": "sc"}), "SingleCell quantification requires cell barcodes"),
+        (_with(dedup={"mode": "sc"}, cell_barcodes={}), "SingleCell quantification requires UMI extraction"),
         (_with(input__what=1), "unknown field `what`"),
     ],
 )
