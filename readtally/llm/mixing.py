@@ -10,7 +10,9 @@ with one level for all sources. Sorted by size over weight, the capped sources c
 running sums over the table of sources.
 
 Edge cases: null texts have no words, a null source is one source, the last; a source without words has rate 0; rows
-that repeat a doc_id are drawn alike; no documents, no rows.
+that repeat a doc_id are drawn alike; no documents, no rows. A very long text is counted in its row.
+
+Bound: the table of sources, one narrow row each, passes one task (the level depends on all sources); documents do not.
 """
 
 from __future__ import annotations
