@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readtally.llm import chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc
+from readtally.llm import bpe, chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc
 
 
 def _pipeline(spark, sf_dir: str):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_winnowing_fingerprints": fingerprints.op8,
     "op9_ngram_jaccard_join": jaccard.op9,
     "op10_warc_index_merge": warc.op10,
+    "op11_prefix_bpe": bpe.op11,
     "pipeline": _pipeline,
 }
 ORACLES = {
