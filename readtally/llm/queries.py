@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readtally.llm import bpe, chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc
+from readtally.llm import audit, bpe, chat, decontaminate, fingerprints, jaccard, licenses, lines, mixing, quality, toxicity, warc, whitening
 
 
 def _pipeline(spark, sf_dir: str):
@@ -23,6 +23,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9,
     "op10_warc_index_merge": warc.op10,
     "op11_prefix_bpe": bpe.op11,
+    "op12_filter_audit": audit.op12,
+    "op13_lobpcg_whitening": whitening.op13,
     "pipeline": _pipeline,
 }
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
     "op10_warc_index_merge": warc.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }

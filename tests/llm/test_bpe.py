@@ -87,6 +87,8 @@ def test_operator(spark, library):
     plain = [(i or 0, library.encode(x or "", add_special_tokens=False).ids, x or "") for i, x, _ in rows]
     assert got == sorted(((i, len(w), np.array(w, "<u4").tobytes(), x) for i, w, x in plain), key=str)
     assert bpe.decode(bpe.encode(df.limit(0), t), t).count() == 0
+    both = bpe.round_trip(df, t)
+    assert sorted(((r["doc_id"] or 0, r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in both.collect()), key=str) == got
 
 
 def test_query(spark, library, tmp_path):
