@@ -137,7 +137,7 @@ f AS (
 ), o(filter_order) AS (VALUES {_ORDERS}),
 s AS (
   SELECT part, good, toxic, fails, n, filter_order, step, substr(filter_order, step, 1) AS name,
-         len(list_filter(string_split(fails, ''), x -> x <> '' AND instr(substr(filter_order, 1, step - 1), x) > 0)) > 0 AS before
+         len(list_filter(string_split(fails, ''), lambda x: x <> '' AND instr(substr(filter_order, 1, step - 1), x) > 0)) > 0 AS before
   FROM g, o, (SELECT unnest(range(1, 6)) AS step)
 ), r AS (
   SELECT part, filter_order, CAST(step AS INTEGER) AS step, name, sum(n) FILTER (NOT before AND NOT contains(fails, name)) AS kept, sum(n) FILTER (NOT before AND contains(fails, name)) AS removed,
