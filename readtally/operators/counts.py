@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,17 @@ def by_status(reads: DataFrame) -> DataFrame:
     return F.broadcast(keys).join(reads.groupBy(F.col("status").alias("stat")).agg(F.count("*").alias("count")), "stat", "left").na.fill(0).orderBy("stat")
 
 
-def dictionary(values: DataFrame, name: str) -> DataFrame:
+@dataclass
+class Dictionary:
+    table: DataFrame  # name, index
+    size: int
+    held: DataFrame  # kept in memory and on disk, until ``release``
+
+    def release(self) -> None:
+        self.held.unpersist()
+
+
+def dictionary(values: DataFrame, name: str) -> Dictionary:
     """Distinct values with their number, from 1, in byte order. Values are numbered inside sorted ranges, to which the
     sizes of the earlier ranges are added, so they are not gathered in one task; a row per range passes the driver."""
     spark = values.sparkSession
@@ -40,4 +52,5 @@ def dictionary(values: DataFrame, name: str) -> DataFrame:
     before = [(r, sum(n for _, n in sizes[:i])) for i, (r, _) in enumerate(sizes)]
     offsets = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))
     at = F.row_number().over(Window.partitionBy("_range").orderBy(name))
-    return ranged.join(offsets, "_range").select(name, (F.col("_before") + at).alias("index"))
+    table = ranged.join(offsets, "_range").select(name, (F.col("_before") + at).alias("index"))
+    return Dictionary(table, sum(n for _, n in sizes), ranged)

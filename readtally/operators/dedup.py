@@ -28,6 +28,8 @@ def mark_duplicates(reads: DataFrame, mode: str, bucket: Column | None, order: l
         return out.withColumn("status", F.when(twice, "duplicate").otherwise(F.col("status"))).drop(*(f"_best_{c}" for c in order))
     keys = ["umi", "barcode"] if mode == "sc" else ["umi"]
     alone = F.when(~live, F.struct(*order))  # other reads are groups of their own, so they do not crowd one
-    window = Window.partitionBy(alone, F.col("ref"), F.lit(0) if bucket is None else bucket, reverse, *keys).orderBy(best_nh.desc(), F.col("mapq").desc(), *order)
-    out = reads.withColumn("_place", F.row_number().over(window))
-    return out.withColumn("status", F.when(live & (F.col("_place") > 1), "duplicate").otherwise(F.col("status"))).drop("_place")
+    # keys are columns of their own, so that tags and CIGARs are not shuffled where nothing else needs them
+    out = reads.withColumns({"_alone": alone, "_bucket": F.lit(0) if bucket is None else bucket, "_rev": reverse, "_nh": best_nh})
+    window = Window.partitionBy("_alone", "ref", "_bucket", "_rev", *keys).orderBy(F.col("_nh").desc(), F.col("mapq").desc(), *order)
+    out = out.withColumn("_place", F.row_number().over(window))
+    return out.withColumn("status", F.when(live & (F.col("_place") > 1), "duplicate").otherwise(F.col("status"))).drop("_alone", "_bucket", "_rev", "_nh", "_place")

@@ -12,13 +12,14 @@ def hull(regions: DataFrame) -> DataFrame:
 
 
 def collapse(regions: DataFrame) -> DataFrame:
-    """Of equal (start, end, id) the first in file order stays. Contig and strand are not in the key."""
-    first = F.row_number().over(Window.partitionBy("start", "end", "id").orderBy("ord"))
+    """Of equal (start, end, aggr) the first in file order stays. Contig, strand and id are not in the key."""
+    first = F.row_number().over(Window.partitionBy("start", "end", "aggr").orderBy("ord"))
     return regions.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def rename(regions: DataFrame) -> DataFrame:
-    """Second and later occurrences of (start, end, id) get the row number (``ord``, from 0 among the
-    feature's rows) appended to their id."""
-    n = F.row_number().over(Window.partitionBy("start", "end", "id").orderBy("ord"))
-    return regions.withColumn("_n", n).withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("-"), F.col("ord").cast("string"))).otherwise(F.col("id"))).drop("_n")
+    """Second and later occurrences of (start, end, aggr) get the row number (``ord``, from 0 among the
+    feature's rows) appended to their aggr and id."""
+    n = F.row_number().over(Window.partitionBy("start", "end", "aggr").orderBy("ord"))
+    named = lambda c: F.when(F.col("_n") > 1, F.concat(c, F.lit("-"), F.col("ord").cast("string"))).otherwise(F.col(c))
+    return regions.withColumn("_n", n).withColumns({c: named(c) for c in ("id", "aggr")}).drop("_n")

@@ -24,13 +24,20 @@ def bam_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads are matched to parts of a gene, counts are the gene's."""
+    source = {**_gtf(spark, sf_dir), "id_attribute": "part_id", "aggr_id_attribute": "gene_id"}
+    out = _run(spark, sf_dir, source=source, strategy={"overlap": "union", "multi_region": "count_both"})
+    return _table(spark, f"{out}/counts.tsv", "id string, count_correct long, count_reverse long")
+
+
 def annotation_file(spark: SparkSession, sf_dir: str, style: str) -> str:
     """The synthetic regions as a folder of GTF or GFF lines, with rows of another feature between them."""
     path = f"{stores.scratch(spark)}/regions.{style}"
-    attributes = 'gene_id "{}"; other "x";' if style == "gtf" else "gene_id={};other=x"
-    before, after = attributes.split("{}")
+    attributes = 'gene_id "{}"; part_id "{}"; other "x";' if style == "gtf" else "gene_id={};part_id={};other=x"
+    before, between, after = attributes.split("{}")
     g = Q.region_table(spark, sf_dir).withColumn("feature", F.explode(F.array(F.lit("exon"), F.lit("gene"))))
-    fields = ("ref", F.lit("x"), "feature", F.col("start") + 1, "end", F.lit("."), "strand", F.lit("."), F.concat(F.lit(before), "id", F.lit(after)))
+    fields = ("ref", F.lit("x"), "feature", F.col("start") + 1, "end", F.lit("."), "strand", F.lit("."), F.concat(F.lit(before), "id", F.lit(between), "ord", F.lit(after)))
     g.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
     return path
 
@@ -43,6 +50,13 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters that the scan evaluates itself."""
+    df = spark.read.format("bam").option("split", 1 << 18).load(bam_file(spark, sf_dir))
+    some = df.where("ref = 'chr1' and pos between 5000 and 9000 ").where("mapq >= 20 and flag in (64, 80, 128)")
+    return some.groupBy("ref", "pos", "flag").agg(F.count("*").alias("count"), F.sum("mapq").alias("mapq"))
+
+
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bam_file(spark, sf_dir)
     return bam.contigs(spark, path).where(F.col("name").isin(bam.contigs_with_reads(path)))
@@ -62,11 +76,11 @@ def _regions(style: str):
 
 
 def _whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, paths = stores.scratch(spark), []
-    for i in range(2):
-        paths.append(f"{folder}/list{i}.txt")
-        with stores.open_output(paths[-1]) as f:
-            f.write("\n".join(f" {w} " for w in Q.WHITELIST[i:]).encode())
+    """The two pieces of the reads' barcodes as lists, with blanks around the entries, which repeat."""
+    folder, cell = stores.scratch(spark), F.split(R.tag("CB")["v"], "_")
+    paths = [f"{folder}/list{i}" for i in range(2)]
+    for i, path in enumerate(paths):
+        Q.reads(spark, sf_dir).select(F.concat(F.lit(" "), cell[i], F.lit(" ")).alias("value")).write.text(path)
     return annotation.whitelist(spark, paths)
 
 
@@ -108,13 +122,14 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(spark, sf_dir, source={"mode": "bam_tag", "tag": "XF"}, umi=_TAG_UMI, cell_barcodes=cells, dedup={"mode": "SingleCell", "bucket": "PerReference"})
 
     def names(file: str, name: str) -> DataFrame:
-        with stores.open_input(f"{out}/{file}") as f:
-            lines = f.read().decode().splitlines()
-        return spark.createDataFrame(list(enumerate(lines, 1)), f"{name}_index long, {name} string")
-
-    lines = spark.read.text(f"{out}/matrix.mtx").where(~F.col("value").startswith("%")).select(F.split("value", " ").cast("array<long>").alias("v"))
-    size = [*lines.first()["v"]]
-    entries = lines.select(*(F.col("v")[i].alias(c) for i, c in enumerate(("f", "b", "count")))).where(~((F.col("f") == size[0]) & (F.col("b") == size[1]) & (F.col("count") == size[2])))
+        """Lines with their numbers, as the matrix counts them."""
+        lines = spark.read.text(f"{out}/{file}").select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias(name))
+        return annotation.numbered(lines).select((F.col("ord") + 1).alias(f"{name}_index"), name)
+
+    lines = spark.read.text(f"{out}/matrix.mtx").withColumn("ord", F.monotonically_increasing_id())
+    size_line = lines.where(~F.col("value").startswith("%")).agg(F.min("ord")).first()[0]
+    lines = lines.where(F.col("ord") > size_line).select(F.split("value", " ").cast("array<long>").alias("v"))
+    entries = lines.select(*(F.col("v")[i].alias(c) for i, c in enumerate(("f", "b", "count"))))
     full = entries.join(names("features.tsv", "id"), F.col("f") == F.col("id_index")).join(names("barcodes.tsv", "barcode"), F.col("b") == F.col("barcode_index"))
     return full.select("id", "barcode", "count")
 
@@ -132,6 +147,7 @@ def _by_region(sql_of_hits: str) -> str:
 
 QUERIES = {
     "bam_scan_records": _scan,
+    "bam_range_scan": _ranged,
     "bam_contigs": _contigs,
     "bam_reference_scan": _some_contigs,
     "gtf_scan": _regions("gtf"),
@@ -145,9 +161,10 @@ ORACLES = {
     "bam_scan_records": f"""{Q._B}, t AS (SELECT ord, sum(e - s) AS n FROM r JOIN b ON k = shape GROUP BY ord)
 SELECT ref, tid, flag, 'r:UMI_' || u || ':' AS qname, u || 'ACGTACGTACGTACGT' AS seq, b1 || '_' || b2 AS cell, count(*) AS count, CAST(sum(pos) AS BIGINT) AS pos,
        CAST(sum(mapq) AS BIGINT) AS mapq, CAST(sum(nh) AS BIGINT) AS nh, CAST(sum(n) AS BIGINT) AS bases FROM r JOIN t USING (ord) GROUP BY ALL""",
+    "bam_range_scan": f"{Q._WITH} SELECT ref, pos, flag, count(*) AS count, CAST(sum(mapq) AS BIGINT) AS mapq FROM r WHERE ref = 'chr1' AND pos BETWEEN 5000 AND 9000 AND mapq >= 20 AND flag IN (64, 80, 128) GROUP BY ALL",
     "bam_contigs": f"{Q._WITH} SELECT DISTINCT tid, ref AS name, CAST(30000 AS BIGINT) AS length FROM r",
     "bam_reference_scan": f"{Q._WITH} SELECT ref, count(*) AS count FROM r WHERE ref IN ('chr1', 'chr3') GROUP BY ref",
-    "whitelist_scan": " UNION ALL ".join(f"SELECT {i} AS segment, '{w}' AS entry" for i in range(2) for w in Q.WHITELIST[i:]),
+    "whitelist_scan": f"{Q._WITH} SELECT DISTINCT 0 AS segment, b1 AS entry FROM r UNION ALL SELECT DISTINCT 1, b2 FROM r",
     "run_stats_file": Q.ORACLES["stats_histogram"],
     "run_matrix_files": Q._M.replace("mapq DESC, ord)", "mapq DESC, pos, ord)") + " SELECT gene AS id, barcode, count(*) AS count FROM x GROUP BY ALL",
     "run_annotated_bam": f"""{Q._HIT} {Q._POLICY['union']}, n AS (SELECT ord, string_agg(id, ',' ORDER BY id) FILTER (side = 'correct') AS q, string_agg(id, ',' ORDER BY id) FILTER (side = 'reverse') AS v FROM h GROUP BY ord),
@@ -162,3 +179,4 @@ for overlap, policy in Q._POLICY.items():
         keep = "hh AS (SELECT * FROM h)" if multi == "count_both" else "hh AS (SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY ord, side) = 1)"
         QUERIES[f"run_{overlap}_{multi}"] = _counts(overlap, multi)
         ORACLES[f"run_{overlap}_{multi}"] = _by_region(f"{Q._HIT} {policy}, {keep}")
+QUERIES["run_union_aggregate"], ORACLES["run_union_aggregate"] = _aggregated, ORACLES["run_union_count_both"]

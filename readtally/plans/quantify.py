@@ -94,6 +94,13 @@ def _table(spark: SparkSession, config: Config) -> DataFrame:
     return regions.rename(annotation.numbered(table)) if s.duplicate_handling == "rename" else regions.collapse(table)
 
 
+def _columns(config: Config) -> list[str]:
+    """Columns of the scan that the configuration needs."""
+    modes = {e["mode"] for e in (config.umi, config.barcodes.extract if config.barcodes else None) if e}
+    wanted = {"qname": modes & {"regex_name", "search_in_name"}, "seq": "read_region" in modes, "raw": False}
+    return [c for c in ("ord", "qname", "flag", "tid", "ref", "pos", "mapq", "cigar", "seq", "tags", "raw") if config.write_annotated_bam or wanted.get(c, True)]
+
+
 def run(spark: SparkSession, config: Config) -> Result:
     """``reads`` of the result is kept in memory and on disk; unpersist it when done."""
     bam.register(spark)
@@ -113,7 +120,7 @@ def run(spark: SparkSession, config: Config) -> Result:
     if not scanned:
         raise ValueError("No chunks generated. This might be because the BAM file is empty or the matcher did not find any regions to quantify.")
     scanned = filters.references(scanned, config.filters, [r[0] for r in refs.select("name").collect()])
-    reads = spark.read.format("bam").option("references", json.dumps(scanned)).option("raw", str(config.write_annotated_bam).lower()).load(config.bam)
+    reads = spark.read.format("bam").option("references", json.dumps(scanned)).option("columns", json.dumps(_columns(config))).load(config.bam)
     reads = filters.by_reference(reads, config.filters)
     lists = annotation.whitelist(spark, config.barcodes.whitelist_files) if config.barcodes else None
     df = matched(annotated(reads, config, lists), config, table).persist(StorageLevel.MEMORY_AND_DISK)

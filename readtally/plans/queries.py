@@ -262,6 +262,17 @@ def _folded(fn):
     return query
 
 
+def _aggregated(fn):
+    """Ids differ inside an aggregate, whose intervals repeat."""
+
+    def query(spark, sf_dir):
+        start = F.col("start") % 40
+        table = region_table(spark, sf_dir).withColumns({"start": start, "end": start + 50, "id": F.concat("id", F.lit("."), "ord"), "aggr": F.col("id")})
+        return fn(table).select("ord", "id", "aggr")
+
+    return query
+
+
 def _keyed(fn):
     """Real keys: starts, ends and ids repeat, contigs and strands differ."""
 
@@ -279,6 +290,8 @@ for name, fn, columns, rows in (("region_collapse", regions.collapse, "id", "WHE
     numbered = f"{_WITH}, n AS (SELECT *, row_number() OVER (PARTITION BY {{}} ORDER BY ord) AS k FROM g)"
     _add(name, _folded(fn), f"{numbered.format('start_ % 500, id')} SELECT ord, {columns} FROM n {rows}")
     _add(f"{name}_keys", _keyed(fn), f"{numbered.format(_KEYS)} SELECT ord, ref, strand, {columns} FROM n {rows}")
+    later = "CASE WHEN k > 1 THEN '-' || ord ELSE '' END" if name == "region_rename" else "''"
+    _add(f"{name}_aggregate", _aggregated(fn), f"{numbered.format('start_ % 40, id')} SELECT ord, id || '.' || ord || {later} AS id, id || {later} AS aggr FROM n {rows}")
 
 # barcodes
 _ENTRIES = ", ".join(f"('{w}')" for w in WHITELIST)
@@ -309,11 +322,11 @@ def _cells(spark, sf_dir):
 
 
 def _barcodes(spark, sf_dir):
-    return counts.dictionary(reads(spark, sf_dir).select(R.extractor(_TAG_CELL.extract).alias("barcode")), "barcode")
+    return counts.dictionary(reads(spark, sf_dir).select(R.extractor(_TAG_CELL.extract).alias("barcode")), "barcode").table
 
 
 def _features(spark, sf_dir):
-    return counts.dictionary(region_table(spark, sf_dir).select(F.col("id").alias("feature")), "feature")
+    return counts.dictionary(region_table(spark, sf_dir).select(F.col("id").alias("feature")), "feature").table
 
 
 def _zero_filled(spark, sf_dir):

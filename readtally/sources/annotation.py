@@ -65,7 +65,7 @@ def gtf(spark: SparkSession, path: str, feature: str, attributes: list[str], sub
     """Rows of one feature: ord, ref, start (0-based), end, strand (+, -, .), attrs (accepted keys only).
 
     Comments and blank lines are skipped, rows without any accepted key too. A bad number, start or strand, a missing
-    field or a repeated accepted key aborts. The first accepted row decides between GTF and GFF unless told. A warning
+    field, an accepted key without value or a repeated one aborts. Of a value the blanks behind it and quotes at its ends go. The first accepted row decides between GTF and GFF unless told. A warning
     tells how many rows of the feature have no accepted key.
     """
     lines = text_lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("ord", F.monotonically_increasing_id())
@@ -81,9 +81,8 @@ def gtf(spark: SparkSession, path: str, feature: str, attributes: list[str], sub
     rows = rows.select("ord", whole.alias("f"))
     strand = F.col("f")[6]
     pairs = F.transform(F.split(F.col("f")[8], ";"), lambda x: F.split(F.ltrim(x), sep, 2))
-    value = lambda p: F.trim(F.replace(F.rtrim(p[1]), F.lit('"'), F.lit("")))
-    pairs = F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(p[0].alias("k"), value(p).alias("v")))
-    kept = F.filter(pairs, lambda p: p["k"].isin(*attributes))
+    value = lambda p: F.coalesce(F.btrim(F.rtrim(F.try_element_at(p, F.lit(2))), F.lit('"')), stop("an attribute has no value", "string"))
+    kept = F.transform(F.filter(pairs, lambda p: p[0].isin(*attributes)), lambda p: F.struct(p[0].alias("k"), value(p).alias("v")))
     out = rows.select(
         "ord", F.col("f")[0].alias("ref"),
         F.when(number(3, "start") > 0, number(3, "start") - 1).otherwise(stop("start must be positive", "long")).cast("int").alias("start"),

@@ -1,78 +1,40 @@
-"""BAM as a Spark data source, in plain Python: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
+"""BAM as a Spark data source, in Python: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
-The index gives places at which records begin; a partition runs from one to another, ``SPLIT`` compressed bytes on, so a
-contig is as many tasks as its size asks for. The option ``references`` (a JSON list of contigs) leaves only their
-partitions, ``raw`` (true or false) adds each record's bytes. Records leave a task in Arrow batches. ``ord`` is the virtual file offset:
-its order is file order.
+The index (``.csi`` or ``.bai``) gives places at which records begin; a partition runs from one to another, ``SPLIT`` compressed bytes on,
+so a contig is as many tasks as its size asks for. Filters on ref, tid, pos, flag and mapq with a constant are evaluated in the
+scan: contigs are left out, ranges of positions become ranges of the file by the index, and rows that fail are not decoded.
+The option ``references`` (a JSON list) names contigs, ``columns`` (a JSON list) the columns to decode, ``raw`` (true or false) adds each
+record's bytes. Records leave a task in Arrow batches. ``ord`` is the virtual file offset: its order is file order.
 
-Writing (``save`` in the format ``bam``) makes one file of partitions that are sorted and follow each other: each task writes a
-part of compressed blocks beside the file, the commit joins the parts' bytes behind the header and adds up the index.
-Paths are local or have a scheme that Arrow's file systems know.
+Writing: ``save`` makes one file with its index. Tasks write parts of compressed blocks in a staging folder, each with its index
+entries; tasks copy the parts to their places in the whole file (``stores.join``), the driver writes header and index, and both
+appear under their names at the end. Paths are local or have a scheme that Arrow's file systems know.
 """
 
 from __future__ import annotations
 
-import base64
+import io
 import json
-import shutil
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from readtally.functions.reads import READS
-from readtally.sources import stores
-
-# Fixed values of the SAM format: operation letters, base letters, value sizes.
-CIGAR_OPS = "MIDNSHP=X"
-BASES = "=ACMGRSVTWYHKDBN"
-SIZES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-#: Compressed bytes of a partition, about, and records of a batch.
-SPLIT, BATCH = 16 << 20, 4096
-EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-
-
-class Bgzf:
-    """Reads a BGZF file from a virtual offset."""
-
-    def __init__(self, path: str, offset: int = 0) -> None:
-        self.file = stores.open_input(path)
-        self.next = offset >> 16
-        self.block, self.at, self.start = b"", 0, self.next
-        if self._load():
-            self.at = offset & 0xFFFF
-
-    def _load(self) -> bool:
-        self.file.seek(self.next)
-        head = self.file.read(18)
-        if len(head) < 18:
-            return False
-        size = struct.unpack("<H", head[16:18])[0] + 1
-        body = self.file.read(size - 18)
-        self.block, self.at, self.start = zlib.decompress(body[:-8], -15), 0, self.next
-        self.next += size
-        return True
-
-    def tell(self) -> int:
-        while self.at >= len(self.block) and self._load():
-            pass
-        return self.start << 16 | self.at
-
-    def read(self, n: int) -> bytes:
-        out = b""
-        while len(out) < n:
-            if self.at >= len(self.block) and not self._load():
-                break
-            piece = self.block[self.at : self.at + n - len(out)]
-            self.at += len(piece)
-            out += piece
-        return out
+from readtally.sources import bam_index, bgzf, stores
+from readtally.sources.bam_records import BASES, CIGAR_OPS, SIZES, TYPES, cigar_codes, decode, heads, reference_length, starts
+
+#: Compressed bytes of a partition, about, and uncompressed bytes that are decoded at once.
+SPLIT, WINDOW = 16 << 20, 4 << 20
+#: Records that are written between two looks at the index.
+BATCH = 4096
 
 
 def header(path: str) -> tuple[str, list[tuple[str, int]]]:
@@ -87,90 +49,35 @@ def header_bytes(path: str) -> bytes:
 
 
 def _header(path: str) -> tuple[bytes, list[tuple[str, int]]]:
-    f = Bgzf(path)
-    if f.read(4) != b"BAM\1":
+    source, held = bgzf.contents(path), bytearray()
+
+    def read(n: int) -> bytes:
+        while len(held) < n:
+            held.extend(next(source, b"") or b"")
+            if not held:
+                break
+        out = bytes(held[:n])
+        del held[:n]
+        return out
+
+    if read(4) != b"BAM\1":
         raise ValueError(f"{path} is not a BAM file")
-    text = f.read(struct.unpack("<i", f.read(4))[0])
+    text = read(struct.unpack("<i", read(4))[0])
     refs = []
-    for _ in range(struct.unpack("<i", f.read(4))[0]):
-        name = f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode()
-        refs.append((name, struct.unpack("<i", f.read(4))[0]))
+    for _ in range(struct.unpack("<i", read(4))[0]):
+        name = read(struct.unpack("<i", read(4))[0])[:-1].decode()
+        refs.append((name, struct.unpack("<i", read(4))[0]))
     return text, refs
 
 
-def index(path: str) -> dict[int, list[int]]:
-    """Virtual offsets at which records begin, for each contig that has reads, in order."""
-    found = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if stores.is_file(p)), None)
-    if found is None:
-        raise FileNotFoundError(f"no index for {path}, please create an index")
-    data = stores.open_input(found).read()
-    at, out = 8, {}
-    for tid in range(struct.unpack_from("<i", data, 4)[0]):
-        n_bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(n_bins):
-            number, chunks = struct.unpack_from("<Ii", data, at)
-            at += 8
-            for _ in range(chunks):
-                if number != 37450:  # the pseudo-bin of counts
-                    out.setdefault(tid, set()).add(struct.unpack_from("<Q", data, at)[0])
-                at += 16
-        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
-    return {tid: sorted(begins) for tid, begins in out.items()}
+def index(path: str) -> bam_index.Index:
+    return bam_index.read(path)
 
 
 def contigs_with_reads(path: str) -> list[str]:
-    refs = header(path)[1]
-    return [refs[tid][0] for tid in sorted(index(path))]
-
-
-def decode(raw: bytes, offset: int, refs: list[tuple[str, int]]) -> tuple:
-    tid, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", raw, 0)
-    at = 32
-    name = raw[at : at + l_name - 1].decode()
-    at += l_name
-    cigar = [(CIGAR_OPS[v & 15], v >> 4) for v in struct.unpack_from(f"<{n_cigar}I", raw, at)]
-    at += 4 * n_cigar
-    packed = raw[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-    at += (l_seq + 1) // 2 + l_seq
-    tags: dict[str, tuple[str, str]] = {}
-    while at < len(raw):
-        key, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind in SIZES:
-            tags[key] = (kind, str(struct.unpack_from(SIZES[kind], raw, at)[0]))
-            at += struct.calcsize(SIZES[kind])
-        elif kind == "A":
-            tags[key] = (kind, chr(raw[at]))
-            at += 1
-        elif kind in "ZH":
-            end = raw.index(b"\0", at)
-            tags[key] = (kind, raw[at:end].decode())
-            at = end + 1
-        elif kind == "B":
-            sub, n = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)[0]
-            values = struct.unpack_from("<" + SIZES[sub][1] * n, raw, at + 5)
-            tags[key] = (kind, ",".join([sub, *map(str, values)]))
-            at += 5 + n * struct.calcsize(SIZES[sub])
-        else:
-            raise ValueError(f"unknown tag type {kind}")
-    return offset, name, flag, tid, refs[tid][0] if tid >= 0 else None, pos, mapq, cigar, seq, tags
-
-
-_TYPES = {
-    "ord": pa.int64(), "qname": pa.string(), "flag": pa.int32(), "tid": pa.int32(), "ref": pa.string(), "pos": pa.int32(), "mapq": pa.int32(),
-    "cigar": pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])), "seq": pa.string(),
-    "tags": pa.map_(pa.string(), pa.struct([("t", pa.string()), ("v", pa.string())])), "raw": pa.binary(),
-}
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    pair = lambda x, a, b: {a: x[0], b: x[1]}
-    columns = dict(zip(_TYPES, zip(*rows, strict=True), strict=True))
-    columns["cigar"] = [[pair(x, "op", "len") for x in c] for c in columns["cigar"]]
-    columns["tags"] = [[(k, pair(v, "t", "v")) for k, v in t.items()] for t in columns["tags"]]
-    return pa.RecordBatch.from_arrays([pa.array(columns[n], _TYPES[n]) for n in names], names=names)
+    """Contigs with mapped reads, in the header's order."""
+    refs, found = header(path)[1], index(path)
+    return [name for tid, (name, _) in enumerate(refs) if tid < len(found.contigs) and found.has_mapped(tid)]
 
 
 @dataclass
@@ -182,41 +89,92 @@ class _Span(InputPartition):
     end: int | None
 
 
+#: Comparisons that the scan evaluates, on these columns.
+_COMPARE = {
+    ds.EqualTo: np.equal, ds.EqualNullSafe: np.equal, ds.GreaterThan: np.greater, ds.GreaterThanOrEqual: np.greater_equal,
+    ds.LessThan: np.less, ds.LessThanOrEqual: np.less_equal,
+}
+_NUMBERS = ("tid", "pos", "flag", "mapq")
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options, names: list[str]) -> None:
         self.path, self.names = options["path"], names
-        self.only = json.loads(options["references"]) if "references" in options else None
+        self.only = set(json.loads(options["references"])) if "references" in options else None
         self.split = int(options.get("split", SPLIT))
+        self.tests: list[tuple[str, type, object]] = []  # column, filter, value
+
+    def pushFilters(self, filters):
+        """Takes comparisons of the numbers and of ref with constants; the others stay with Spark. A placed record has all of them."""
+        for f in filters:
+            column, value = ".".join(f.attribute) if hasattr(f, "attribute") else "", getattr(f, "value", None)
+            if column == "ref" and type(f) in (ds.EqualTo, ds.EqualNullSafe) and isinstance(value, str):
+                self._keep({value})
+            elif column == "ref" and type(f) is ds.In:
+                self._keep(set(value))
+            elif column in _NUMBERS and type(f) in _COMPARE and isinstance(value, int):
+                self.tests.append((column, type(f), value))
+            elif column in _NUMBERS and type(f) is ds.In and all(isinstance(v, int) for v in value):
+                self.tests.append((column, ds.In, list(value)))
+            elif not (column in ("ref", *_NUMBERS) and type(f) is ds.IsNotNull):
+                yield f
+
+    def _keep(self, names: set[str]) -> None:
+        self.only = names if self.only is None else self.only & names
+
+    def _bounds(self) -> tuple[int, int]:
+        """The range of positions, half-open, that the tests leave."""
+        low, high = 0, 1 << 62
+        for column, kind, value in self.tests:
+            if column == "pos":
+                least, most = (min(value, default=0), max(value, default=-1)) if kind is ds.In else (value, value)
+                if kind in (ds.EqualTo, ds.EqualNullSafe, ds.In, ds.GreaterThan, ds.GreaterThanOrEqual):
+                    low = max(low, least + (kind is ds.GreaterThan))
+                if kind in (ds.EqualTo, ds.EqualNullSafe, ds.In, ds.LessThan, ds.LessThanOrEqual):
+                    high = min(high, most + (kind is not ds.LessThan))
+        return low, high
 
     def partitions(self):
         refs, found = header(self.path)[1], index(self.path)
-        out = []
-        for tid, begins in sorted(found.items()):
-            if self.only is not None and refs[tid][0] not in self.only:
+        (low, high), out = self._bounds(), []
+        for tid, (name, _) in enumerate(refs[: len(found.contigs)]):
+            if self.only is not None and name not in self.only or not found.contigs[tid].chunks:
                 continue
-            cuts = [begins[0]]
-            for b in begins[1:]:
-                if (b >> 16) - (cuts[-1] >> 16) >= self.split:
-                    cuts.append(b)
-            out += [_Span(tid, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+            begins = found.begins(tid)
+            whole = (low, high) == (0, 1 << 62)
+            for begin, end in [(begins[0], None)] if whole else found.ranges(tid, low, high):
+                cuts = [begin]
+                for b in begins:
+                    if b > begin and (end is None or b < end) and (b >> 16) - (cuts[-1] >> 16) >= self.split:
+                        cuts.append(b)
+                out += [_Span(tid, a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
         return out or [_Span(-1, 0, 0)]
 
     def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
         if partition.tid < 0:
             return
-        refs, f, rows = header(self.path)[1], Bgzf(self.path, partition.begin), []
-        while True:
-            offset = f.tell()
-            size = f.read(4) if partition.end is None or offset < partition.end else b""
-            raw = f.read(struct.unpack("<i", size)[0]) if len(size) == 4 else b""
-            if not raw or struct.unpack_from("<i", raw)[0] != partition.tid:
-                break
-            rows.append((*decode(raw, offset, refs), raw))
-            if len(rows) == BATCH:
-                yield _batch(rows, self.names)
-                rows = []
-        if rows:
-            yield _batch(rows, self.names)
+        refs = pa.array([n for n, _ in header(self.path)[1]], pa.string())
+        high = self._bounds()[1]
+        for window in bgzf.windows(self.path, partition.begin, WINDOW):
+            at, used = starts(window.data)
+            if len(at):
+                data = np.frombuffer(bytes(window.data), np.uint8)
+                offsets, head = window.offsets(at), heads(data, at + 4)
+                inside = (head["tid"] == partition.tid) & (head["pos"] < high)
+                if partition.end is not None:
+                    inside &= offsets < partition.end
+                # records are sorted, so those behind the first that is outside are outside, too
+                n = len(at) if inside.all() else int(np.argmin(inside))
+                keep = np.ones(n, bool)
+                for column, kind, value in self.tests:
+                    keep &= np.isin(head[column][:n], value) if kind is ds.In else _COMPARE[kind](head[column][:n].astype(np.int64), value)
+                own = np.flatnonzero(keep)
+                if len(own):
+                    end = np.append(at[1:], used)[own]
+                    yield decode(data, at[own] + 4, end, head[own], offsets[own], self.names, refs)
+                if n < len(at):
+                    return
+            window.drop(used)
 
 
 class BamSource(DataSource):
@@ -225,7 +183,11 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return READS + (", raw binary" if self.options.get("raw", "true") == "true" else "")
+        full = READS + (", raw binary" if self.options.get("raw", "true") == "true" else "")
+        if "columns" not in self.options:
+            return full
+        kinds = dict(x.strip().split(" ", 1) for x in _top_level(full))
+        return ", ".join(f"{c} {kinds[c]}" for c in json.loads(self.options["columns"]))
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options, schema.names)
@@ -234,22 +196,28 @@ class BamSource(DataSource):
         return BamWriter(self.options)
 
 
+def _top_level(schema: str) -> list[str]:
+    """The columns of a schema, split at commas outside brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def register(spark: SparkSession) -> None:
+    """Makes the format known and lets filters reach it."""
     spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(header(path)[1])], "tid int, name string, length long")
 
 
-def _bin(start: int, end: int) -> int:
-    end -= 1
-    for shift, base in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if start >> shift == end >> shift:
-            return base + (start >> shift)
-    return 0
-
-
 def _encoded_tag(key: str, kind: str, value: str) -> bytes:
     out = key.encode() + kind.encode()
     if kind in SIZES:
@@ -301,34 +269,45 @@ def encode(row: dict) -> bytes:
     """The record of a row; a row that has its raw record keeps all of it but the edited tags."""
     if row.get("raw") is not None:
         return edit(bytes(row["raw"]), row["tags"] or {})
-    name, cigar, seq = row["qname"].encode() + b"\0", row["cigar"] or [], row["seq"] or ""
+    name, cigar, seq, tags = row["qname"].encode() + b"\0", row["cigar"] or [], row["seq"] or "", dict(row["tags"] or {})
     span = sum(n for op, n in cigar if op in "MDN=X") or 1
-    bin_of = _bin(max(row["pos"], 0), max(row["pos"], 0) + span)
+    start = max(row["pos"], 0)
+    bin_of = int(bam_index.bins(np.array([start]), np.array([start + span]))[0]) & 0xFFFF
+    if len(cigar) > 0xFFFF:  # more than the field counts
+        tags["CG"] = ("B", ",".join(["I", *(str(n << 4 | CIGAR_OPS.index(op)) for op, n in cigar)]))
+        cigar = [("S", len(seq)), ("N", span)]
     out = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(name), row["mapq"], bin_of, len(cigar), row["flag"], len(seq), -1, -1, 0) + name
     out += b"".join(struct.pack("<I", n << 4 | CIGAR_OPS.index(op)) for op, n in cigar)
     code = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
     out += bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True)) + b"\xff" * len(seq)
-    return out + b"".join(_encoded_tag(key, kind, value) for key, (kind, value) in sorted((row["tags"] or {}).items()))
+    return out + b"".join(_encoded_tag(key, kind, value) for key, (kind, value) in sorted(tags.items()))
 
 
-def _block(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
-    return bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def _write_records(f, rows, block: int = 60_000) -> dict[tuple[int, int], list[int]]:
-    """Writes records as blocks; begin and end (virtual offsets in ``f``) of each (contig, bin)."""
-    spans: dict[tuple[int, int], list[int]] = {}
+def _write_records(f, rows, depth: int, block: int = bgzf.BLOCK) -> dict[str, np.ndarray]:
+    """Writes records as blocks; their index entries, with virtual offsets in ``f``."""
+    found, pending = bam_index.Builder(depth=depth), []
     buffer, written = bytearray(), 0
 
     def flush() -> None:
         nonlocal written
         while buffer:
-            data = _block(bytes(buffer[:60_000]))
+            data = bgzf.block(bytes(buffer[: bgzf.BLOCK]))
             f.write(data)
             written += len(data)
-            del buffer[:60_000]
+            del buffer[: bgzf.BLOCK]
+
+    def note() -> None:
+        if pending:
+            raws, begin, end = zip(*pending, strict=True)
+            data, size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws])
+            at = np.cumsum(size) - size
+            head = heads(data, at)
+            n_seq = head["l_seq"].astype(np.int64)
+            tags = at + 32 + head["l_name"] + 4 * head["n_cigar"].astype(np.int64) + (n_seq + 1) // 2 + n_seq
+            codes, bounds, _ = cigar_codes(data, at, head, None, (tags, at + size))
+            pos = head["pos"].astype(np.int64)
+            found.add(head["tid"].astype(np.int64), pos, pos + np.maximum(reference_length(codes, bounds), 1), head["flag"], np.array(begin), np.array(end))
+            pending.clear()
 
     for row in rows:
         raw = encode(row)
@@ -336,43 +315,34 @@ def _write_records(f, rows, block: int = 60_000) -> dict[tuple[int, int], list[i
             flush()
         begin = written << 16 | len(buffer)
         buffer += struct.pack("<i", len(raw)) + raw
-        if len(buffer) > 60_000:  # a record longer than a block
+        if len(buffer) > bgzf.BLOCK:  # a record longer than a block
             flush()
-        end = written << 16 | len(buffer)
-        key = struct.unpack_from("<i", raw)[0], struct.unpack_from("<H", raw, 10)[0]
-        spans.setdefault(key, [begin, end])[1] = end
+        pending.append((raw, begin, written << 16 | len(buffer)))
+        if len(pending) == BATCH:
+            note()
     flush()
-    return spans
+    note()
+    return found.arrays()
 
 
 def _head_blocks(refs: list[tuple[str, int]], text: bytes) -> bytes:
     data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
     for name, size in refs:
         data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
-    return b"".join(_block(data[i : i + 60_000]) for i in range(0, len(data), 60_000))
-
-
-def _write_index(f, n_refs: int, spans: dict[tuple[int, int], list[list[int]]]) -> None:
-    bins: dict[int, dict[int, list]] = {}
-    for (tid, number), chunks in spans.items():
-        bins.setdefault(tid, {})[number] = chunks
-    f.write(b"BAI\1" + struct.pack("<i", n_refs))
-    for tid in range(n_refs):
-        f.write(struct.pack("<i", len(bins.get(tid, {}))))
-        for number, chunks in sorted(bins.get(tid, {}).items()):
-            f.write(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
-        f.write(struct.pack("<i", 0))
+    return bgzf.compressed(data)
 
 
-def write(path: str, refs: list[tuple[str, int]], rows, block: int = 60_000, text: bytes = b"") -> None:
+def write(path: str, refs: list[tuple[str, int]], rows, block: int = bgzf.BLOCK, text: bytes = b"", csi: bool = False) -> None:
     """Writes sorted rows (dicts in the reads schema) as one BAM file with its index, as they come, in one process."""
+    depth = bam_index.levels(max((n for _, n in refs), default=0))
     with open(path, "wb") as f:
         head = _head_blocks(refs, text)
         f.write(head)
-        spans = _write_records(f, rows, block)
-        f.write(EOF_BLOCK)
-    with open(path + ".bai", "wb") as f:
-        _write_index(f, len(refs), {k: [[x + (len(head) << 16) for x in v]] for k, v in spans.items()})
+        found = _write_records(f, rows, depth, block)
+        f.write(bgzf.EOF_BLOCK)
+    csi = csi or depth > bam_index.DEPTH
+    with open(path + (".csi" if csi else ".bai"), "wb") as f:
+        f.write(bam_index.encoded(bam_index.joined([(len(head), found)]), len(refs), depth, csi))
 
 
 @dataclass
@@ -380,19 +350,18 @@ class _Part(WriterCommitMessage):
     number: int
     path: str
     size: int
-    spans: dict[tuple[int, int], list[int]]
 
 
 class BamWriter(DataSourceArrowWriter):
-    """Options: path; header, the header text in base64; contigs, a JSON list of names and lengths."""
+    """Writes parts of a BAM file, without header, in the folder ``path``, each with its index entries beside it; ``parts.json`` lists
+    those of finished tasks in order. Option depth: levels of the index."""
 
     def __init__(self, options) -> None:
-        self.path, self.text = options["path"], base64.b64decode(options.get("header", ""))
-        self.refs = [tuple(x) for x in json.loads(options["contigs"])]
+        self.path, self.depth = options["path"], int(options.get("depth", bam_index.DEPTH))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         number = TaskContext.get().partitionId()
-        path = f"{self.path}.part-{number:06d}-{uuid.uuid4().hex}"  # of its own for each attempt
+        path = f"{self.path}/part-{number:06d}-{uuid.uuid4().hex}"  # of its own for each attempt
 
         def rows() -> Iterator[dict]:
             for batch in iterator:
@@ -401,38 +370,42 @@ class BamWriter(DataSourceArrowWriter):
                     row["tags"] = {k: (v["t"], v["v"]) for k, v in row["tags"] or []}
                     yield row
 
+        stores.make_folder(self.path)
         with stores.open_output(path) as f:
-            spans = _write_records(f, rows())
+            found = _write_records(f, rows(), self.depth)
             size = f.tell()
-        return _Part(number, path, size, spans)
+        entries = io.BytesIO()
+        np.savez(entries, **found)
+        with stores.open_output(path + ".index") as f:
+            f.write(entries.getvalue())
+        return _Part(number, path, size)
 
     def commit(self, messages: list) -> None:
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        spans: dict[tuple[int, int], list[list[int]]] = {}
-        with stores.open_output(self.path) as out:
-            out.write(_head_blocks(self.refs, self.text))
-            for part in parts:
-                at = out.tell() << 16
-                for key, span in part.spans.items():
-                    spans.setdefault(key, []).append([x + at for x in span])
-                with stores.open_input(part.path) as f:
-                    shutil.copyfileobj(f, out, 4 << 20)
-            out.write(EOF_BLOCK)
-        with stores.open_output(self.path + ".bai") as out:
-            _write_index(out, len(self.refs), spans)
-        self._remove(parts)
-
-    def abort(self, messages: list) -> None:
-        self._remove([m for m in messages if m is not None])
-
-    def _remove(self, parts: list[_Part]) -> None:
-        for part in parts:
-            store, place = stores.store(part.path)
-            store.delete_file(place)
+        stores.make_folder(self.path)
+        with stores.open_output(f"{self.path}/parts.json") as f:
+            f.write(json.dumps([[m.path, m.size] for m in parts]).encode())
 
 
 def save(rows: DataFrame, path: str, text: bytes, refs: list[tuple[str, int]], order: tuple[str, ...] = ("tid", "ord")) -> None:
-    """Writes rows of the reads schema as one BAM file in the given order, with its index."""
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    options = {"header": base64.b64encode(text).decode(), "contigs": json.dumps(refs)}
-    rows.write.format("bam").options(**options).mode("append").save(path)
+    """Writes rows of the reads schema as one BAM file in the given order, with its index. Nothing is left of a run that fails."""
+    depth, stage = bam_index.levels(max((n for _, n in refs), default=0)), f"{path}.staging-{uuid.uuid4().hex}"
+    csi = depth > bam_index.DEPTH
+    try:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.format("bam").option("depth", depth).mode("append").save(stage)
+        with stores.open_input(f"{stage}/parts.json") as f:
+            parts = json.loads(f.read())
+        head, at, entries = _head_blocks(refs, text), 0, []
+        at = len(head)
+        for part, size in parts:
+            with stores.open_input(part + ".index") as f:
+                entries.append((at, dict(np.load(io.BytesIO(f.read())))))
+            at += size
+        stores.join(rows.sparkSession, f"{stage}/whole", head, parts, bgzf.EOF_BLOCK)
+        with stores.open_output(f"{stage}/index") as f:
+            f.write(bam_index.encoded(bam_index.joined(entries), len(refs), depth, csi))
+        stores.move(f"{stage}/whole", path)
+        stores.move(f"{stage}/index", path + (".csi" if csi else ".bai"))
+    finally:
+        stores.remove_folder(stage)

@@ -1,10 +1,9 @@
 """Results as files: TSV tables, statistics, a MatrixMarket triple and annotated BAM. Each is one file by definition. Tables of
 one row per region or statistic are streamed through the driver partition by partition; matrix entries and
-BAM records are written as parts by tasks, whose bytes are then joined."""
+BAM records are written as parts by tasks, and copied to their places in the file by tasks."""
 
 from __future__ import annotations
 
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, Observation
@@ -24,40 +23,56 @@ def _lines(path: str, rows, header: list[str] = ()) -> None:
             f.write(("\t".join(str(x) for x in row) + "\n").encode())
 
 
-def matrix(hits: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Features, barcodes (name, index) and entries (feature, barcode, value), 1-based, in order."""
+def matrix(hits: DataFrame, keys: DataFrame) -> tuple[counts.Dictionary, counts.Dictionary, DataFrame]:
+    """Features and barcodes (name, index), and entries (feature, barcode, value), 1-based, in order."""
     cells = counts.by_cell(hits)
     features = counts.dictionary(keys.select(F.col("id").alias("feature")), "feature")
     barcodes = counts.dictionary(cells.select("barcode"), "barcode")
-    out = cells.join(features, cells["id"] == features["feature"]).select("barcode", F.col("index").alias("f"), "count").join(barcodes, "barcode")
+    out = cells.join(features.table, cells["id"] == features.table["feature"]).select("barcode", F.col("index").alias("f"), "count").join(barcodes.table, "barcode")
     entries = out.select(F.col("f").alias("feature_index"), F.col("index").alias("barcode_index"), "count")
-    return features.orderBy("index"), barcodes.orderBy("index"), entries.orderBy("feature_index", "barcode_index")
+    return features, barcodes, entries.orderBy("feature_index", "barcode_index")
 
 
 def _matrix_file(entries: DataFrame, path: str, n_features: int, n_barcodes: int) -> None:
-    """The entries as text parts, then their bytes behind the size line, which needs their number."""
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    seen = Observation()
-    entries.select(F.concat_ws(" ", *entries.columns).alias("value")).observe(seen, F.count("*").alias("n")).write.text(parts)
-    with stores.open_output(path) as out:
-        out.write(f"%%MatrixMarket matrix coordinate integer general\n%\n{n_features} {n_barcodes} {seen.get['n']}\n".encode())
-        for part in stores.files(parts):
-            if part.rsplit("/", 1)[-1].startswith("part-"):
-                with stores.open_input(part) as f:
-                    shutil.copyfileobj(f, out, 4 << 20)
-    stores.remove_folder(parts)
+    """The entries as text parts, which tasks copy behind the size line, since that needs their number."""
+    folder, seen = f"{path}.parts", Observation()
+    entries.select(F.concat_ws(" ", *entries.columns).alias("value")).observe(seen, F.count("*").alias("n")).write.text(stores.uri(folder))
+    head = f"%%MatrixMarket matrix coordinate integer general\n%\n{n_features} {n_barcodes} {seen.get['n']}\n".encode()
+    stores.join(entries.sparkSession, path, head, [(p, n) for p, n in stores.files(folder) if p.rsplit("/", 1)[-1].startswith("part-")])
+    stores.remove_folder(folder)
 
 
 def write(spark, config: Config) -> None:
-    result, folder = quantify.run(spark, config), config.directory.rstrip("/")
-    stores.make_folder(folder)
+    """Runs the configuration. Its files are made in a staging folder and get their names in ``config.directory`` when all are done;
+    a run that fails leaves none."""
+    folder = config.directory.rstrip("/")
+    stage = f"{folder}.staging-{uuid.uuid4().hex}"
+    stores.make_folder(stage)
+    try:
+        result = quantify.run(spark, config)
+        try:
+            _write(spark, config, result, stage)
+        finally:
+            result.reads.unpersist()
+        stores.make_folder(folder)
+        for path, _ in stores.files(stage):
+            stores.move(path, f"{folder}/{path.rsplit('/', 1)[-1]}")
+    finally:
+        stores.remove_folder(stage)
+
+
+def _write(spark, config: Config, result: quantify.Result, folder: str) -> None:
     reads = quantify.with_status(result.reads)
     _lines(f"{folder}/{'stats.tsv' if config.barcodes else 'counts.tsv.stats.tsv'}", counts.by_status(reads).toLocalIterator(), ["stat", "count"])
     if config.barcodes:
         features, barcodes, entries = matrix(result.hits, result.keys)
-        _lines(f"{folder}/features.tsv", features.select("feature").toLocalIterator())
-        _lines(f"{folder}/barcodes.tsv", barcodes.select("barcode").toLocalIterator())
-        _matrix_file(entries, f"{folder}/matrix.mtx", features.count(), barcodes.count())
+        try:
+            for file, table, name in (("features.tsv", features, "feature"), ("barcodes.tsv", barcodes, "barcode")):
+                _lines(f"{folder}/{file}", table.table.orderBy("index").select(name).toLocalIterator())
+            _matrix_file(entries, f"{folder}/matrix.mtx", features.size, barcodes.size)
+        finally:
+            features.release()
+            barcodes.release()
     else:
         table = counts.by_region(result.hits, result.keys)
         if config.source.mode == "bam_references":
@@ -70,4 +85,3 @@ def write(spark, config: Config) -> None:
     if config.write_annotated_bam:
         rows = quantify.annotation_tags(reads).select("tid", "ord", "pos", "qname", "flag", "mapq", "cigar", "seq", "tags", "raw")
         bam.save(rows, f"{folder}/annotated.bam", bam.header_bytes(config.bam), bam.header(config.bam)[1])
-    result.reads.unpersist()
