@@ -1,22 +1,23 @@
-"""Line dedup by content-defined chunks of words, with DataFrame functions only.
+"""Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A text is cut into words, which keep the blanks and newlines after them, so that words put together give the text; in scripts
-without blanks each character is a word. A hash covers two successive words. A chunk begins where the hash is negative and lowest among
-``REACH`` places on either side: the rule looks at eight words around, so the same passage is cut the same way
-whatever stands before and after it, within a line or over many. A chunk has four words at least and seven on average; of random
-passages of 51 words all but one in 1,000 hold ``MIN_WORDS`` words between the first and the last boundary of their own.
+A text is cut into lines: at newlines, behind sentences, and, since a passage may lie within one sentence, at about three of
+four other word places, chosen by the letters on either side. Put together the lines give the text; in scripts without blanks
+each character is a line. Every line has a hash, and a hash that rolls over ``ROLL`` successive line hashes (a cyclic polynomial)
+chooses the chunks: one begins where the rolling hash is negative and lowest among ``REACH`` places on either side. Both rules look at
+the surroundings only, so the same passage is cut the same way whatever stands before and after it. A chunk has three lines
+at least and five on average, about six words; of random passages of 51 words all but two in 1,000 hold ``MIN_WORDS``
+words between the first and the last boundary of their own, of 60 words practically all.
 
-Chunks are counted by hash over all documents. Those whose hash repeats are grouped by their bytes (a byte comparison of
-all of them), and all occurrences but the first (by doc_id, text hash, position) are repeats; a hash that two such chunks
-share is left alone. Counting and comparing are hash aggregations with map-side partial results, so a very common chunk
-is not gathered. Successive repeats in a document form a run, and runs of ``MIN_WORDS`` words and ``MIN_CHARS`` characters go:
-short phrases that texts share by chance stay.
+Chunks are counted by hash over all documents. Those whose hash repeats get a second hash, are grouped by their bytes (a byte
+comparison of all of them), and all occurrences but the first (by doc_id, text hash, position) are repeats. Counting and
+comparing are hash aggregations with map-side partial results, so a very common chunk is not gathered. Successive repeats in a
+document form a run, and runs of ``MIN_WORDS`` words and ``MIN_CHARS`` characters go: short phrases that texts share by chance stay.
 
 Edge cases: null stays null; texts of fewer words than ``MIN_WORDS`` are not touched; a document whose rows
 repeat exactly is one document; two documents of equal text leave the first whole and the second empty; documents without
-an id come after the others. Repetitions inside a document are removed too. A passage keeps its head and tail, where chunks
-straddle its edges. An empty table gives an empty table. A very long text is an array in one row, its work linear in
-its words but for the chunks that go (each is looked up among the text's removed runs).
+an id come after the others, in the order of their text hashes. Repetitions inside a document are removed too. A passage keeps its
+head and tail, where chunks straddle its edges. Columns that clash with the operator's own are kept. An empty table gives an empty
+table. A very long text is an array in one row, its work linear in its words.
 """
 
 from __future__ import annotations
@@ -31,16 +32,18 @@ from readtally.llm.shared import discard, packed, put, small, stored, unpacked,
 
 MIN_CHARS = 20
 MIN_WORDS = 20
-#: Hashes on either side that a chunk's first one is compared with.
-REACH = 3
-_BLANKS = r"(?<=[ \n])(?=[^ \n])"
+#: Rolling hashes on either side that a chunk's first one is compared with, and line hashes that one covers.
+REACH, ROLL = 2, 2
+#: Letters and digits of odd codes, and all beyond ASCII: a word place with one on its left or right ends a line.
+_ODD = r"acegikmoqsuwyACEGIKMOQSUWY13579\x{80}-\x{10FFFF}"
+_ENDS = rf"(?<=[ \n])(?=[{_ODD}])|(?<=[{_ODD}.!?][ \n])(?=[^ \n])|(?<=\n)(?=[^ \n])"
 #: Thai to Myanmar, Khmer, Chinese and Japanese (with full-width signs): no blanks between words.
 _RANGES = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯\x{20000}-\x{3FFFF}"
 _UNSPACED = f"[{_RANGES}]"
 #: One range around all of these, which is looked for first because that is quicker.
 _FAR = r"[฀-\x{3FFFF}]"
-#: Numbers of 64 bits in which the repeated hashes are marked; a table of that many rows is broadcast.
-MARKS = 1 << 19
+#: Bits of the table of repeated hashes for each of them, and the rows (64 bits each) that it has at least and at most.
+BITS, LEAST_ROWS, MOST_ROWS = 16, 1 << 10, 1 << 20
 #: Stands before each chunk but the first while a text is cut; texts that hold it have it escaped meanwhile.
 _MARK, _ESCAPE = "\x01", "\x02"
 
@@ -49,10 +52,10 @@ def _unspaced(text: Column) -> Column:
     return (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(_FAR)) & F.rlike(text, F.lit(_UNSPACED))
 
 
-def words(text: Column) -> Column:
-    """Words with the blanks and newlines after them; a character of an unspaced script is a word. Whether a place
-    divides words depends on the characters beside it only, not on the rest of the text."""
-    return F.when(_unspaced(text), F.split(text, f"{_BLANKS}|(?<={_UNSPACED})(?=[^ \\n])")).otherwise(F.split(text, _BLANKS))
+def lines(text: Column) -> Column:
+    """Lines with the blanks and newlines behind them; a character of an unspaced script is a line. Whether a place
+    divides lines depends on the characters beside it only, not on the rest of the text."""
+    return F.when(_unspaced(text), F.split(text, f"{_ENDS}|(?<={_UNSPACED})(?=[^ \\n])")).otherwise(F.split(text, _ENDS))
 
 
 def n_words(text: Column) -> Column:
@@ -60,6 +63,11 @@ def n_words(text: Column) -> Column:
     return F.when(_unspaced(text), F.length(text)).otherwise(F.size(F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")))
 
 
+def _rotated(h: Column) -> Column:
+    """The bits moved up by one, the highest to the bottom."""
+    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+
+
 def cut(text: Column) -> Column:
     """The text's chunks in order: array of structs c (string) and h (hash of it)."""
 
@@ -71,9 +79,16 @@ def cut(text: Column) -> Column:
             out = out & (here < F.get(r, i - k)) & (here <= F.get(r, i + k))
         return out  # null near the ends, where no chunk begins
 
+    def rolling(h: Column) -> Column:
+        """A hash of each ``ROLL`` successive line hashes, from the left; null where fewer are left."""
+        out = h
+        for k in range(1, ROLL):
+            out = F.zip_with(out, F.slice(h, F.lit(1 + k), F.size(h)), lambda a, b: _rotated(a).bitwiseXOR(b))
+        return out
+
     def chunks(w: Column) -> Column:
-        pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
-        marked = let(pairs, lambda r: F.transform(w, lambda x, i: F.when(lowest(r, i), F.concat(F.lit(_MARK), x)).otherwise(x)))
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        marked = let(let(hashes, rolling), lambda r: F.transform(w, lambda x, i: F.when(lowest(r, i), F.concat(F.lit(_MARK), x)).otherwise(x)))
         return F.split(F.array_join(marked, ""), _MARK)
 
     def hashed(parts: Column, plain: Callable[[Column], Column]) -> Column:
@@ -82,7 +97,7 @@ def cut(text: Column) -> Column:
     held = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_ESCAPE))
     safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
     undo = lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
-    return F.when(held, hashed(let(words(safe), chunks), undo)).when(text.isNotNull(), hashed(let(words(text), chunks), lambda c: c))
+    return F.when(held, hashed(let(lines(safe), chunks), undo)).when(text.isNotNull(), hashed(let(lines(text), chunks), lambda c: c))
 
 
 def _runs(places: Column, min_chars: int) -> Column:
@@ -111,21 +126,34 @@ def _last(run: Column) -> Column:
     return run.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
+def _rows_for(n: int) -> int:
+    """Rows of the bit table for ``n`` hashes: a power of two of about ``BITS`` bits a hash, within bounds."""
+    return min(max(1 << (n * BITS // 64).bit_length(), LEAST_ROWS), MOST_ROWS)
+
+
 def _marked(cells: DataFrame, often: DataFrame) -> DataFrame:
-    """The cells whose hash is in ``often``, and some others: a hash is looked up as one bit of ``MARKS`` numbers, so that the
-    texts of most chunks that occur once are not shuffled."""
-    place, bit = F.pmod(F.shiftright("h", 6), F.lit(MARKS)), F.pmod("h", F.lit(64)).cast("int")
+    """The cells whose hash is in ``often``, and some others: a hash is one bit of the table, so that the texts of chunks that occur
+    once are not shuffled. The table grows with the repeated hashes, up to a bound; beyond it more cells pass, and are compared."""
+    rows = _rows_for(often.count())
+    place, bit = F.pmod(F.shiftright("h", 6), F.lit(rows)), F.pmod("h", F.lit(64)).cast("int")
     marks = often.groupBy(place.alias("_place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
     out = cells.join(F.broadcast(marks), place == F.col("_place"))
     return out.where(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_place", "_bits")
 
 
-def _order(no: Column) -> Column:
-    """One number that orders places by doc_id (none: last), text hash (30 bits) and number in the text. A number, since
-    aggregates of structs and strings sort their rows."""
+def _order() -> Column:
+    """One number that orders documents by doc_id (none: last) and text hash (61 of its bits). A number, since aggregates of
+    structs and strings sort their rows."""
     doc = F.coalesce(F.col("_k.d").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-    low = F.shiftleft(F.shiftrightunsigned("_k.h", 34), 31).bitwiseOR(no.cast("long"))
-    return doc * F.lit(1 << 61).cast("decimal(19,0)") + low
+    return doc * F.lit(1 << 61).cast("decimal(19,0)") + F.shiftrightunsigned("_k.h", 3)
+
+
+def _repeats(places: Column) -> Column:
+    """Places whose chunk came before: all of a chunk whose first document is another, all but the lowest of one whose first is this."""
+    own = F.sort_array(F.filter(places, lambda p: p["own"]))
+    later = F.filter(own, lambda p, i: (i > 0) & (F.get(own, i - 1)["h"] == p["h"]) & (F.get(own, i - 1)["g"] == p["g"]))
+    both = F.concat(F.filter(places, lambda p: ~p["own"]), later)
+    return F.sort_array(F.transform(both, lambda p: F.struct(p["no"].alias("no"), p["n"].alias("n"), p["s"].alias("s"))))
 
 
 def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -135,34 +163,44 @@ def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     often = stored(counts.where("k > 1").select("h"), "repeated-hashes")
     cells = whole.select("_k", F.posexplode("_cut").alias("no", "x")).select("_k", "no", F.col("x.c").alias("chunk"), F.col("x.h").alias("h"))
     cells = _marked(cells, often).select(
-        F.col("_k.d").alias("d"), F.col("_k.h").alias("t"), "no", _order(F.col("no")).alias("at"), "h", "chunk",
+        F.col("_k.d").alias("d"), F.col("_k.h").alias("t"), "no", _order().alias("at"), "h", F.xxhash64(F.lit(1), "chunk").alias("g"), "chunk",
         n_words(F.col("chunk")).alias("n"), F.length("chunk").alias("s"),
     )
     cells = stored(cells, "repeated-places", "zstd")
-    # grouping by the chunk itself compares the bytes; a hash that two repeated chunks share is left alone
-    texts = cells.groupBy("h", "chunk").agg(F.count("*").alias("k"), F.min("at").alias("first"))
-    groups = texts.groupBy("h").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.min("first").alias("first"))
-    groups = stored(groups.where("k > 1 and texts = 1").select("h", "first"), "repeated-chunks")
+    # grouping by the chunk itself compares the bytes; two chunks that share both hashes would be left alone
+    texts = cells.groupBy("h", "g", "chunk").agg(F.count("*").alias("k"), F.min("at").alias("first"))
+    groups = texts.groupBy("h", "g").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.min("first").alias("first"))
+    groups = stored(groups.where("k > 1 and texts = 1").select("h", "g", "first"), "repeated-chunks")
     # shuffled at any size: the table holds every repeated chunk and outgrows a broadcast early
-    places = cells.select("d", "t", "no", "at", "h", "n", "s").join(groups.hint("merge"), "h").where("at > first")
-    gone = places.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("no", "n", "s"))).alias("p"))
+    places = cells.select("d", "t", "no", "at", "h", "g", "n", "s").join(groups.hint("merge"), ["h", "g"])
+    place = F.struct((F.col("at") == F.col("first")).alias("own"), "h", "g", "no", "n", "s")
+    gone = places.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(place).alias("p"))
+    # a generated row is made once; a plain column would be made again wherever it is named
+    gone = gone.select("_d", "_t", F.inline(F.array(F.struct(_repeats(F.col("p")).alias("p"))))).where(F.size("p") > 0)
     gone = stored(gone.select("_d", "_t", _runs(F.col("p"), min_chars).alias("gone")).where(F.size("gone") > 0), "gone-chunks")
     discard(often, cells, groups)
     return gone
 
 
+def _between(chunks: Column, gone: Column, inside: bool) -> Column:
+    """The chunks inside the runs ``gone``, or those outside, in order; the work is linear in both."""
+    if inside:
+        return F.flatten(F.transform(gone, lambda g: F.slice(chunks, _first(g) + 1, _last(g) - _first(g) + 1)))
+    after = lambda i: F.when(i == 0, 0).otherwise(_last(F.get(gone, i - 1)) + 1)
+    until = lambda i: F.when(i == F.size(gone), F.size(chunks)).otherwise(_first(F.get(gone, i)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(chunks, after(i) + 1, until(i) - after(i))))
+
+
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of ``docs``; text lacks the repeated chunks. Adds _removed (characters taken out) and _n_removed (chunks)."""
     # texts are cut once and kept as chunks from here on
     whole = stored(put(with_row_key(packed(docs)), _cut=cut(F.col("text"))).drop("text"), "line-chunks", "zstd")
     gone = repeated(whole, min_chars)
     out = whole.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
-    inside = lambda i: F.exists("gone", lambda g: (_first(g) <= i) & (i <= _last(g)))
-    some = F.col("gone").isNotNull()
-    kept = F.when(some, F.filter(F.col("_cut.c"), lambda x, i: ~inside(i))).otherwise(F.col("_cut.c"))
-    lost = F.when(some, F.aggregate(F.filter("_cut", lambda x, i: inside(i)), F.lit(0), lambda t, x: t + F.length(x["c"]))).otherwise(0)
+    some, chunks = F.col("gone").isNotNull(), F.col("_cut.c")
+    kept = F.when(some, _between(chunks, F.col("gone"), False)).otherwise(chunks)
+    lost = F.when(some, F.length(F.array_join(_between(chunks, F.col("gone"), True), ""))).otherwise(0)
     total = F.when(some, F.aggregate("gone", F.lit(0), lambda t, g: t + _last(g) - _first(g) + 1)).otherwise(0)
-    # a generated row is made once; a plain column would be made again wherever a later filter or column names it
     out = out.select("*", F.inline(F.array(F.struct(F.array_join(kept, "").alias("_new"), lost.alias("_lost"), total.alias("_n")))))
     out = put(out, _removed=F.col("_lost"), _n_removed=F.col("_n"), text=F.col("_new"))
     return unpacked(out, docs.columns, "_removed", "_n_removed")

@@ -61,11 +61,26 @@ def test_winnowing(spark):
     assert near > 0.3
 
 
+ODD = "acegikmoqsuwyACEGIKMOQSUWY13579"
+
+
+def cut_lines(t):
+    out, begin = [], 0
+    for i in range(1, len(t)):
+        if t[i - 1] in " \n" and t[i] not in " \n":
+            odd = lambda c: c in ODD or ord(c) >= 0x80
+            if odd(t[i]) or t[i - 1] == "\n" or i > 1 and (odd(t[i - 2]) or t[i - 2] in ".!?"):
+                out.append(t[begin:i])
+                begin = i
+    return [*out, t[begin:]]
+
+
 def chunks(t):
-    words = re.split(r"(?<=[ \n])(?=[^ \n])", t)
-    r = [xx(a, b) for a, b in zip(words, words[1:], strict=False)] + [xx(words[-1])]
+    own = cut_lines(t)
+    h = [xx(x) & MASK for x in own]
+    r = [signed(((a << 1 | a >> 63) & MASK) ^ b) for a, b in zip(h, h[1:], strict=False)]
     out = [[]]
-    for i, w in enumerate(words):
+    for i, w in enumerate(own):
         around = range(i - lines.REACH, i + lines.REACH + 1)
         if around[0] >= 0 and around[-1] < len(r) and r[i] < 0 and all(r[i] < r[k] if k < i else r[i] <= r[k] for k in around if k != i):
             out.append([])
@@ -73,6 +88,40 @@ def chunks(t):
     return ["".join(c) for c in out]
 
 
+def test_lines_and_rolling_hashes(spark):
+    texts = ["one sentence. The next.\nA line\n\nbut flat rent is\ttabbed  twice", text(60, 80), "漢字かな x", "", "\x01 a\x02b \x01"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = [(r["l"], [c["c"] for c in r["c"]], [c["h"] for c in r["c"]]) for r in df.select(lines.lines(F.col("text")).alias("l"), lines.cut(F.col("text")).alias("c")).collect()]
+    for x, (own, parts, hashes) in zip(texts, got, strict=True):
+        assert "".join(own) == x == "".join(parts) and ("\x01" in x or hashes == [xx(c) for c in parts])
+        if not x.startswith("漢"):
+            assert own == cut_lines(x) and parts == chunks(x)
+    assert got[2][0] == ["漢", "字", "か", "な ", "x"] and len(got[1][1]) > 5 and min(len(cut_lines(c)) for c in got[1][1][1:]) >= 3
+
+
+def test_first_of_documents_without_id(spark):
+    """Documents that share id, or have none, keep a repeated passage once."""
+    passage = text(70, 200)
+    rows = [(None, passage + f" {text(80 + i, 5)}") for i in range(6)] + [(7, passage + " x"), (7, passage + " y")]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    middle = " ".join(passage.split()[60:140])
+    assert sum(middle in r["text"] for r in got) == 1 and [r["doc_id"] for r in got if middle in r["text"]] == [7]
+    alone = lines.without_repeats(spark.createDataFrame(rows[:6], "doc_id long, text string")).collect()
+    assert sum(middle in r["text"] for r in alone) == 1
+
+
+def test_any_filter_size(spark, monkeypatch):
+    """The bit table's size and the joins' forms change no result."""
+    passage = text(70, 200)
+    df = spark.createDataFrame([(i, f"{text(90 + i, 30)} {passage} {text(190 + i, 30)}") for i in range(5)], "doc_id long, text string")
+    want = sorted(map(tuple, lines.without_repeats(df).collect()))
+    monkeypatch.setattr(lines, "LEAST_ROWS", 1)
+    monkeypatch.setattr(lines, "MOST_ROWS", 1)
+    monkeypatch.setattr(lines, "small", lambda t, **_: t.hint("merge"))
+    assert sorted(map(tuple, lines.without_repeats(df).collect())) == want and lines._rows_for(10**9) == 1
+    assert sum(r[2] > 0 for r in want) == 4
+
+
 def test_line_chunks_by_hand(spark):
     passage, tail = text(50, 120), text(51, 70)
     texts = [text(1, 40) + " " + passage, passage + " " + text(2, 40), None, "", passage + " x " + passage, tail + "\n" + text(3, 30), text(4, 30) + "\n" + tail, text(9, 5000) + " " + tail]

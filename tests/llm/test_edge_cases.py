@@ -13,6 +13,7 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int, q int, good int",
     "pages": "page_id long, url string, html string, n int, sha1 int, first int, intact int",
     "conversations": "conv_id long, turn long, role string, text string, loss int, part int",
+    "embeddings": "vec_id long, embedding array<float>, x int, n int, deviation int",
 }
 LONG = text(77, 60_000)
 
@@ -20,13 +21,14 @@ LONG = text(77, 60_000)
 def rows():
     base = text(1, 150)
     docs = [(1, base), (1, base), (1, base), (2, base), (3, None), (None, None), (None, base), (None, text(2, 40)), (4, ""), (5, LONG), (6, LONG + " end"), (7, text(3, 30)), (7, text(4, 30)), (8, "\x00 \x01\x02 é 漢字 🙂"), (9, " \n\n ")]
-    extra = {"documents": ["x", 1, "y", 2, 3, 4, 5], "benchmark": [1, 2, 3], "labels": [1, 2], "pages": [1, 2, 3, 4], "conversations": [1, 2]}
+    extra = {"documents": ["x", 1, "y", 2, 3, 4, 5], "benchmark": [1, 2, 3], "labels": [1, 2], "pages": [1, 2, 3, 4], "conversations": [1, 2], "embeddings": [1, 2, 3]}
     full = {
         "documents": [(i, t, None, None if i == 2 else "s", None) for i, t in docs],
         "benchmark": [(1, base), (1, base), (None, base), (2, None), (3, " ".join(LONG.split()[500:600]))],
         "labels": [(1, 1, 0), (1, 0, 1), (None, 1, 1), (7, None, None), (5, 0, 0)],
         "pages": [(1, None, "a"), (1, None, "a"), (2, "u", "a"), (None, "u", "a"), (None, None, None), (3, "http://x:bad/", "é" * 400_000), (4, "u", "")],
         "conversations": [(1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None), (2, 5, "assistant", LONG), (2, 5, "assistant", "b")],
+        "embeddings": [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [0.5, 2.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [-0.0, 9.0])],
     }
     return {t: [(*r, *extra[t]) for r in full[t]] for t in full}
 
@@ -49,6 +51,11 @@ def test_queries(spark, folders, name):
         assert none == 0 and {r["doc_id"] for r in got} <= {r[0] for r in rows()["documents"]}
     elif name.startswith("op4_"):
         assert sorted(r["conv_id"] for r in got if r["conv_id"] is not None) == [-7, 1, 2] and len(got) == 4 and none == 1
+    elif name.startswith("op12_"):
+        assert len(got) == 2 * 600 and none == 0 and all(r["kept"] + r["removed"] <= 16 for r in got) and {r["part"] for r in got} == {"", "s"}
+    elif name.startswith("op13_"):
+        # of two dimensions there are two components; rows that repeat a vector are all there
+        assert sorted((str(r["vec_id"]), r["component"], r["n"]) for r in got) == sorted((i, k, 3) for i in ("1", "1", "None", "5") for k in (1, 2)) and none == 0
     else:
         table, key = ("pages", "page_id") if name.startswith("op10_") else ("documents", "doc_id")
         assert sorted(str(r[key]) for r in got) == sorted(str(r[0]) for r in rows()[table]) and none == 0
