@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from readtally.functions import patterns
+
 
 class ConfigError(ValueError):
     pass
@@ -40,11 +42,6 @@ def _mode(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
 
-def _pattern(text: str) -> str:
-    """A pattern in the dialect of Spark, in which named groups have no P."""
-    return text.replace("(?P<", "(?<")
-
-
 def check_tag(tag: str) -> str:
     if not isinstance(tag, str) or len(tag) != 2:
         raise ConfigError("BAM tag must be 2 letters")
@@ -112,10 +109,10 @@ def _extractor(section: str, data: dict) -> dict:
             raise ConfigError(f"missing field `{key}` in {section}")
     if mode == "regex_name":
         try:
-            groups = re.compile(_pattern(data["regex"]).replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!")).groups
-        except re.error as e:
+            regex, groups = patterns.translated(data["regex"])
+        except patterns.PatternError as e:
             raise ConfigError(f"invalid regex in {section}: {e}") from e
-        data = {**data, "regex": _pattern(data["regex"]), "groups": groups}
+        data = {**data, "regex": regex, "groups": groups}
     if mode == "read_region" and data["start"] >= data["stop"]:
         raise ConfigError(f"start must be smaller than stop in {section}")
     if mode == "tag":

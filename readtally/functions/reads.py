@@ -104,8 +104,10 @@ def extractor(how: dict) -> Column:
         if how.get("groups", 1) == 0:
             return F.when(F.col("qname").rlike(pattern), F.lit(None).cast("string")).otherwise(miss)
         found = F.regexp_extract("qname", pattern, 1)
-        # an unset group gives no value, an empty one an empty value; a reference back to an unset group does not match
-        is_set = (found != "") | F.col("qname").rlike(f"(?:{pattern})\\1")
+        # an unset group gives no value, an empty one an empty value: behind the match, a reference back to an unset group fails, and
+        # else a character beside it is taken (a name has one)
+        n, beside = how.get("groups", 1), rf"(?:{pattern})(?:\1(?:(?=([\s\S]))|(?<=([\s\S]))))?"
+        is_set = (found != "") | (F.regexp_extract("qname", beside, n + 1) != "") | (F.regexp_extract("qname", beside, n + 2) != "")
         return F.when(F.col("qname").rlike(pattern), F.when(is_set, found)).otherwise(miss)
     if mode == "search_in_name":
         at = F.instr("qname", how["search"])
@@ -130,3 +132,15 @@ def hamming(a: Column, b: Column) -> Column:
     """Number of unequal characters; null for unequal lengths."""
     unequal = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
     return F.when(F.length(a) == F.length(b), F.aggregate(unequal, F.lit(0), lambda p, q: p + q))
+
+
+def packed_letters(word: Column) -> Column:
+    """A word of up to 16 letters of ACGTN as one number, 4 bits a letter; null for others."""
+    return F.when(word.rlike("^[ACGTN]{1,16}$"), F.conv(F.translate(word, "ACGTN", "12345"), 16, 10).cast("long"))
+
+
+def packed_hamming(a: Column, b: Column) -> Column:
+    """Number of unequal letters of two packed words of one length."""
+    unequal = a.bitwiseXOR(b)
+    some = unequal.bitwiseOR(F.shiftright(unequal, 1)).bitwiseOR(F.shiftright(unequal, 2))  # codes have three bits
+    return F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111))).cast("int")

@@ -52,11 +52,18 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters that the scan evaluates itself."""
-    df = spark.read.format("bam").option("split", 1 << 18).load(bam_file(spark, sf_dir))
-    some = df.where("ref = 'chr1' and pos between 5000 and 9000 ").where("mapq >= 20 and flag in (64, 80, 128)")
+    df = spark.read.format("bam").option("split", 1 << 18).option("pushdown", "true").load(bam_file(spark, sf_dir))
+    some = df.where("ref = 'chr1' and pos between 5000 and 9000").where("mapq >= 20 and flag in (64, 80, 128)")
     return some.groupBy("ref", "pos", "flag").agg(F.count("*").alias("count"), F.sum("mapq").alias("mapq"))
 
 
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by tests that the scan is given."""
+    tests = [("ref", "=", "chr1"), ("pos", ">=", 5000), ("pos", "<=", 9000), ("mapq", ">=", 20), ("flag", "in", [64, 80, 128])]
+    df = bam.scan(spark, bam_file(spark, sf_dir), tests, ["ref", "pos", "flag", "mapq"], split=1 << 18)
+    return df.groupBy("ref", "pos", "flag").agg(F.count("*").alias("count"), F.sum("mapq").alias("mapq"))
+
+
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bam_file(spark, sf_dir)
     return bam.contigs(spark, path).where(F.col("name").isin(bam.contigs_with_reads(path)))
@@ -148,6 +155,7 @@ def _by_region(sql_of_hits: str) -> str:
 QUERIES = {
     "bam_scan_records": _scan,
     "bam_range_scan": _ranged,
+    "bam_tested_scan": _tested,
     "bam_contigs": _contigs,
     "bam_reference_scan": _some_contigs,
     "gtf_scan": _regions("gtf"),
@@ -180,3 +188,4 @@ for overlap, policy in Q._POLICY.items():
         QUERIES[f"run_{overlap}_{multi}"] = _counts(overlap, multi)
         ORACLES[f"run_{overlap}_{multi}"] = _by_region(f"{Q._HIT} {policy}, {keep}")
 QUERIES["run_union_aggregate"], ORACLES["run_union_aggregate"] = _aggregated, ORACLES["run_union_count_both"]
+ORACLES["bam_tested_scan"] = ORACLES["bam_range_scan"]

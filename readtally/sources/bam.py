@@ -1,9 +1,10 @@
 """BAM as a Spark data source, in Python: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
 The index (``.csi`` or ``.bai``) gives places at which records begin; a partition runs from one to another, ``SPLIT`` compressed bytes on,
-so a contig is as many tasks as its size asks for. Filters on ref, tid, pos, flag and mapq with a constant are evaluated in the
-scan: contigs are left out, ranges of positions become ranges of the file by the index, and rows that fail are not decoded.
-The option ``references`` (a JSON list) names contigs, ``columns`` (a JSON list) the columns to decode, ``raw`` (true or false) adds each
+so a contig is as many tasks as its size asks for. Tests of ref, tid, pos, flag and mapq are evaluated in the scan: contigs are left
+out, ranges of positions become ranges of the file by the index, and rows that fail are not decoded. They come with the option
+``tests`` (a JSON list of column, comparison, value; ``scan`` takes them), or from the query's filters with the option ``pushdown``, which
+only a DataFrame that serves a single query may have (see ``PushingReader``). The option ``references`` (a JSON list) names contigs, ``columns`` (a JSON list) the columns to decode, ``raw`` (true or false) adds each
 record's bytes. Records leave a task in Arrow batches. ``ord`` is the virtual file offset: its order is file order.
 
 Writing: ``save`` makes one file with its index. Tasks write parts of compressed blocks in a staging folder, each with its index
@@ -89,11 +90,9 @@ class _Span(InputPartition):
     end: int | None
 
 
-#: Comparisons that the scan evaluates, on these columns.
-_COMPARE = {
-    ds.EqualTo: np.equal, ds.EqualNullSafe: np.equal, ds.GreaterThan: np.greater, ds.GreaterThanOrEqual: np.greater_equal,
-    ds.LessThan: np.less, ds.LessThanOrEqual: np.less_equal,
-}
+#: Comparisons that the scan evaluates on the numbers.
+_COMPARE = {"=": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, "in": np.isin}
+_FILTERS = {ds.EqualTo: "=", ds.EqualNullSafe: "=", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<=", ds.In: "in"}
 _NUMBERS = ("tid", "pos", "flag", "mapq")
 
 
@@ -102,22 +101,21 @@ class BamReader(DataSourceReader):
         self.path, self.names = options["path"], names
         self.only = set(json.loads(options["references"])) if "references" in options else None
         self.split = int(options.get("split", SPLIT))
-        self.tests: list[tuple[str, type, object]] = []  # column, filter, value
-
-    def pushFilters(self, filters):
-        """Takes comparisons of the numbers and of ref with constants; the others stay with Spark. A placed record has all of them."""
-        for f in filters:
-            column, value = ".".join(f.attribute) if hasattr(f, "attribute") else "", getattr(f, "value", None)
-            if column == "ref" and type(f) in (ds.EqualTo, ds.EqualNullSafe) and isinstance(value, str):
-                self._keep({value})
-            elif column == "ref" and type(f) is ds.In:
-                self._keep(set(value))
-            elif column in _NUMBERS and type(f) in _COMPARE and isinstance(value, int):
-                self.tests.append((column, type(f), value))
-            elif column in _NUMBERS and type(f) is ds.In and all(isinstance(v, int) for v in value):
-                self.tests.append((column, ds.In, list(value)))
-            elif not (column in ("ref", *_NUMBERS) and type(f) is ds.IsNotNull):
-                yield f
+        self.tests: list[tuple[str, str, object]] = []  # column, comparison, value
+        for column, op, value in json.loads(options.get("tests", "[]")):
+            if not self.takes(column, op, value):
+                raise ValueError(f"the scan does not know the test {column} {op} {value}")
+
+    def takes(self, column: str, op: str, value) -> bool:
+        """Whether the scan evaluates this test; if so, it does from now on."""
+        values = list(value) if op == "in" else [value]
+        if column == "ref" and op in ("=", "in") and all(isinstance(v, str) for v in values):
+            self._keep(set(values))
+            return True
+        if column in _NUMBERS and op in _COMPARE and all(isinstance(v, int) for v in values):
+            self.tests.append((column, op, values if op == "in" else value))
+            return True
+        return False
 
     def _keep(self, names: set[str]) -> None:
         self.only = names if self.only is None else self.only & names
@@ -125,13 +123,13 @@ class BamReader(DataSourceReader):
     def _bounds(self) -> tuple[int, int]:
         """The range of positions, half-open, that the tests leave."""
         low, high = 0, 1 << 62
-        for column, kind, value in self.tests:
+        for column, op, value in self.tests:
             if column == "pos":
-                least, most = (min(value, default=0), max(value, default=-1)) if kind is ds.In else (value, value)
-                if kind in (ds.EqualTo, ds.EqualNullSafe, ds.In, ds.GreaterThan, ds.GreaterThanOrEqual):
-                    low = max(low, least + (kind is ds.GreaterThan))
-                if kind in (ds.EqualTo, ds.EqualNullSafe, ds.In, ds.LessThan, ds.LessThanOrEqual):
-                    high = min(high, most + (kind is not ds.LessThan))
+                least, most = (min(value, default=0), max(value, default=-1)) if op == "in" else (value, value)
+                if op in ("=", "in", ">", ">="):
+                    low = max(low, least + (op == ">"))
+                if op in ("=", "in", "<", "<="):
+                    high = min(high, most + (op != "<"))
         return low, high
 
     def partitions(self):
@@ -166,8 +164,8 @@ class BamReader(DataSourceReader):
                 # records are sorted, so those behind the first that is outside are outside, too
                 n = len(at) if inside.all() else int(np.argmin(inside))
                 keep = np.ones(n, bool)
-                for column, kind, value in self.tests:
-                    keep &= np.isin(head[column][:n], value) if kind is ds.In else _COMPARE[kind](head[column][:n].astype(np.int64), value)
+                for column, op, value in self.tests:
+                    keep &= _COMPARE[op](head[column][:n].astype(np.int64), value)
                 own = np.flatnonzero(keep)
                 if len(own):
                     end = np.append(at[1:], used)[own]
@@ -177,6 +175,18 @@ class BamReader(DataSourceReader):
             window.drop(used)
 
 
+class PushingReader(BamReader):
+    """Takes filters of the query, too. Spark 4.1 keeps a reader's filters for later queries on the same DataFrame, so one that is loaded
+    with the option ``pushdown`` must serve a single query."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column, op = ".".join(f.attribute) if hasattr(f, "attribute") else "", _FILTERS.get(type(f))
+            # a placed record has all of the scan's own columns
+            if not (op and self.takes(column, op, f.value) or type(f) is ds.IsNotNull and column in ("ref", *_NUMBERS)):
+                yield f
+
+
 class BamSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -190,7 +200,8 @@ class BamSource(DataSource):
         return ", ".join(f"{c} {kinds[c]}" for c in json.loads(self.options["columns"]))
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options, schema.names)
+        kind = PushingReader if self.options.get("pushdown", "false") == "true" else BamReader
+        return kind(self.options, schema.names)
 
     def writer(self, schema, overwrite: bool) -> BamWriter:
         return BamWriter(self.options)
@@ -214,6 +225,13 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def scan(spark: SparkSession, path: str, tests: list[tuple] = (), columns: list[str] | None = None, **options) -> DataFrame:
+    """Records that pass all tests (column, comparison, value), such as ("pos", ">=", 5000) or ("ref", "in", ["chr1"])."""
+    register(spark)
+    reader = spark.read.format("bam").option("tests", json.dumps(list(tests))).options(**options)
+    return (reader.option("columns", json.dumps(columns)) if columns else reader).load(path)
+
+
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(header(path)[1])], "tid int, name string, length long")
 

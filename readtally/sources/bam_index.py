@@ -60,13 +60,16 @@ class Index:
         start, end = max(start, 0), min(end, 1 << self.min_shift + 3 * self.depth)
         if start >= end:
             return []
-        from_ = self._least(c, start)
+        from_, until = self._least(c, start), 1 << 62
         for number, chunks in c.chunks.items():
             level = next(k for k in range(self.depth + 1) if number < n_bins(k))
             shift = self.min_shift + 3 * (self.depth - level)
             at = number - ((1 << 3 * level) - 1) // 7
             if start >> shift <= at <= end - 1 >> shift:
                 found += [(max(b, from_), e) for b, e in chunks if e > from_]
+            elif at << shift >= end:  # records of this bin begin behind the range, and so do all that follow them
+                until = min(until, chunks[0][0])
+        found = [(b, min(e, until)) for b, e in found if b < until]
         out: list[list[int]] = []
         for b, e in sorted(found):
             if out and b <= out[-1][1]:
@@ -77,7 +80,7 @@ class Index:
 
     def _least(self, c: Contig, start: int) -> int:
         if not self.by_bin:
-            return c.least.get(start >> self.min_shift, 0)
+            return c.least.get(min(start >> self.min_shift, len(c.least) - 1), 0)
         for level in range(self.depth, -1, -1):
             number = ((1 << 3 * level) - 1) // 7 + (start >> self.min_shift + 3 * (self.depth - level))
             if number in c.least:

@@ -65,13 +65,18 @@ def remove_folder(path: str) -> None:
         where.delete_dir(place)
 
 
+def takes_ranges(where: fs.FileSystem) -> bool:
+    """Whether tasks can write at places of one file."""
+    return isinstance(where, fs.LocalFileSystem)
+
+
 def join(spark: SparkSession, target: str, head: bytes, parts: list[tuple[str, int]], tail: bytes = b"") -> None:
     """Makes one file of ``head``, the parts (paths and sizes) in order, and ``tail``. The driver reads no part: in a local (shared)
     file system tasks write the parts at their places, in other stores one task streams them."""
     where, place = store(target)
     sizes = [size for _, size in parts]
     at = [len(head) + sum(sizes[:i]) for i in range(len(parts))]
-    if isinstance(where, fs.LocalFileSystem):
+    if takes_ranges(where):
         with open(place, "wb") as f:
             f.write(head)
             f.seek(len(head) + sum(sizes))
@@ -84,7 +89,7 @@ def join(spark: SparkSession, target: str, head: bytes, parts: list[tuple[str, i
     if rows:
         # a row for each part, a task for each, or one task for all
         df = spark.createDataFrame(rows, "path string, size long, place long")
-        df = df.repartition(len(rows), "place") if isinstance(where, fs.LocalFileSystem) else df.coalesce(1).sortWithinPartitions("place")
+        df = df.repartition(len(rows), "place") if takes_ranges(where) else df.coalesce(1).sortWithinPartitions("place")
         copied = sum(r[0] for r in df.mapInArrow(run, "n long").collect())
         if copied != sum(sizes):
             raise OSError(f"{copied} bytes of {sum(sizes)} were copied to {target}")
