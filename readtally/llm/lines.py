@@ -8,8 +8,8 @@ the surroundings only, so the same passage is cut the same way whatever stands b
 at least and five on average, about six words; of random passages of 51 words all but two in 1,000 hold ``MIN_WORDS``
 words between the first and the last boundary of their own, of 60 words practically all.
 
-Chunks are counted by hash over all documents. Those whose hash repeats get a second hash, are grouped by their bytes (a byte
-comparison of all of them), and all occurrences but the first (by doc_id, text hash, position) are repeats. Counting and
+Chunks are counted by hash over all documents. Those whose hash repeats are grouped by their bytes (a byte comparison of
+all of them; different chunks of one hash are told apart), and all occurrences but the first (by doc_id, text hash, position) are repeats. Counting and
 comparing are hash aggregations with map-side partial results, so a very common chunk is not gathered. Successive repeats in a
 document form a run, and runs of ``MIN_WORDS`` words and ``MIN_CHARS`` characters go: short phrases that texts share by chance stay.
 
@@ -22,8 +22,6 @@ table. A very long text is an array in one row, its work linear in its words.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +34,7 @@ MIN_WORDS = 20
 REACH, ROLL = 2, 2
 #: Letters and digits of odd codes, and all beyond ASCII: a word place with one on its left or right ends a line.
 _ODD = r"acegikmoqsuwyACEGIKMOQSUWY13579\x{80}-\x{10FFFF}"
-_ENDS = rf"(?<=[ \n])(?=[{_ODD}])|(?<=[{_ODD}.!?][ \n])(?=[^ \n])|(?<=\n)(?=[^ \n])"
+_ENDS = rf"(?<=[ \n])(?=[^ \n])(?:(?=[{_ODD}])|(?<=[{_ODD}.!?][ \n])|(?<=\n))"
 #: Thai to Myanmar, Khmer, Chinese and Japanese (with full-width signs): no blanks between words.
 _RANGES = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿＀-￯\x{20000}-\x{3FFFF}"
 _UNSPACED = f"[{_RANGES}]"
@@ -69,7 +67,7 @@ def _rotated(h: Column) -> Column:
 
 
 def cut(text: Column) -> Column:
-    """The text's chunks in order: array of structs c (string) and h (hash of it)."""
+    """The text's chunks in order, as an array of strings."""
 
     def lowest(r: Column, i: Column) -> Column:
         here = F.get(r, i)
@@ -91,29 +89,27 @@ def cut(text: Column) -> Column:
         marked = let(let(hashes, rolling), lambda r: F.transform(w, lambda x, i: F.when(lowest(r, i), F.concat(F.lit(_MARK), x)).otherwise(x)))
         return F.split(F.array_join(marked, ""), _MARK)
 
-    def hashed(parts: Column, plain: Callable[[Column], Column]) -> Column:
-        return F.transform(parts, lambda c: F.struct(plain(c).alias("c"), F.xxhash64(c).alias("h")))
-
     held = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_ESCAPE))
     safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
     undo = lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
-    return F.when(held, hashed(let(lines(safe), chunks), undo)).when(text.isNotNull(), hashed(let(lines(text), chunks), lambda c: c))
+    return F.when(held, F.transform(let(lines(safe), chunks), undo)).when(text.isNotNull(), let(lines(text), chunks))
 
 
 def _runs(places: Column, min_chars: int) -> Column:
-    """Runs of successive chunks as longs (first number in the upper 32 bits, last in the lower), from the sorted structs
-    no, n (words), s (characters), if they are long enough."""
+    """Runs of successive chunks as longs (first number in the upper 32 bits, last in the lower), from the sorted places
+    (see ``_place``), if they are long enough."""
 
     def number(p: Column, i: Column) -> Column:
-        return F.get(p, i)["no"]
+        return F.shiftright(F.get(p, i), 16)
 
     def long_enough(p: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(p) - 1)
         first = F.filter(at, lambda i: (i == 0) | (number(p, i - 1) != number(p, i) - 1))
         last = F.filter(at, lambda i: (i == F.size(p) - 1) | (number(p, i + 1) != number(p, i) + 1))
-        total = lambda x, field: F.aggregate(F.slice(p, x["a"] + 1, x["b"] - x["a"] + 1), F.lit(0), lambda t, y: t + y[field])
-        runs = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (total(x, "n") >= MIN_WORDS) & (total(x, "s") >= min_chars))
-        return F.transform(runs, lambda x: F.shiftleft(number(p, x["a"]).cast("long"), 32).bitwiseOR(number(p, x["b"]).cast("long")))
+        total = lambda x, field: F.aggregate(F.slice(p, x["a"] + 1, x["b"] - x["a"] + 1), F.lit(0).cast("long"), lambda t, y: t + field(y))
+        n, s = (lambda y: F.shiftright(y, 8).bitwiseAND(F.lit(255))), (lambda y: y.bitwiseAND(F.lit(255)))
+        runs = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (total(x, n) >= MIN_WORDS) & (total(x, s) >= min_chars))
+        return F.transform(runs, lambda x: F.shiftleft(number(p, x["a"]), 32).bitwiseOR(number(p, x["b"]).cast("long")))
 
     return let(places, long_enough)
 
@@ -142,38 +138,49 @@ def _marked(cells: DataFrame, often: DataFrame) -> DataFrame:
 
 
 def _order() -> Column:
-    """One number that orders documents by doc_id (none: last) and text hash (61 of its bits). A number, since aggregates of
+    """One number that orders documents by doc_id d (none: last) and text hash t (61 of its bits). A number, since aggregates of
     structs and strings sort their rows."""
-    doc = F.coalesce(F.col("_k.d").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-    return doc * F.lit(1 << 61).cast("decimal(19,0)") + F.shiftrightunsigned("_k.h", 3)
+    doc = F.coalesce(F.col("d").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return doc * F.lit(1 << 61).cast("decimal(19,0)") + F.shiftrightunsigned("t", 3)
+
+
+def _place() -> Column:
+    """A chunk's number in its text, with its words and characters (up to 255 each, which is all that ``_runs`` asks for) in the
+    lower bits: places in order are numbers in order."""
+    least = lambda c: F.least(c, F.lit(255)).cast("long")
+    return F.shiftleft(F.col("no").cast("long"), 16).bitwiseOR(F.shiftleft(least(n_words(F.col("chunk"))), 8)).bitwiseOR(least(F.length("chunk")))
 
 
 def _repeats(places: Column) -> Column:
-    """Places whose chunk came before: all of a chunk whose first document is another, all but the lowest of one whose first is this."""
-    own = F.sort_array(F.filter(places, lambda p: p["own"]))
-    later = F.filter(own, lambda p, i: (i > 0) & (F.get(own, i - 1)["h"] == p["h"]) & (F.get(own, i - 1)["g"] == p["g"]))
-    both = F.concat(F.filter(places, lambda p: ~p["own"]), later)
-    return F.sort_array(F.transform(both, lambda p: F.struct(p["no"].alias("no"), p["n"].alias("n"), p["s"].alias("s"))))
+    """Places whose chunk came before: all of a chunk whose first document is another, all but the lowest of one whose first is this
+    (these have the chunk's hash h and its number c among chunks of that hash)."""
+    own = F.sort_array(F.filter(places, lambda p: p["h"].isNotNull()))
+    later = let(own, lambda o: F.filter(o, lambda p, i: (i > 0) & (F.get(o, i - 1)["h"] == p["h"]) & (F.get(o, i - 1)["c"] == p["c"])))
+    both = F.concat(F.filter(places, lambda p: p["h"].isNull()), later)
+    return F.sort_array(F.transform(both, lambda p: p["place"]))
 
 
 def repeated(whole: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Stored table (_d, _t, gone) from a stored one (_k, _cut): for each document that loses chunks, its key and the runs of these."""
-    whole = whole.select("_k", "_cut")
-    counts = whole.select(F.explode("_cut.h").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
+    whole = whole.select(F.col("_k.d").alias("d"), F.col("_k.h").alias("t"), "_cut")
+    counts = whole.select(F.explode("_cut").alias("chunk")).groupBy(F.xxhash64("chunk").alias("h")).agg(F.count("*").alias("k"))
     often = stored(counts.where("k > 1").select("h"), "repeated-hashes")
-    cells = whole.select("_k", F.posexplode("_cut").alias("no", "x")).select("_k", "no", F.col("x.c").alias("chunk"), F.col("x.h").alias("h"))
-    cells = _marked(cells, often).select(
-        F.col("_k.d").alias("d"), F.col("_k.h").alias("t"), "no", _order().alias("at"), "h", F.xxhash64(F.lit(1), "chunk").alias("g"), "chunk",
-        n_words(F.col("chunk")).alias("n"), F.length("chunk").alias("s"),
-    )
-    cells = stored(cells, "repeated-places", "zstd")
-    # grouping by the chunk itself compares the bytes; two chunks that share both hashes would be left alone
-    texts = cells.groupBy("h", "g", "chunk").agg(F.count("*").alias("k"), F.min("at").alias("first"))
-    groups = texts.groupBy("h", "g").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.min("first").alias("first"))
-    groups = stored(groups.where("k > 1 and texts = 1").select("h", "g", "first"), "repeated-chunks")
+    cells = whole.select("d", "t", F.posexplode("_cut").alias("no", "chunk")).withColumn("h", F.xxhash64("chunk"))
+    cells = stored(_marked(cells, often).select("d", "t", _place().alias("place"), "h", "chunk"), "repeated-places", "zstd")
+    # grouping by the chunk itself compares the bytes
+    texts = cells.groupBy("h", "chunk").agg(F.count("*").alias("k"), F.min(_order()).alias("first"))
+    groups = texts.groupBy("h").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.min("first").alias("first"))
+    groups = stored(groups.where("k > 1"), "repeated-chunks")
     # shuffled at any size: the table holds every repeated chunk and outgrows a broadcast early
-    places = cells.select("d", "t", "no", "at", "h", "g", "n", "s").join(groups.hint("merge"), ["h", "g"])
-    place = F.struct((F.col("at") == F.col("first")).alias("own"), "h", "g", "no", "n", "s")
+    narrow = cells.select("d", "t", "place", "h")
+    places = narrow.join(groups.where("texts = 1").select("h", "first").hint("merge"), "h").withColumn("c", F.lit(0).cast("long"))
+    shared = groups.where("texts > 1").select("h")
+    if not shared.isEmpty():
+        # different chunks of one hash: each is a group of its own, met by its bytes
+        own = cells.join(shared, "h", "left_semi")
+        each = own.groupBy("h", "chunk").agg(F.count("*").alias("k"), F.min(_order()).alias("first")).where("k > 1").drop("k")
+        places = places.unionByName(own.join(each, ["h", "chunk"]).select(*narrow.columns, "first", F.xxhash64(F.lit(1), "chunk").alias("c")))
+    place = F.struct(F.when(_order() == F.col("first"), F.col("h")).alias("h"), "c", "place")
     gone = places.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(place).alias("p"))
     # a generated row is made once; a plain column would be made again wherever it is named
     gone = gone.select("_d", "_t", F.inline(F.array(F.struct(_repeats(F.col("p")).alias("p"))))).where(F.size("p") > 0)
@@ -197,7 +204,7 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     whole = stored(put(with_row_key(packed(docs)), _cut=cut(F.col("text"))).drop("text"), "line-chunks", "zstd")
     gone = repeated(whole, min_chars)
     out = whole.join(small(gone, array="gone"), F.col("_k.d").eqNullSafe(F.col("_d")) & (F.col("_k.h") == F.col("_t")), "left")
-    some, chunks = F.col("gone").isNotNull(), F.col("_cut.c")
+    some, chunks = F.col("gone").isNotNull(), F.col("_cut")
     kept = F.when(some, _between(chunks, F.col("gone"), False)).otherwise(chunks)
     lost = F.when(some, F.length(F.array_join(_between(chunks, F.col("gone"), True), ""))).otherwise(0)
     total = F.when(some, F.aggregate("gone", F.lit(0), lambda t, g: t + _last(g) - _first(g) + 1)).otherwise(0)
