@@ -2,8 +2,7 @@
 
 Regions are an annotation, small beside the reads: up to ``BROADCAST_REGIONS`` rows they are sent to the tasks as sorted
 arrays, and the blocks of a batch of reads are matched there at once, so no read is shuffled and all decisions on a read
-are made where it lies. More regions are met in an equi-join on (ref, level, bin), both sides shuffled, adaptive execution
-splitting a hot locus; the hits of a read are then gathered by its key.
+are made where it lies. With more, reads and regions meet in cells of the contigs, in one shuffle (``swept``).
 """
 
 from __future__ import annotations
@@ -12,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readtally.functions import reads as R
 
@@ -23,8 +23,9 @@ BROADCAST_REGIONS = 2_000_000
 PAIRS = 1 << 22
 #: Room for positions on a contig in a sorting key.
 _CONTIG = 1 << 33
-#: Level (bits of the bin width) and the longest region binned at it.
-LEVELS = ((9, 1 << 9), (14, 1 << 17), (20, None))
+#: Widths of cells, in bits, and reads of a cell that a task takes.
+LEVELS, CROWD = (20, 24, 28, 31), 1_000_000
+_REGION = "struct<ref:string,start:bigint,end:bigint,strand:string,id:string>"
 HITS = "struct<correct:array<string>,reverse:array<string>>"
 
 
@@ -115,68 +116,115 @@ def _match(index: RegionIndex, ref: np.ndarray, reverse: np.ndarray, bounds: np.
     return np.concatenate(kept)
 
 
+def _hits(found: RegionIndex, ref: pa.Array, reverse: pa.Array, blocks: pa.Array, overlap: str, multi_region: str, direction: str) -> list[pa.Array]:
+    """For a batch of reads the lists of ids on the correct and on the reverse side."""
+    code = ref.dictionary_encode()
+    known = np.array([found.contigs.get(x, -1) for x in code.dictionary.to_pylist()] + [-1], np.int64)
+    contig = known[code.indices.fill_null(len(known) - 1).to_numpy()]
+    blocks = blocks.fill_null([])
+    flat = blocks.flatten()
+    bounds = np.append(0, np.cumsum(blocks.value_lengths().to_numpy()))
+    s, e = (np.asarray(flat.field(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
+    kept = _match(found, contig, reverse.to_numpy(zero_copy_only=False), bounds, s, e, overlap, multi_region, direction)
+    n_ids, names, lists = max(len(found.names), 1), pa.array(found.names, pa.string()), []
+    for side in (0, 1):
+        own = kept[kept // n_ids % 2 == side]
+        offsets = np.append(0, np.cumsum(np.bincount(own // n_ids // 2, minlength=len(ref))))
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), names.take(pa.array(own % n_ids))))
+    return lists
+
+
 def _matcher(index, overlap: str, multi_region: str, direction: str):
     """``index``: broadcast of a RegionIndex."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         found: RegionIndex = index.value
-        names = pa.array(found.names, pa.string())
         for ref, reverse, blocks in batches:
-            code = ref.dictionary_encode()
-            known = np.array([found.contigs.get(x, -1) for x in code.dictionary.to_pylist()] + [-1], np.int64)
-            contig = known[code.indices.fill_null(len(known) - 1).to_numpy()]
-            blocks = blocks.fill_null([])
-            flat = blocks.flatten()
-            bounds = np.append(0, np.cumsum(blocks.value_lengths().to_numpy()))
-            s, e = (np.asarray(flat.field(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
-            kept = _match(found, contig, reverse.to_numpy(zero_copy_only=False), bounds, s, e, overlap, multi_region, direction)
-            n_ids = max(len(found.names), 1)
-            lists = []
-            for side in (0, 1):
-                own = kept[kept // n_ids % 2 == side]
-                offsets = np.append(0, np.cumsum(np.bincount(own // n_ids // 2, minlength=len(ref))))
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), names.take(pa.array(own % n_ids))))
+            lists = _hits(found, ref, reverse, blocks, overlap, multi_region, direction)
             yield pa.StructArray.from_arrays(lists, names=["correct", "reverse"])
 
     return run
 
 
-def _binned(df: DataFrame, s: str, e: str) -> DataFrame:
-    return df.withColumn("_first", F.expr(f"shiftright({s}, _bits)")).withColumn("_bin", F.expr(f"explode(sequence(shiftright({s}, _bits), shiftright({e} - 1, _bits)))"))
+def _cell(least, most):
+    """The smallest cell that holds [least, most): a level's bits, and the cell's number."""
+    inside = [(bits, F.shiftright(least, bits)) for bits in LEVELS]
+    same = lambda bits: F.shiftright(least, bits) == F.shiftright(most - 1, bits)
+    return F.coalesce(*[F.when(same(bits), F.struct(F.lit(bits).alias("bits"), at.cast("int").alias("cell"))) for bits, at in inside])
+
+
+def _sweeper(columns: list[str], overlap: str, multi_region: str, direction: str):
+    """Rows come by cell, a cell's regions before its reads; the reads of each batch are matched to the cell's regions at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, regions, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pa.StructArray.from_arrays([batch.column(c).fill_null(-1) if c != "_ref" else batch.column(c).fill_null("") for c in _KEY], names=list(_KEY)).to_pylist()
+            kind = batch.column("_kind").to_numpy(zero_copy_only=False)
+            begin = 0
+            while begin < len(keys):
+                end = begin + 1
+                while end < len(keys) and kind[end] == kind[begin] and keys[end] == keys[begin]:
+                    end += 1
+                part, own = batch.slice(begin, end - begin), keys[begin]
+                if own != key:
+                    key, regions, index = own, [], None
+                if kind[begin] == 0:
+                    regions.append(part.column("_region"))
+                else:
+                    index = index or _index(regions)
+                    yield _matched(index, part, columns, overlap, multi_region, direction)
+                begin = end
 
+    return run
 
-def overlaps(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pairs of blocks (ord, ref, s, e, ...) and regions that overlap, each once: a region is binned at the level of its
-    length, a block at every level, and a pair is taken in the first bin both touch."""
-    length = F.col("end") - F.col("start")
-    level = F.coalesce(*[F.when(length <= longest, bits) if longest else F.lit(bits) for bits, longest in LEVELS])
-    g = regions.where("end > start").select(F.col("ref").alias("_ref"), "start", "end", "strand", "id", level.alias("_bits"))
-    g = _binned(g, "start", "end").withColumnsRenamed({"_first": "_gfirst", "_bin": "_gbin", "_bits": "_gbits"})
-    b = _binned(blocks.where("e > s").withColumn("_bits", F.explode(F.array(*[F.lit(bits) for bits, _ in LEVELS]))), "s", "e")
-    on = (F.col("ref") == F.col("_ref")) & (F.col("_bits") == F.col("_gbits")) & (F.col("_bin") == F.col("_gbin")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))
-    return b.join(g, on).where(F.col("_bin") == F.greatest("_first", "_gfirst")).drop("_ref", "_bits", "_gbits", "_bin", "_gbin", "_first", "_gfirst")
 
+_KEY = ("_ref", "_bits", "_cell", "_salt")
 
-def joined_hits(reads: DataFrame, regions: DataFrame, overlap: str, multi_region: str, direction: str) -> DataFrame:
-    """Hits (ord, side, id) of reads (ord, ref, flag, blocks), by the join."""
-    each = reads.select("ord", "ref", R.is_reverse(F.col("flag")).alias("rev"), "blocks")
-    each = each.withColumn("bases", R.total_length(F.col("blocks"))).select("ord", "ref", "rev", "bases", F.inline("blocks"))
-    pairs = overlaps(each, regions).withColumn("side", R.side(direction, F.col("rev"), F.col("strand")))
-    if overlap == "union":
-        hits = pairs.select("ord", "side", "id").distinct()
-    else:
-        part = F.struct(F.greatest("s", "start").alias("s"), F.least("e", "end").alias("e"))
-        hits = pairs.groupBy("ord", "side", "id").agg(F.first("bases").alias("bases"), F.collect_set(part).alias("parts"))
-        hits = hits.withColumn("inside", R.merged_length(F.col("parts")) == F.col("bases"))
-        if overlap == "intersection_non_empty":
-            some = F.max(F.col("inside").cast("int")).over(Window.partitionBy("ord", "side"))
-            hits = hits.withColumn("_some", some).where("_some = 0 or inside")
-        else:
-            hits = hits.where("inside")
-        hits = hits.select("ord", "side", "id")
-    if multi_region == "drop":
-        hits = hits.withColumn("_n", F.count("*").over(Window.partitionBy("ord", "side"))).where("_n = 1").drop("_n")
-    return hits
+
+def _index(regions: list[pa.StructArray]) -> RegionIndex:
+    """Regions of one cell; ``ref`` is that of the cell."""
+    names = ("ref", "start", "end", "strand", "id")
+    empty = pa.table({"ref": pa.array([], pa.string()), "start": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "strand": pa.array([], pa.string()), "id": pa.array([], pa.string())})
+    if not regions:
+        return RegionIndex(empty)
+    return RegionIndex(pa.table({n: pa.chunked_array([r.field(n) for r in regions]) for n in names}))
+
+
+def _matched(index: RegionIndex, part: pa.RecordBatch, columns: list[str], overlap: str, multi_region: str, direction: str) -> pa.RecordBatch:
+    read = part.column("_read")
+    hits = _hits(index, read.field("_own_ref"), read.field("_rev"), read.field("_blocks"), overlap, multi_region, direction)
+    return pa.RecordBatch.from_arrays([*(read.field(c) for c in columns), *hits], names=[*columns, "hits_correct", "hits_reverse"])
+
+
+def swept(reads: DataFrame, regions: DataFrame, overlap: str, multi_region: str, direction: str) -> DataFrame:
+    """Adds hits_correct, hits_reverse in one shuffle of the reads. A contig is divided into cells of several widths; a read belongs to
+    the smallest cell that holds all of its blocks, and regions are copied to the cells of every width that they touch and that have
+    reads. In a task the rows of a cell follow each other, regions first, so a cell's reads are never gathered. Reads of a cell
+    are counted first, and those of a crowded one are dealt to several tasks, to each with the cell's regions."""
+    columns = reads.columns
+    live = F.col("status").isNull()
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    df = reads.withColumn("_blocks", F.when(live, R.blocks(F.col("cigar"), F.col("pos"))).otherwise(none))
+    used = F.filter("_blocks", lambda b: b["e"] > b["s"])
+    least, most = F.array_min(F.transform(used, lambda b: b["s"])), F.array_max(F.transform(used, lambda b: b["e"]))
+    df = df.withColumn("_at", F.when(F.col("ref").isNotNull(), _cell(F.greatest(least, F.lit(0)), F.greatest(most, F.lit(1)))))
+    df = df.withColumns({"_ref": F.when(F.col("_at").isNotNull(), F.col("ref")), "_bits": F.col("_at.bits"), "_cell": F.col("_at.cell")})
+    cells = df.where("_cell is not null").groupBy("_ref", "_bits", "_cell").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_parts")).persist()
+    table = F.broadcast(cells) if cells.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS else cells
+    same = ["_ref", "_bits", "_cell"]
+    dealt = F.pmod(F.xxhash64("ord"), F.coalesce("_parts", F.lit(1 << 20))).cast("int")  # reads without a cell go anywhere
+    payload = F.struct(*(F.col(f"`{c}`") for c in columns), F.col("ref").alias("_own_ref"), R.is_reverse(F.col("flag")).alias("_rev"), F.col("_blocks"))
+    left = df.join(table, same, "left").select(*same, dealt.alias("_salt"), F.lit(1).alias("_kind"), F.lit(None).cast(_REGION).alias("_region"), payload.alias("_read"))
+    numbers = F.explode(F.array(*(F.struct(F.lit(bits).alias("bits"), F.sequence(F.shiftright("start", bits), F.shiftright(F.col("end") - 1, bits)).alias("cells")) for bits in LEVELS)))
+    g = regions.where("end > start").select(F.struct("ref", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand", "id").alias("_region"), F.col("ref").alias("_ref"), numbers.alias("x"))
+    g = g.select("_region", "_ref", F.col("x.bits").alias("_bits"), F.explode(F.col("x.cells").cast("array<int>")).alias("_cell")).join(table, same)
+    right = g.select(*same, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), "_region", F.lit(None).cast(left.schema["_read"].dataType).alias("_read"))
+    rows = left.unionByName(right).repartition(*_KEY).sortWithinPartitions(*_KEY, "_kind")
+    schema = T.StructType([*reads.schema.fields, *(T.StructField(f"hits_{side}", T.ArrayType(T.StringType())) for side in ("correct", "reverse"))])
+    return rows.mapInArrow(_sweeper(columns, overlap, multi_region, direction), schema)
 
 
 def by_regions(reads: DataFrame, regions: DataFrame, overlap: str = "union", multi_region: str = "count_both", direction: str = "forward", most: int = BROADCAST_REGIONS) -> DataFrame:
@@ -189,10 +237,7 @@ def by_regions(reads: DataFrame, regions: DataFrame, overlap: str = "union", mul
         match = F.arrow_udf(_matcher(index, overlap, multi_region, direction), HITS)
         found = reads.withColumn("_hits", match("ref", R.is_reverse(F.col("flag")), F.when(live, blocks).otherwise(F.array().cast("array<struct<s:int,e:int>>"))))
         return found.withColumns({"hits_correct": F.col("_hits.correct"), "hits_reverse": F.col("_hits.reverse")}).drop("_hits")
-    hits = joined_hits(reads.where(live).withColumn("blocks", blocks), regions, overlap, multi_region, direction)
-    lists = hits.groupBy("ord").agg(*(F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("id")))).alias(f"hits_{s}") for s in ("correct", "reverse")))
-    none = F.array().cast("array<string>")
-    return reads.join(lists, "ord", "left").withColumns({f"hits_{s}": F.coalesce(f"hits_{s}", none) for s in ("correct", "reverse")})
+    return swept(reads, table, overlap, multi_region, direction)
 
 
 def _one(reads: DataFrame, side, name) -> DataFrame:

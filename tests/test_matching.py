@@ -65,6 +65,21 @@ def test_by_regions(tables, monkeypatch, overlap, multi, direction):
     assert match.by_regions(tables[0], tables[1].limit(0), overlap, multi, direction).where("size(hits_correct) > 0").count() == 0
 
 
+def test_crowded_cells(spark, tables, monkeypatch):
+    """Reads of one cell in several tasks, cells of several widths, extra columns, and a single shuffle of the reads."""
+    far = [{"ord": 1000 + i, "ref": "a", "flag": 0, "pos": (1 << 20) - 20 + i, "cigar": CIGARS[1]} for i in range(30)]
+    extra = spark.createDataFrame([(r["ord"], r["ref"], r["flag"], r["pos"], r["cigar"], None) for r in far], tables[0].schema)
+    wide = spark.createDataFrame([(500, "a", 0, 1 << 21, "+", "all"), (501, "a", (1 << 20) + 295, (1 << 20) + 305, "-", "edge")], tables[1].schema)
+    reads = tables[0].unionByName(extra).withColumn("_kind", F.lit("k")).withColumn("_region", F.lit(5))
+    table = tables[1].unionByName(wide)
+    want = match.by_regions(reads, table)
+    monkeypatch.setattr(match, "CROWD", 7)
+    got = match.by_regions(reads, table, most=0)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {i for r in got.where("ord >= 1000").collect() for i in r["hits_correct"]} == {"all"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_duplicates_by_both_ways(spark):
     """The aggregate over whole contigs marks what a window over the same groups marks."""
     rows = [(i, RNG.choice("ab"), RNG.choice([0, 16]), RNG.choice(["AA", "AC", None]), RNG.randrange(3), str(RNG.randrange(1, 400)), "filtered" if i % 9 == 0 else None) for i in range(500)]
