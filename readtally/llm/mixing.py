@@ -10,7 +10,7 @@ with one level for all sources. Sorted by size over weight, the capped sources c
 running sums over the table of sources.
 
 Edge cases: null texts have no words, a null source is one source, the last; a source without words has rate 0; rows
-that repeat a doc_id are drawn alike; no documents, no rows. A very long text is counted in its row.
+that repeat a doc_id are drawn alike, those without one if their texts are equal; no documents, no rows. A very long text is counted in its row.
 
 Bound: the table of sources, one narrow row each, passes one task (the level depends on all sources); documents do not.
 """
@@ -51,8 +51,9 @@ def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
 
 
 def chance(seed: str = SEED) -> Column:
-    """Uniform number in [0, 1) from the document's id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """Uniform number in [0, 1) from the document's id, or from its text if it has none."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit("")))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), own))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
@@ -80,7 +81,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -97,7 +98,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null ' || md5(coalesce(d.text, '')))), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
