@@ -7,13 +7,13 @@ hit is extended: the runs of 13 words around it are looked up among the item's,
 of fewer than 13 words are looked up as one run of all their words. A text that repeats itself costs as many rows as
 it has fingerprints, not as many as pairs of places.
 
-If the benchmark has at most ``PREFILTER`` fingerprints, these and the items' runs are sent to the tasks, and the scan drops
-all other fingerprints before they leave the task. A larger one is joined by Spark, and texts and items are fetched for
-the candidates only.
+If the benchmark has at most ``PREFILTER`` fingerprints, these and the items' runs are sent to the tasks, and a document is
+decided on where it is scanned, without a shuffle. With a larger one the fingerprints of both sides are joined by Spark, and
+texts and items are fetched for the documents with candidates only.
 
 Edge cases: null and empty texts have no words and no hits; items without words are ignored; equal item ids count once;
 each row of documents gives a row, repeated or not; an empty benchmark hits nothing, empty documents give an empty table.
-A very long text is scanned in one task, in slices where rows are short; its fingerprints that hit are a list in one row.
+A very long text is scanned in one task, in slices where rows are short; with a large benchmark its fingerprints are a list in one row.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readtally.llm import vectors as V
-from readtally.llm.shared import SQL_WORDS, packed, small, stored, text_hash, unpacked, with_row_key
+from readtally.llm.shared import SQL_WORDS, discard, packed, small, stored, text_hash, unpacked, with_row_key
 
 SPAN, K = 13, 5
 W = SPAN - K + 1
@@ -79,73 +79,109 @@ def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys, pa.array(ms, pa.int32()), *lists], names=["ik", "item_id", "m", "prints", "runs"])
 
 
-def _doc_prints(lengths: list[int], known):
-    """known: broadcast of the benchmark's sorted fingerprints, or None if there are too many."""
+def _prints(batch: pa.RecordBatch, lengths: list[int], known: np.ndarray | None) -> Iterator[tuple[V.Words, list[tuple[np.ndarray, np.ndarray]]]]:
+    """The words of a batch, slice by slice, with the fingerprints among ``known`` (all, if None) and their words' numbers in the slice."""
+    for w in V.words(batch.column("text")):
+        found = []
+        for h, at in [winnow(w), *(short_grams(w, m) for m in lengths)]:
+            if known is not None:
+                hit = V.in_sorted(h, known) >= 0
+                h, at = h[hit], at[hit]
+            found.append((h, at))
+        yield w, found
+
+
+def _marked(w: V.Words, row: int, places: dict[int, list[int]], items, runs: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[int, set]:
+    """Words of a row that lie in the runs of items, and these items' ids. ``places``: by item key the words, numbered in the slice, at which
+    fingerprints begin; ``items``: (id, m, runs) by key; ``runs``: the slice's runs by length, with their first words (filled here)."""
+    first, last = w.word_bounds[row : row + 2]
+    mark = np.zeros(last - first + 1, np.int64)
+    hits = set()
+    for ik, at in places.items():
+        item_id, m, wanted = items[ik]
+        if m not in runs:
+            g, begin = _runs(w, m)
+            runs[m] = V.signed(g), begin
+        g, begin = runs[m]
+        # a fingerprint of K words lies in the runs that begin up to m - K words before it
+        starts = np.unique(np.asarray(at)[:, None] - np.arange(m - K + 1 if m == SPAN else 1))
+        starts = starts[(starts >= first) & (starts + m <= last)]
+        own = np.searchsorted(begin, starts)
+        own = own[V.in_sorted(g[own], wanted) >= 0]
+        if len(own):
+            np.add.at(mark, begin[own] - first, 1)
+            np.add.at(mark, begin[own] - first + m, -1)
+            if item_id is not None:
+                hits.add(item_id)
+    return int((np.cumsum(mark)[:-1] > 0).sum()), hits
+
+
+RESULT = "doc_id long, h long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _digest(hits: set) -> str:
+    return hashlib.sha256(",".join(sorted(str(x) for x in hits)).encode()).hexdigest()
+
+
+def _whole_scan(lengths: list[int], known, held):
+    """Decides on each document where it is scanned. ``known``: broadcast of the benchmark's sorted fingerprints with the items of each
+    (bounds and keys); ``held``: broadcast of (id, m, runs) by item key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, bounds, keys = known.value
+        for batch in batches:
+            n, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n_items, digest = np.zeros(batch.num_rows, np.int64), [_digest(set())] * batch.num_rows
+            for w, found in _prints(batch, lengths, prints):
+                n[w.first : w.first + w.n_rows] = np.diff(w.word_bounds)
+                rows: dict[int, dict[int, list[int]]] = {}
+                for h, at in found:
+                    for k, a in zip(V.in_sorted(h, prints).tolist(), at.tolist(), strict=True):
+                        places = rows.setdefault(int(w.row[a]), {})
+                        for ik in keys[bounds[k] : bounds[k + 1]]:
+                            places.setdefault(ik, []).append(a)
+                runs: dict = {}
+                for row, places in rows.items():
+                    marked, hits = _marked(w, row, places, held.value, runs)
+                    n_hit[w.first + row], n_items[w.first + row] = marked, len(hits)
+                    digest[w.first + row] = _digest(hits)
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(n), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_words", "n_hit", "n_items", "items_sha256"])
+
+    return run
+
+
+def _doc_prints(lengths: list[int]):
+    """Words and all fingerprints of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             hs, rows, poss = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for w in V.words(batch.column("text")):
+            for w, found in _prints(batch, lengths, None):
                 n[w.first : w.first + w.n_rows] = np.diff(w.word_bounds)
                 pos = w.position()
-                for h, at in [winnow(w), *(short_grams(w, m) for m in lengths)]:
-                    if known is not None:
-                        hit = V.in_sorted(h, known.value) >= 0
-                        h, at = h[hit], at[hit]
+                for h, at in found:
                     hs.append(h), rows.append(w.first + w.row[at]), poss.append(pos[at])
             h, row, pos = np.concatenate(hs), np.concatenate(rows), np.concatenate(poss)
             order = np.argsort(row, kind="stable")
-            each = np.bincount(row, minlength=batch.num_rows)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32))
             prints = pa.StructArray.from_arrays([pa.array(V.signed(h)[order]), pa.array(pos[order].astype(np.int32))], names=["h", "pos"])
-            text = pa.array(batch.column("text"))
-            text = pa.compute.if_else(pa.array((each > 0) & (known is not None)), text, pa.scalar(None, text.type))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n), text, pa.ListArray.from_arrays(offsets, prints)], names=["doc_id", "h", "n_words", "text", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n), pa.ListArray.from_arrays(offsets, prints)], names=["doc_id", "h", "n_words", "prints"])
 
     return run
 
 
-def _extend(items):
-    """Marks the words of each document that lie in runs of its candidates. ``items``: broadcast of (id, m, runs) by item
-    key, or None if the candidates carry these."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, n_items, digest = [], [], []
-            for text, found in zip(batch.column("text"), batch.column("candidates").to_pylist(), strict=True):
-                hits: set = set()
-                marked = 0
-                if found:
-                    (w,) = V.words(pa.array([text.as_py()]))  # one text is one slice
-                    runs: dict[int, np.ndarray] = {}
-                    mark = np.zeros(len(w.hash) + 1, np.int64)
-                    places: dict[int, list[int]] = {}
-                    known = {}
-                    for c in found:
-                        places.setdefault(c["ik"], []).extend([c["pos"]] if items is not None else c["places"])
-                        known[c["ik"]] = items.value[c["ik"]] if items is not None else (c["item_id"], c["m"], np.array(c["runs"], np.int64))
-                    for ik, at in places.items():
-                        item_id, m, wanted = known[ik]
-                        if m not in runs:
-                            runs[m] = V.signed(_runs(w, m)[0])
-                        # a fingerprint of K words lies in the runs that begin up to m - K words before it
-                        begin = np.unique(np.array(at)[:, None] - np.arange(max(m - K, 0) + 1 if m == SPAN else 1))
-                        begin = begin[(begin >= 0) & (begin < len(runs[m]))]
-                        begin = begin[V.in_sorted(runs[m][begin], wanted) >= 0]
-                        if len(begin):
-                            np.add.at(mark, begin, 1)
-                            np.add.at(mark, begin + m, -1)
-                            if item_id is not None:
-                                hits.add(item_id)
-                    marked = int((np.cumsum(mark)[:-1] > 0).sum())
-                n_hit.append(marked)
-                n_items.append(len(hits))
-                digest.append(hashlib.sha256(",".join(sorted(str(x) for x in hits)).encode()).hexdigest())
-            columns = [batch.column(c) for c in ("doc_id", "h", "n_words")] + [pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    return run
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks the words of documents that lie in runs of their candidates, which carry their items."""
+    for batch in batches:
+        n_hit, n_items, digest = [], [], []
+        for text, found in zip(batch.column("text"), batch.column("candidates").to_pylist(), strict=True):
+            (w,) = V.words(pa.array([text.as_py()]))  # one text is one slice
+            items = {c["ik"]: (c["item_id"], c["m"], np.array(c["runs"], np.int64)) for c in found}
+            marked, hits = _marked(w, 0, {c["ik"]: c["places"] for c in found}, items, {})
+            n_hit.append(marked), n_items.append(len(hits)), digest.append(_digest(hits))
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["uid", "n_hit", "n_items", "items_sha256"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, prefilter: int = PREFILTER) -> DataFrame:
@@ -156,32 +192,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, prefilter: int = PREFIL
     index = stored(items.mapInArrow(_item_prints, "ik long, item_id long, m int, prints array<long>, runs array<long>"), "index")
     lengths = [r[0] for r in index.where(F.col("m") < SPAN).select("m").distinct().collect()]  # at most SPAN - 1
     prints = stored(index.select("ik", F.explode("prints").alias("print")), "prints")
-    known = held = None
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     if prints.limit(prefilter + 1).count() <= prefilter:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in prints.select("print").distinct().collect()], np.int64).view(np.uint64)))
+        pairs = sorted((r["print"] % (1 << 64), r["ik"]) for r in prints.distinct().collect())
+        unique, bounds = np.unique(np.array([p for p, _ in pairs], np.uint64), return_index=True)
+        known = spark.sparkContext.broadcast((unique, np.append(bounds, len(pairs)).tolist(), [ik for _, ik in pairs]))
         # an item has a fingerprint for each W runs at least, so these are at most W * prefilter numbers
         held = spark.sparkContext.broadcast({r["ik"]: (r["item_id"], r["m"], np.array(r["runs"], np.int64)) for r in index.collect()})
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    scan = keyed.mapInArrow(_doc_prints(lengths, known), "doc_id long, h long, n_words long, text string, prints array<struct<h:long,pos:int>>")
-    scan = scan.withColumn("uid", F.monotonically_increasing_id()).select("*", F.explode_outer("prints").alias("p")).drop("prints")
-    hits = scan.join(prints, F.col("p.h") == F.col("print"), "left")
-    candidate = F.when(F.col("ik").isNotNull(), F.struct("ik", F.col("p.pos").alias("pos")))
-    grouped = hits.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "n_words", "text")), F.collect_set(candidate).alias("candidates"))
-    if known is None:
-        grouped = _with_texts(stored(grouped, "candidates"), keyed, index)
-    out = grouped.select("doc_id", "h", "n_words", "text", "candidates").mapInArrow(_extend(held), "doc_id long, h long, n_words long, n_hit long, n_items long, items_sha256 string")
+        discard(index, prints)
+        out = keyed.mapInArrow(_whole_scan(lengths, known, held), RESULT)
+    else:
+        out = _joined(keyed, lengths, prints, index)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _with_texts(grouped: DataFrame, keyed: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidates with their texts and items, which the scan did not carry along."""
-    each = grouped.select("uid", F.explode("candidates").alias("c")).select("uid", "c.ik", "c.pos")
-    full = each.groupBy("uid", "ik").agg(F.collect_list("pos").alias("places")).join(index.select("ik", "item_id", "m", "runs"), "ik")
+def _joined(keyed: DataFrame, lengths: list[int], prints: DataFrame, index: DataFrame) -> DataFrame:
+    """The same by joins: fingerprints are met first, then texts and items are fetched for those documents that have candidates. Rows without any
+    take no part in these joins."""
+    scan = keyed.mapInArrow(_doc_prints(lengths), "doc_id long, h long, n_words long, prints array<struct<h:long,pos:int>>")
+    scan = stored(scan.withColumn("uid", F.monotonically_increasing_id()), "document-prints", "zstd")
+    hits = scan.select("uid", F.inline("prints")).join(prints, F.col("h") == F.col("print"))
+    full = hits.groupBy("uid", "ik").agg(F.collect_set("pos").alias("places")).join(index.select("ik", "item_id", "m", "runs"), "ik")
     full = full.groupBy("uid").agg(F.collect_list(F.struct("ik", "places", "item_id", "m", "runs")).alias("candidates"))
-    some = grouped.where(F.size("candidates") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    some = stored(full.join(scan.select("uid", F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "uid"), "candidates", "zstd")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
-    texts = keyed.join(some, same, "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("text").alias("_t"))
-    return grouped.drop("candidates").join(full, "uid", "left").join(texts, same, "left").withColumn("text", F.col("_t"))
+    texts = keyed.join(some.select("_d", "_h").distinct(), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    found = some.join(texts, same).select("uid", "text", "candidates").mapInArrow(_extend, "uid long, n_hit long, n_items long, items_sha256 string")
+    none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.lit(_digest(set()))}
+    out = scan.select("uid", "doc_id", "h", "n_words").join(found, "uid", "left")
+    return out.select("doc_id", "h", "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -268,3 +268,26 @@ def test_pipeline_without_rows(spark, folder, tmp_path):
 
 def test_words_of_brute_force():
     assert WORD.findall("A-b é9".translate(LOW)) == ["a", "b", "é9"]
+
+
+def test_decontamination_plan_and_many_hits(spark):
+    """With a small benchmark no document is shuffled; a text that is made of items has all words hit, by both ways."""
+    from readtally.llm import decontaminate
+
+    items = [(i, text(900 + i, 20)) for i in range(40)]
+    long = " ".join(items[i % 40][1] for i in range(1500))
+    docs = spark.createDataFrame([(1, long), (2, text(5, 100)), (3, None), (4, items[3][1] + " " + text(6, 30))] + [(10 + i, text(2000 + i, 40)) for i in range(50)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    small = decontaminate.contamination(docs, bench)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    got, joined = (sorted(map(tuple, df.collect())) for df in (small, decontaminate.contamination(docs, bench, 0)))
+    assert got == joined
+    by_id = {r[0]: r for r in got}
+    assert by_id[1][2:5] == (30_000, 30_000, 40) and by_id[4][3] == 20 and by_id[2][3] == by_id[3][2] == 0 and len(got) == 54
+
+
+def test_mix_without_ids(spark):
+    """Documents without an id are drawn by their texts, so a source of these comes near its target, too."""
+    rows = [(None, "a b c " + str(i), "s1") for i in range(400)] + [(i, "d e f g " + str(i), "s2") for i in range(400)] + [(900 + i, "x y z w " + str(i), "s3") for i in range(400)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("target")).collect()
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in got) and len(got) == 3
