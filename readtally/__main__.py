@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
+import traceback
 
 from pyspark.sql import SparkSession
 
@@ -10,14 +13,27 @@ from readtally import __version__, config
 from readtally.shipping import ship
 from readtally.sources import sinks
 
+USAGE = "usage: python -m readtally config.toml\n       python -m readtally --version"
+
+
+def friendly(kind, error, trace) -> None:
+    """What a user sees of an error that nobody foresaw: a sentence, and where the details are."""
+    with tempfile.NamedTemporaryFile("w", prefix="readtally-report-", suffix=".txt", delete=False) as f:
+        f.write(f"readtally {__version__}\n" + "".join(traceback.format_exception(kind, error, trace)))
+    print(f"readtally had a problem and stopped. Please attach the report {f.name} when you tell its authors.", file=sys.stderr)
+
 
 def main(args: list[str]) -> int:
-    if args == ["--version"]:
-        print(f"readtally {__version__}")
+    if "NO_FRIENDLY_PANIC" not in os.environ:
+        sys.excepthook = friendly
+    if "--test-friendly-panic" in args:
+        raise RuntimeError("friendly panic test!")
+    if "--version" in args:
+        print(__version__)
         return 0
-    if len(args) != 1 or args[0] in ("-h", "--help"):
-        print("usage: python -m readtally config.toml\n       python -m readtally --version")
-        return 0 if args[:1] in (["-h"], ["--help"]) else 2
+    if not args or "--help" in args or "-h" in args:
+        print(USAGE)
+        return 0 if args else 1
     try:
         settings = config.load(args[0])
         spark = SparkSession.builder.appName("readtally").getOrCreate()

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from readtally.functions import reads as R
 
-#: Regions that are broadcast (some 40 bytes each, ids apart).
-BROADCAST_REGIONS = 2_000_000
+#: Regions that are broadcast (some 40 bytes each), and bytes of their names.
+BROADCAST_REGIONS, BROADCAST_BYTES = 2_000_000, 256 << 20
 #: Pairs of blocks and regions that a task looks at together.
 PAIRS = 1 << 22
 #: Room for positions on a contig in a sorting key.
@@ -232,7 +232,8 @@ def by_regions(reads: DataFrame, regions: DataFrame, overlap: str = "union", mul
     live = F.col("status").isNull()
     blocks = R.blocks(F.col("cigar"), F.col("pos"))
     table = regions.select("ref", "start", "end", "strand", "id")
-    if table.limit(most + 1).count() <= most:
+    n, size = table.agg(F.count("*"), F.sum(F.octet_length("id") + F.octet_length("ref"))).first()
+    if n <= most and (size or 0) <= BROADCAST_BYTES:
         index = reads.sparkSession.sparkContext.broadcast(RegionIndex(table.toArrow()))
         match = F.arrow_udf(_matcher(index, overlap, multi_region, direction), HITS)
         found = reads.withColumn("_hits", match("ref", R.is_reverse(F.col("flag")), F.when(live, blocks).otherwise(F.array().cast("array<struct<s:int,e:int>>"))))

@@ -34,3 +34,12 @@ def test_clip_and_merge(spark):
 def test_hamming(spark):
     h = lambda a, b: spark.range(1).select(R.hamming(F.lit(a), F.lit(b))).first()[0]
     assert (h("ACGT", "ACGA"), h("AAAA", "TTTT"), h("AC", "ACG")) == (1, 4, None)
+
+
+def test_unset_groups(spark):
+    """The first match decides: a group that it leaves unset gives none, whatever later ones set; an empty one is empty."""
+    names = ["x", "xu=;", "u=AC;x", "u=;", "u=;u=AC;", "xxu=A;"]
+    df = spark.createDataFrame([(n,) for n in names], "qname string")
+    for pattern, want in ((r"(?d)x|u=([AC]*);", [None, None, "AC", "", "", None]), (r"(?d)^x*(u=;)?", [None, "u=;", None, "u=;", "u=;", None])):
+        got = [r[0] for r in df.select(R.extractor({"mode": "regex_name", "regex": pattern, "groups": 1})).collect()]
+        assert got == want, pattern

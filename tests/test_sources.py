@@ -54,6 +54,63 @@ def test_gtf(spark, tmp_path):
     assert annotation.gtf(spark, str(q), "exon", ["gene_id"]).first()["attrs"] == {"gene_id": "g|1"}
 
 
+@pytest.mark.parametrize(
+    ("line", "text"),
+    [
+        ('chr1\tx\texon\tone\t9\t.\t+\t.\tgene_id "g";', "start is no number"),
+        ('chr1\tx\texon\t1\t9x\t.\t+\t.\tgene_id "g";', "end is no number"),
+        ('chr1\tx\texon\t0\t9\t.\t+\t.\tgene_id "g";', "start must be positive"),
+        ('chr1\tx\texon\t1\t9\t.\t?\t.\tgene_id "g";', "unknown strand"),
+        ("chr1\tx\texon\t1\t9\t.\t+\t.", "a field is missing"),
+        ('chr1\tx\texon\t1\t9\t.\t+\t.\tgene_id "g"; gene_id "h";', "DUPLICATED_MAP_KEY"),
+        ("chr1\tx\texon\t1\t9\t.\t+\t.\tgene_id; other 1;", "an attribute has no value"),
+    ],
+)
+def test_gtf_errors(spark, tmp_path, line, text):
+    p = tmp_path / "a.gtf"
+    p.write_text(line + "\n")
+    with pytest.raises(Exception, match=text):
+        annotation.gtf(spark, str(p), "exon", ["gene_id"], "gtf").collect()
+
+
+def test_gtf_values(spark, tmp_path):
+    """Quotes go at a value's ends only, blanks behind it only; keys without value matter only if they are asked for."""
+    p = tmp_path / "a.gtf"
+    p.write_text('chr1\tx\texon\t1\t9\t.\t+\t.\tgene_id "a "b" c"  ; lonely;\nchr1\tx\texon\t1\t9\t.\t+\t.\tgene_id   g;\n')
+    assert [r["attrs"]["gene_id"] for r in annotation.gtf(spark, str(p), "exon", ["gene_id"]).orderBy("ord").collect()] == ['a "b" c', "  g"]
+
+
+def test_packed_files(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    line = b'chr1\tx\texon\t1\t9\t.\t+\t.\tgene_id "g";\n' * 3
+    for name, data in (("a.gz", gzip.compress(line)), ("b.txt", gzip.compress(line)), ("c.zst", zstandard.compress(line)), ("d.gtf", zstandard.compress(line[:50]) + zstandard.compress(line[50:]))):
+        (tmp_path / name).write_bytes(data)
+        assert annotation.gtf(spark, str(tmp_path / name), "exon", ["gene_id"]).count() == 3
+
+
+def test_barcodes_by_both_distances(spark):
+    """Packed words and others (long, or of other letters) give what plain counting gives."""
+    import random
+
+    rnd = random.Random(4)
+    entries = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (8, 8, 8, 16, 16, 20) for _ in range(15)] + ["abcdefgh", "ACGTXYZW"]
+    changed = []
+    for e in entries * 3:
+        w = list(e)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice("ACGTNX")
+        changed.append("".join(w))
+    lists = spark.createDataFrame([(0, e) for e in entries], "segment int, entry string")
+    reads = spark.createDataFrame([(w,) for w in set(changed)], "raw_barcode string")
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99
+    for most in (0, 1, 2):
+        want = {w: min(((far(w, e), e) for e in entries if far(w, e) <= most), default=(0, None))[1] for w in changed}
+        assert {r["raw_barcode"]: r["barcode"] for r in barcodes.correct(reads, lists, "-", most).collect()} == want
+
+
 def test_barcodes(spark):
     lists = spark.createDataFrame([(0, "AAAA"), (0, "CCCC"), (1, "GG")], "segment int, entry string")
     reads = spark.createDataFrame([("AAAA-GG-zz",), ("AAAT-GG",), ("AATT-GG",), ("CCCC",), ("AAAA-GC",), ("AAA-GG",), (None,)], "raw_barcode string")
