@@ -104,6 +104,12 @@ def _gtf(spark: SparkSession, sf_dir: str) -> dict:
     return {"mode": "gtf", "filename": annotation_file(spark, sf_dir, "gtf"), "feature": "exon", "id_attribute": "gene_id"}
 
 
+def _deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates by position are found inside the scan's partitions."""
+    out = _run(spark, sf_dir, source=_gtf(spark, sf_dir), umi=_TAG_UMI, dedup={"mode": "Umi"}, strategy={"multi_region": "drop"})
+    return _table(spark, f"{out}/counts.tsv", "id string, count_correct long, count_reverse long")
+
+
 def _table(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     return spark.read.csv(path, schema=schema, sep="\t", header=header)
 
@@ -189,3 +195,5 @@ for overlap, policy in Q._POLICY.items():
         ORACLES[f"run_{overlap}_{multi}"] = _by_region(f"{Q._HIT} {policy}, {keep}")
 QUERIES["run_union_aggregate"], ORACLES["run_union_aggregate"] = _aggregated, ORACLES["run_union_count_both"]
 ORACLES["bam_tested_scan"] = ORACLES["bam_range_scan"]
+_FLAGSHIP = Q.ORACLES["flagship_union_drop_umi"].replace("mapq DESC, ord)", "mapq DESC, pos, ord)").rpartition("SELECT")[0]  # ties go by file order
+QUERIES["run_dedup_position"], ORACLES["run_dedup_position"] = _deduplicated, _by_region(f"{_FLAGSHIP}, hh AS (SELECT * FROM d)")

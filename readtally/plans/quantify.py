@@ -23,10 +23,11 @@ class Result:
     header: str  # name of the id column
 
 
-def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = None, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = None, order: tuple[str, ...] = ("ord",), reach: int | None = None) -> DataFrame:
     """Adds corrected, raw_barcode, barcode, umi and status; status is null where the read counts.
 
-    A read keeps the first reason: filtered, no_barcode, barcode_not_in_whitelist, no_umi, filtered (by UMI), duplicate.
+    A read keeps the first reason: filtered, no_barcode, barcode_not_in_whitelist, no_umi, filtered (by UMI), duplicate. ``reach``: the
+    partitions hold whole buckets of reads that begin so far behind them, and duplicates are found inside them.
     """
     pos = R.corrected_position(F.col("cigar"), F.col("pos"), config.max_skip_length) if config.correct_clipping else F.col("pos")
     none = F.lit(None).cast("string")
@@ -50,6 +51,8 @@ def annotated(reads: DataFrame, config: Config, whitelist: DataFrame | None = No
     if any(f["mode"] in filters.AFTER for f in config.filters):
         reasons.append(F.when(filters.any_removes(config.filters, filters.AFTER), "filtered"))
     df = df.withColumn("status", F.coalesce(*reasons, none)).drop("_out")
+    if reach is not None:
+        return dedup.mark_inside_partitions(df, config.dedup_mode, reach)
     bucket = F.col("corrected") if config.dedup_bucket == "per_position" else None
     return dedup.mark_duplicates(df, config.dedup_mode, bucket, list(order))
 
@@ -101,6 +104,24 @@ def _columns(config: Config) -> list[str]:
     return [c for c in ("ord", "qname", "flag", "tid", "ref", "pos", "mapq", "cigar", "seq", "tags", "raw") if config.write_annotated_bam or wanted.get(c, True)]
 
 
+def _scanned(spark: SparkSession, config: Config, contigs: list[str], lists: DataFrame | None) -> DataFrame:
+    """The annotated reads of the file. Duplicates by position are found inside the scan's partitions, but for very deep loci, each of
+    which is a large partition; a whitelist is met in a join, behind which partitions are others."""
+
+    def load(**options) -> DataFrame:
+        reader = spark.read.format("bam").option("references", json.dumps(contigs)).option("columns", json.dumps(_columns(config)))
+        return filters.by_reference(reader.options(**options).load(config.bam), config.filters)
+
+    if config.dedup_mode == "none" or config.dedup_bucket != "per_position" or lists is not None:
+        return annotated(load(), config, lists)
+    reach = config.max_skip_length if config.correct_clipping else 0
+    whole = {"buckets": reach, "clipped": str(config.correct_clipping).lower()}
+    out = annotated(load(**whole, spans="small"), config, lists, reach=reach)
+    if bam.has_large_spans(config.bam, contigs):
+        out = out.unionByName(annotated(load(**whole, spans="large"), config, lists))
+    return out
+
+
 def run(spark: SparkSession, config: Config) -> Result:
     """``reads`` of the result is kept in memory and on disk; unpersist it when done."""
     bam.register(spark)
@@ -120,10 +141,8 @@ def run(spark: SparkSession, config: Config) -> Result:
     if not scanned:
         raise ValueError("No chunks generated. This might be because the BAM file is empty or the matcher did not find any regions to quantify.")
     scanned = filters.references(scanned, config.filters, [r[0] for r in refs.select("name").collect()])
-    reads = spark.read.format("bam").option("references", json.dumps(scanned)).option("columns", json.dumps(_columns(config))).load(config.bam)
-    reads = filters.by_reference(reads, config.filters)
     lists = annotation.whitelist(spark, config.barcodes.whitelist_files) if config.barcodes else None
-    df = matched(annotated(reads, config, lists), config, table).persist(StorageLevel.MEMORY_AND_DISK)
+    df = matched(_scanned(spark, config, scanned, lists), config, table).persist(StorageLevel.MEMORY_AND_DISK)
     hits = match.hits(df, "ord", "barcode")
     if table is not None and config.source.aggr_id_attribute != config.source.id_attribute:  # matched by id, reported by aggregate
         hits = hits.join(table.select("id", "aggr").distinct(), "id").select("ord", "barcode", "side", F.col("aggr").alias("id")).distinct()

@@ -5,7 +5,8 @@ so a contig is as many tasks as its size asks for. Tests of ref, tid, pos, flag
 out, ranges of positions become ranges of the file by the index, and rows that fail are not decoded. They come with the option
 ``tests`` (a JSON list of column, comparison, value; ``scan`` takes them), or from the query's filters with the option ``pushdown``, which
 only a DataFrame that serves a single query may have (see ``PushingReader``). The option ``references`` (a JSON list) names contigs, ``columns`` (a JSON list) the columns to decode, ``raw`` (true or false) adds each
-record's bytes. Records leave a task in Arrow batches. ``ord`` is the virtual file offset: its order is file order.
+record's bytes. With ``buckets`` (how far soft clips reach) a partition holds all records of its clip-corrected positions, so duplicates are
+found inside partitions; ``spans`` (small, large) leaves out those of the other kind. Records leave a task in Arrow batches. ``ord`` is the virtual file offset: its order is file order.
 
 Writing: ``save`` makes one file with its index. Tasks write parts of compressed blocks in a staging folder, each with its index
 entries; tasks copy the parts to their places in the whole file (``stores.join``), the driver writes header and index, and both
@@ -34,6 +35,8 @@ from readtally.sources.bam_records import BASES, CIGAR_OPS, SIZES, TYPES, cigar_
 
 #: Compressed bytes of a partition, about, and uncompressed bytes that are decoded at once.
 SPLIT, WINDOW = 16 << 20, 4 << 20
+#: Usual sizes of a span beyond which it is large.
+LARGE = 4
 #: Records that are written between two looks at the index.
 BATCH = 4096
 
@@ -88,6 +91,7 @@ class _Span(InputPartition):
     tid: int
     begin: int
     end: int | None
+    first: bool = True  # of its contig
 
 
 #: Comparisons that the scan evaluates on the numbers.
@@ -101,6 +105,8 @@ class BamReader(DataSourceReader):
         self.path, self.names = options["path"], names
         self.only = set(json.loads(options["references"])) if "references" in options else None
         self.split = int(options.get("split", SPLIT))
+        self.reach = int(options["buckets"]) if "buckets" in options else None
+        self.clipped, self.spans = options.get("clipped", "true") == "true", options.get("spans", "all")
         self.tests: list[tuple[str, str, object]] = []  # column, comparison, value
         for column, op, value in json.loads(options.get("tests", "[]")):
             if not self.takes(column, op, value):
@@ -145,36 +151,77 @@ class BamReader(DataSourceReader):
                 for b in begins:
                     if b > begin and (end is None or b < end) and (b >> 16) - (cuts[-1] >> 16) >= self.split:
                         cuts.append(b)
-                out += [_Span(tid, a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+                spans = [_Span(tid, a, b, a == cuts[0]) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+                last = max(e for c in found.contigs[tid].chunks.values() for _, e in c)
+                large = [(((s.end or last) >> 16) - (s.begin >> 16)) > LARGE * self.split for s in spans]
+                out += [s for s, x in zip(spans, large, strict=True) if self.spans == "all" or x == (self.spans == "large")]
         return out or [_Span(-1, 0, 0)]
 
+    def _buckets(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Positions before leading soft clips (longer ones count as ``reach``), or plain positions."""
+        pos = head["pos"].astype(np.int64)
+        if not self.clipped or not self.reach:
+            return pos
+        n_seq = head["l_seq"].astype(np.int64)
+        tags = at + 32 + head["l_name"] + 4 * head["n_cigar"].astype(np.int64) + (n_seq + 1) // 2 + n_seq
+        codes, bounds, _ = cigar_codes(data, at, head, None, (tags, end))
+        codes = np.append(codes, [0, 0]).astype(np.int64)
+        n, first, second = np.diff(bounds), codes[bounds[:-1]], codes[bounds[:-1] + 1]
+        hard = (n > 1) & (first & 15 == CIGAR_OPS.index("H")) & (second & 15 == CIGAR_OPS.index("S"))
+        clip = np.where((n > 0) & (first & 15 == CIGAR_OPS.index("S")), first >> 4, np.where(hard, second >> 4, 0))
+        return pos - np.minimum(clip, self.reach)
+
     def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
         if partition.tid < 0:
             return
         refs = pa.array([n for n, _ in header(self.path)[1]], pa.string())
-        high = self._bounds()[1]
+        high, low, most = self._bounds()[1], None, None
+        if self.reach is not None:
+            # whole buckets: those behind the position of the span's first record, up to that of the next span's first, whose
+            # records begin up to ``reach`` behind it
+            low = None if partition.first else _position(self.path, partition.begin)
+            most = None if partition.end is None else _position(self.path, partition.end)
+            high = high if most is None else min(high, most + self.reach + 1)
         for window in bgzf.windows(self.path, partition.begin, WINDOW):
             at, used = starts(window.data)
             if len(at):
                 data = np.frombuffer(bytes(window.data), np.uint8)
                 offsets, head = window.offsets(at), heads(data, at + 4)
                 inside = (head["tid"] == partition.tid) & (head["pos"] < high)
-                if partition.end is not None:
+                if partition.end is not None and self.reach is None:
                     inside &= offsets < partition.end
                 # records are sorted, so those behind the first that is outside are outside, too
                 n = len(at) if inside.all() else int(np.argmin(inside))
                 keep = np.ones(n, bool)
                 for column, op, value in self.tests:
                     keep &= _COMPARE[op](head[column][:n].astype(np.int64), value)
+                ends = np.append(at[1:], used)
+                if low is not None or most is not None:
+                    buckets = self._buckets(data, at[:n] + 4, ends[:n], head[:n])
+                    keep &= (buckets > (-1 << 62 if low is None else low)) & (buckets <= (1 << 62 if most is None else most))
                 own = np.flatnonzero(keep)
                 if len(own):
-                    end = np.append(at[1:], used)[own]
+                    end = ends[own]
                     yield decode(data, at[own] + 4, end, head[own], offsets[own], self.names, refs)
                 if n < len(at):
                     return
             window.drop(used)
 
 
+def _position(path: str, offset: int) -> int:
+    """The position of the record at a virtual offset."""
+    for window in bgzf.windows(path, offset, 1):
+        at, _ = starts(window.data)
+        if len(at):
+            return int(heads(np.frombuffer(bytes(window.data), np.uint8), at[:1] + 4)["pos"][0])
+    raise ValueError(f"{path} has no record where its index says")
+
+
+def has_large_spans(path: str, references: list[str]) -> bool:
+    """Whether a span of the scan is larger than ``LARGE`` times a usual one (a very deep locus)."""
+    return BamReader({"path": path, "references": json.dumps(references), "spans": "large"}, []).partitions()[0].tid >= 0
+
+
 class PushingReader(BamReader):
     """Takes filters of the query, too. Spark 4.1 keeps a reader's filters for later queries on the same DataFrame, so one that is loaded
     with the option ``pushdown`` must serve a single query."""

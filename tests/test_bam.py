@@ -270,3 +270,74 @@ def test_unknown_tag_type():
     at, end = bam_records.starts(bytearray(data.tobytes()))
     with pytest.raises(ValueError, match="unknown tag type"):
         bam_records.decode(data, at + 4, np.array([end]), bam_records.heads(data, at + 4), at, ["tags"], None)
+
+
+def piled(n=3000, seed=5):
+    """Reads that pile up on few positions, with soft clips, few UMIs and cells."""
+    rnd, out = random.Random(seed), []
+    for tid in (0, 1):
+        for pos in sorted(rnd.choice([rnd.randrange(60_000), rnd.randrange(20), 16_384 + rnd.randrange(-3, 3)]) for _ in range(n // 2)):
+            clip = rnd.choice([0, 0, 1, 2, 7])
+            cigar = ([("H", 1)] if rnd.random() < 0.1 else []) + ([("S", clip)] if clip else []) + [("M", 12)]
+            tags = {"NH": ("C", str(rnd.randint(1, 3))), "UB": ("Z", rnd.choice(["AA", "AC", "NN"])), "CB": ("Z", rnd.choice("xy"))}
+            out.append({"qname": f"r{len(out)}", "flag": rnd.choice([0, 16, 256]), "tid": tid, "pos": pos, "mapq": rnd.randrange(3), "cigar": cigar, "seq": "A" * (clip + 12), "tags": tags})
+    return out
+
+
+@pytest.mark.parametrize("clipped", [True, False])
+@pytest.mark.parametrize("mode", ["umi", "sc"])
+def test_duplicates_inside_partitions(spark, tmp_path, mode, clipped):
+    """Whole buckets in each partition: every record once, and the same reads stay as with a window."""
+    from readtally.plans import quantify
+
+    path = str(tmp_path / "a.bam")
+    bam.write(path, CONTIGS, piled(), block=2500)
+    bam.register(spark)
+    setup = {"input": {"bam": path, "correct_reads_for_clipping": clipped, "max_skip_length": 9, "source": {"mode": "bam_references"}}, "umi": {"mode": "tag", "tag": "UB"}, "dedup": {"mode": mode}, "output": {"directory": "x"}}
+    setup |= {"filter": [{"mode": "n_in_umi", "action": "remove"}, {"mode": "non_primary", "action": "remove"}]}
+    if mode == "sc":
+        setup["cell_barcodes"] = {"extract": {"mode": "tag", "tag": "CB"}, "separator_char": "-"}
+    c = config.from_dict(setup)
+    plain = quantify.annotated(spark.read.format("bam").load(path), c)
+    want = {r["ord"]: r["status"] for r in plain.collect()}
+    assert 100 < sum(s == "duplicate" for s in want.values()) < len(want) - 100
+    reach = 9 if clipped else 0
+    for split in (1, 4000, 1 << 20):
+        df = spark.read.format("bam").option("split", split).option("buckets", reach).option("clipped", str(clipped).lower()).load(path)
+        got = quantify.annotated(df, c, reach=reach)
+        rows_ = got.select("ord", "status").collect()
+        assert len(rows_) == len(want) and {r["ord"]: r["status"] for r in rows_} == want, split
+    assert df.rdd.getNumPartitions() == 2 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    whole = quantify._scanned(spark, c, ["chr1", "chr2"], None)
+    assert {r["ord"]: r["status"] for r in whole.select("ord", "status").collect()} == want
+
+
+def test_large_spans_apart(files):
+    """Spans are small or large, none is both, and together they are all."""
+    names = ["pos"]
+    spans = {k: [(s.tid, s.begin, s.end) for s in bam.BamReader({"path": files[False], "split": 10, "spans": k}, names).partitions()] for k in ("all", "small", "large")}
+    assert sorted(spans["small"] + spans["large"]) == sorted(spans["all"] + ([(-1, 0, 0)] if [(-1, 0, 0)] in (spans["small"], spans["large"]) else []))
+    assert not bam.has_large_spans(files[False], ["chr1", "chr2"])
+
+
+def test_small_batches(monkeypatch):
+    """Decisions do not depend on how the reads come in batches."""
+    import pyarrow as pa
+
+    from readtally.operators import dedup
+
+    rnd, rows_ = random.Random(9), []
+    for i in range(400):
+        pos = i // 3
+        rows_.append((rnd.random() < 0.9, pos, pos - rnd.choice([0, 0, 1, 4]), rnd.random() < 0.5, rnd.choice(["A", "C", None]), rnd.choice(["x", None]), rnd.randint(1, 2), rnd.randint(0, 1), i))
+    kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows_, strict=True), kinds, strict=True)]
+    best = {}
+    for live, _, bucket, rev, umi, cell, nh, mapq, order in rows_:
+        if live:
+            key = bucket, rev, umi, cell
+            best[key] = min(best.get(key, (0, 0, 1 << 40)), (-nh, -mapq, order))
+    want = [live and best[bucket, rev, umi, cell][2] != order for live, _, bucket, rev, umi, cell, nh, mapq, order in rows_]
+    for size in (1, 7, 150, 400):
+        pieces = (tuple(c.slice(i, size) for c in columns) for i in range(0, 400, size))
+        assert [x for a in dedup._keep_best(4)(pieces) for x in a.to_pylist()] == want
