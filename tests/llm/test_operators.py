@@ -134,8 +134,8 @@ def test_line_passages_unspaced_and_short(spark):
 def test_cut(spark):
     texts = [text(5, 400), "a\x01b\x02 \x02a " + text(5, 400) + " \x01", "", " ", "\n\n a  b \n", text(5, 200).replace(" ", "\n"), "漢" * 30 + "".join(chr(0x4E00 + i * 97 % 5000) for i in range(90)) + " end"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", lines.cut(F.col("text")).alias("c"), lines.n_words(F.col("text")).alias("m")).collect()
-    assert all("".join(x["c"] for x in r["c"]) == r["text"] for r in rows)
-    chunks = [[x["c"] for x in r["c"]] for r in rows]
+    assert all("".join(x for x in r["c"]) == r["text"] for r in rows)
+    chunks = [r["c"] for r in rows]
     assert [r["m"] for r in rows] == [400, 403, 0, 0, 2, 200, 124]
     assert len(chunks[0]) > 40 and len(chunks[6]) > 8 and set(chunks[0][1:-2]) <= set(chunks[1])
 
