@@ -163,8 +163,9 @@ def test_ranges_prune(spark, files):
     with pytest.raises(Exception, match="does not know the test"):
         bam.scan(spark, files[False], [("seq", "=", "A")]).count()
     # queries that share a DataFrame do not see each other's filters
+    inside = len(expected(lambda r: r["tid"] == 0 and 10_000_000 <= r["pos"] <= 10_900_000))
     df = load()
-    assert [df.where("tid = 0").count(), df.count(), df.where("tid = 1").count(), given.count(), given.where("mapq = 1").count() < given.count()] == [600, len(rows()), 300, 16, True]
+    assert [df.where("tid = 0").count(), df.count(), df.where("tid = 1").count(), given.count(), given.where("mapq = 1").count() < given.count()] == [600, len(rows()), 300, inside, True]
     few = spark.read.format("bam").option("columns", '["pos", "tags"]').load(files[False])
     assert few.columns == ["pos", "tags"] and few.count() == len(rows())
 
