@@ -44,3 +44,29 @@ def test_groups_count_like_reads(spark):
             assert {tuple(r) for r in counts.by_region(match.hits(one, "n")).collect()} == want and want
             final = lambda df: df.withColumn("status", counts.final_status(F.col("status"), F.size("hits_correct"), F.size("hits_reverse")))
             assert [tuple(r) for r in counts.by_status(final(one)).collect()] == [tuple(r) for r in counts.by_status(final(all_)).collect()]
+
+
+def test_deep_locus_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    """One index bin may be many partitions; each record is read once, and duplicates by position are found inside them."""
+    from readtally import config
+    from readtally.plans import quantify
+    from readtally.sources import bam, bam_index
+
+    monkeypatch.setattr(bam_index, "CHUNK", 4000)
+    path, plain = str(tmp_path / "a.bam"), {"flag": 0, "tid": 0, "mapq": 9, "cigar": [("M", 9)], "seq": "A" * 9}
+    rows = [plain | {"qname": f"r{i}", "pos": i // 40, "tags": {"NH": ("C", "1"), "UB": ("Z", "AC"[i % 2])}} for i in range(12_000)]
+    monkeypatch.setattr(bam, "BATCH", 50)
+    bam.write(path, [("chr1", 9000)], rows, block=1000)
+    found = bam_index.read(path)
+    assert len(found.begins(0)) > 10 and len(found.ranges(0, 5, 250)) == 1
+    bam.register(spark)
+    df = spark.read.format("bam").option("split", 4000).load(path)
+    assert df.rdd.getNumPartitions() > 5 and sorted(r[0] for r in df.select("qname").collect()) == sorted(r["qname"] for r in rows)
+    got = bam.scan(spark, path, [("pos", ">=", 30), ("pos", "<=", 32)], ["pos"], split=4000).groupBy("pos").count().collect()
+    assert sorted(tuple(r) for r in got) == [(30, 40), (31, 40), (32, 40)]
+    spans = bam.BamReader({"path": path, "split": 4000, "buckets": 9}, []).partitions()
+    assert 2 < len(spans) <= 300 // (bam.WIDE * 9) + 1
+    c = config.from_dict({"input": {"bam": path, "max_skip_length": 9, "source": {"mode": "bam_references"}}, "umi": {"mode": "tag", "tag": "UB"}, "dedup": {"mode": "umi"}, "output": {"directory": "x"}})
+    inside = quantify.annotated(spark.read.format("bam").option("split", 4000).option("buckets", 9).load(path), c, reach=9)
+    assert sorted(tuple(r) for r in inside.groupBy("status").count().collect() if r["status"]) == [("duplicate", 11_400)]
+    assert inside.where("status is null").count() == 600
