@@ -1,7 +1,9 @@
 """Work that must not grow faster than the reads: piled-up regions and reads, files of one deep locus."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from readtally.operators import counts, match
@@ -70,3 +72,23 @@ def test_deep_locus_is_read_in_pieces(spark, tmp_path, monkeypatch):
     inside = quantify.annotated(spark.read.format("bam").option("split", 4000).option("buckets", 9).load(path), c, reach=9)
     assert sorted(tuple(r) for r in inside.groupBy("status").count().collect() if r["status"]) == [("duplicate", 11_400)]
     assert inside.where("status is null").count() == 600
+
+
+def test_sorted_reads_are_made_behind_the_shuffle(spark):
+    """The shuffle by range takes the table's rows, and its sampling makes no read: no digest lies below the exchange."""
+    from readtally.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    df = queries.sorted_reads(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("rangepartitioning")
+    assert below and "md5" in above and "md5" not in below
+    wide = queries.reads(spark, folder)
+    same = wide.select(*df.columns[:8], *(F.col("tags")[c[:2]]["v"].alias(c) for c in df.columns[8:]))
+    assert sorted(map(str, df.collect())) == sorted(map(str, same.collect()))
+    # file order
+    place = queries.READS.replace("FROM lineitem", "FROM {t}")
+    ords = spark.sql(f"SELECT tid, pos, ord, concat('r:UMI_', u, ':') AS qname FROM ({place})", t=spark.read.parquet(f"{folder}/lineitem.parquet")).orderBy("tid", "pos", "ord").collect()
+    assert [(r["tid"], r["pos"], r["qname"]) for r in df.collect()] == [(r["tid"], r["pos"], r["qname"]) for r in ords]
