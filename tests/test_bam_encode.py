@@ -77,3 +77,16 @@ def test_scan_decodes_the_tags_it_is_asked_for(spark, tmp_path):
         some = {r["ord"]: r["tags"] for r in bam.scan(spark, path, columns=["ord", "tags"], tags=json.dumps(only)).collect()}
         assert some == {k: {n: v for n, v in t.items() if n in only} for k, t in whole.items()} and len(some) > 100
     assert bam.scan(spark, path, columns=["cigar"], tags="[]").where(F.size("cigar") > 0).count() > 100
+
+
+def test_cigars_as_text():
+    """The same bytes as from lists, also for more operations than the field counts."""
+    some = rows(300) + [rows(1)[0] | {"cigar": [("M", 1), ("I", 1)] * 40_000, "seq": "AC" * 40_000}]
+    for part in (some[:-1], some):
+        plain = batch(part)
+        text = pa.array(["".join(f"{n}{op}" for op, n in r["cigar"]) or None for r in part], pa.string())
+        got = plain.set_column(plain.schema.get_field_index("cigar"), "cigar", text)
+        assert bam_encode.records(got, bam.EDITED, bam.encode, bam._encoded_tag).to_pylist() == [bam.encode(r) for r in part]
+    for wrong in ("M", "5", "5M3", "5Y", "5M 3S"):
+        with pytest.raises(ValueError, match="no CIGAR"):
+            bam_encode.records(got.slice(0, 1).set_column(got.schema.get_field_index("cigar"), "cigar", pa.array([wrong])), bam.EDITED, bam.encode, bam._encoded_tag)
